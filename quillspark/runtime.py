@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -70,3 +71,18 @@ class Scratch:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def join_spread(rows: DataFrame, side: DataFrame, key: str, part: int = 1000) -> DataFrame:
+    """Inner join on ``key`` where one key may fill much of ``rows``.
+
+    Keys that hold at least 1 / ``part`` of the rows (no more than ``part`` exist) are joined by broadcasting their
+    side, wherever their rows lie; the others by shuffle. ``side`` must hold a bounded number of rows a key.
+    """
+    counts = rows.groupBy(key).count()
+    total = rows.count()
+    hot = counts.where(F.col("count") >= max(2.0, total / part)).select(key)
+    few = F.broadcast(hot)
+    return rows.join(F.broadcast(side.join(few, key, "left_semi")), key).unionByName(
+        rows.join(few, key, "left_anti").join(side.join(few, key, "left_anti"), key)
+    )

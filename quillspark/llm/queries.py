@@ -5,10 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillspark.llm.canonical import map_elements, map_to_list
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.topn import top_n_per_group
-from quillspark.runtime import table
+from quillspark.runtime import join_spread, table
+
+
+def _skills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The free-typed elements with their value's place, and the (value, ref_id) rows."""
+    catalog = table(spark, d, "skill_catalog")
+    names = catalog.select(F.col("skill_id").alias("ref_id"), F.col("skill_name").alias("name"))
+    aliases = catalog.select(F.col("skill_id").alias("ref_id"), F.explode("aliases").alias("name"))
+    items = map_elements(table(spark, d, "evidence"), "evidence_id", "skills", names).unionByName(
+        map_elements(table(spark, d, "requirements"), "requirement_id", "skills", names)
+    )
+    return items, map_to_list(items, names.unionByName(aliases))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    items, mapped = _skills(spark, d)
+    return join_spread(items.distinct(), mapped, "value").select("record_id", "pos", F.col("ref_id").alias("skill_id")).distinct()
+
+
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The values that mean no entry, and in how many places they stand."""
+    items, mapped = _skills(spark, d)
+    return items.distinct().groupBy("value").agg(F.count("*").alias("places")).join(mapped.where("ref_id = 0").select("value"), "value")
 
 
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +52,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
@@ -44,6 +70,8 @@ ranked AS (
 """
 
 ORACLES: dict[str, str] = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p3_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(trim(text, E' \t\r\n')) > 500",
     "p4_found": _P4 + "SELECT requirement_id, evidence_id FROM ranked WHERE \"rank\" <= 5",
     "p4_top": _P4 + "SELECT * FROM ranked WHERE \"rank\" <= 5",

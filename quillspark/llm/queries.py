@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.canonical import map_elements, map_to_list
+from quillspark.llm.neardup import classes_with_links, pairs_of, similar_classes
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.topn import top_n_per_group
 from quillspark.runtime import join_spread, table
@@ -35,6 +36,19 @@ def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     return items.distinct().groupBy("value").agg(F.count("*").alias("places")).join(mapped.where("ref_id = 0").select("value"), "value")
 
 
+def _statements(spark: SparkSession, d: str) -> DataFrame:
+    claims = table(spark, d, "evidence").select(F.lit(0).alias("kind"), F.col("evidence_id").alias("id"), F.col("claim").alias("text"))
+    return claims.unionByName(table(spark, d, "bullets").select(F.lit(1).alias("kind"), F.col("bullet_id").alias("id"), "text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_of(*similar_classes(_statements(spark, d), 0.75)).select("id_a", "id_b")
+
+
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return classes_with_links(*similar_classes(_statements(spark, d), 0.75))
+
+
 def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunks"), ["chunk_id", "chunk_index", "entity_id"], "text")
 
@@ -54,6 +68,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
+    "p2_classes": p2_classes,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
@@ -69,7 +85,19 @@ ranked AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY requirement_id ORDER BY rerank_score DESC, evidence_id) AS INT) AS "rank" FROM once)
 """
 
+_P2 = """
+WITH said AS (
+  SELECT 0 AS kind, evidence_id AS id, claim AS text FROM evidence UNION SELECT 1, bullet_id, text FROM bullets),
+sets AS (
+  SELECT kind, id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS ws FROM said WHERE text IS NOT NULL AND id IS NOT NULL),
+words AS (SELECT DISTINCT kind, id, len(ws) AS n, unnest(ws) AS w FROM sets),
+shared AS (
+  SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS c FROM words a JOIN words b ON a.kind = b.kind AND a.w = b.w AND a.id < b.id
+  GROUP BY 1, 2, 3, 4)
+"""
+
 ORACLES: dict[str, str] = {
+    "p2_found": _P2 + "SELECT DISTINCT id_a, id_b FROM shared WHERE c >= 0.75 * (na + nb - c)",
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
     "p3_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(trim(text, E' \t\r\n')) > 500",

@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.canonical import map_elements, map_to_list
+from quillspark.llm.mixing import mix, shares
 from quillspark.llm.neardup import classes_with_links, pairs_of, similar_classes
+from quillspark.llm.packing import pack
 from quillspark.llm.splitting import split_oversized
+from quillspark.llm.tokens import token_counts
 from quillspark.llm.topn import top_n_per_group
-from quillspark.runtime import join_spread, table
+from quillspark.runtime import Scratch, join_spread, table
 
 
 def _skills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -65,6 +68,40 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_top(spark, d).select("requirement_id", "evidence_id")
 
 
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    kinds = [(r.container_kind, r.capacity_tokens) for r in table(spark, d, "containers").distinct().limit(1000).collect()]
+    return pack(token_counts(table(spark, d, "documents"), ["doc_id"], "text"), "doc_id", "n_tokens", kinds)
+
+
+def p6_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind of container: how many are used and which part of them is filled."""
+    full = p6_pack(spark, d).groupBy("container_kind", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("container_kind")
+    used = full.agg(F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("fullest"))
+    return used.join(F.broadcast(table(spark, d, "containers").distinct()), "container_kind").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "text"), ["key", "source"], "text")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sized(spark, d), table(spark, d, "mix_targets")).withColumnRenamed("key", "doc_id")
+
+
+def _p7_shares(spark: SparkSession, d: str, total: str | None) -> DataFrame:
+    counts = Scratch(spark).write(_sized(spark, d), "sized")
+    return shares(mix(counts, table(spark, d, "mix_targets"), total), counts, table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _p7_shares(spark, d, "once")
+
+
+def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares of the largest mixture in which every source that has documents meets its target."""
+    return _p7_shares(spark, d, None)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
@@ -74,6 +111,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_top": p4_top,
+    "p6_pack": p6_pack,
+    "p6_usage": p6_usage,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+    "p7_exact_shares": p7_exact_shares,
 }
 
 _P4 = """

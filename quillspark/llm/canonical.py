@@ -164,7 +164,8 @@ def similar_entries(parts: DataFrame, refs: DataFrame, scratch: Scratch) -> Data
     ranks = [0] * (SIDE * SIDE)
     for k, g in enumerate(order):
         ranks[g] = k
-    left = parts.select("part", _ordered(ranks).alias("v_set")).select("part", "v_set", *_prefix("v"))
+    spread = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
+    left = spread.select("part", _ordered(ranks).alias("v_set")).select("part", "v_set", *_prefix("v"))
     right = refs.select("ref_id", "ref", _ordered(ranks).alias("r_set")).select("ref_id", "ref", "r_set", *_prefix("r"))
     right = scratch.write(right, "refs")
     if right.limit(BROADCAST_REFS * 8).count() < BROADCAST_REFS * 8:

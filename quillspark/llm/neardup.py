@@ -31,7 +31,7 @@ BUCKETS = 1 << 18
 #: Texts of more words are filed under single rare words instead of chains of two and three.
 LONG = 96
 #: A file of more rows is cut by the next shared word; one that can't be cut is paired along its first coordinate.
-CUT_ABOVE = 256
+CUT_ABOVE = 128
 #: Words in more texts than this get a file for each word that may follow, so that no file fills a task.
 FILE_ROWS = 100_000
 #: Rows that are paired at a time.
@@ -45,9 +45,26 @@ _WORD = re.compile("[a-z0-9]+")
 _PIVOT_BITS = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
 
 
-def pivot_rows(prints: np.ndarray) -> np.ndarray:
-    """The pivot table: Hamming distances of fingerprints to the reference fingerprints, as int8."""
-    return np.bitwise_count(prints[:, None] ^ _PIVOT_BITS[None, :]).astype(np.int8)
+def pivot_rows(prints: np.ndarray) -> list[np.ndarray]:
+    """The pivot table: Hamming distances of fingerprints to the reference fingerprints, eight bytes to a number."""
+    out = []
+    for a in range(0, PIVOTS, 8):
+        packed = np.zeros(len(prints), np.uint64)
+        for k in range(8):
+            packed |= np.bitwise_count(prints ^ _PIVOT_BITS[a + k]).astype(np.uint64) << np.uint64(8 * k)
+        out.append(packed)
+    return out
+
+
+_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def _near(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether no byte of x and y (64 at most) differs by more than ``most`` (63 at most).
+
+    128 + x - y + most keeps its top bit in each byte where x - y >= -most, and never leaves the byte.
+    """
+    return ((((x | _TOPS) - y) + most) & (((y | _TOPS) - x) + most) & _TOPS) == _TOPS
 
 
 class _Codes(dict):
@@ -145,50 +162,68 @@ def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float,
     return out
 
 
-def _close(i: np.ndarray, j: np.ndarray, table: np.ndarray, prints: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+def _close(i: np.ndarray, j: np.ndarray, table: list[np.ndarray], prints: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that the pivot table can't discard, and of those the ones whose fingerprints are near enough."""
-    most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int16)
-    keep = np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9
-    i, j, most = i[keep], j[keep], most[keep]
-    for a in range(0, PIVOTS, 8):
+    # No distance exceeds 64: a pair that may differ by as much can't be discarded (free).
+    most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.uint64)
+    free = most > 63 if int(most.max(initial=0)) > 63 else None
+    bytes_ = (np.minimum(most, np.uint64(63)) if free is not None else most) * _ONES
+    for column in table:
         if not len(i):
             break
-        far = np.abs(table[i, a : a + 8] - table[j, a : a + 8]).max(axis=1)
-        keep = far <= most
-        i, j, most = i[keep], j[keep], most[keep]
+        near = _near(column[i], column[j], bytes_)
+        keep = np.flatnonzero(near if free is None else near | free)
+        i, j, bytes_, most = i[keep], j[keep], bytes_[keep], most[keep]
+        free = free if free is None else free[keep]
+    keep = np.flatnonzero(np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
+    i, j, most = i[keep], j[keep], most[keep]
     keep = np.bitwise_count(prints[i] ^ prints[j]) <= most
     return i[keep], j[keep]
 
 
-def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.ndarray, tail: np.ndarray, depth: np.ndarray, table, prints, n, t) -> Iterator[tuple]:
+def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.ndarray, tail: np.ndarray, cuttable: np.ndarray, table, prints, n, t) -> Iterator[tuple]:
     """Close pairs among the entries with the same file; entries point to rows (member) and to the rest of their tail."""
-    order = np.lexsort((table[member, 0], file))
-    file, member, at, left, depth = file[order], member[order], at[order], left[order], depth[order]
-    first = np.flatnonzero(np.r_[True, file[1:] != file[:-1]])
+    order = np.argsort(file)
+    ordered = file[order]
+    first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
     size = np.diff(np.r_[first, len(file)])
-    big = (size > CUT_ABOVE) & (depth[first] == 2)
-    small = np.repeat(~big & (size > 1), size)
-    end = np.repeat(first + size, size)
-    here = np.flatnonzero(small)
-    widest = np.floor(2 * n[member].astype(np.float64) / t * ((1 - t) / (1 + t)) + 1e-9)
-    d = 1
-    while len(here):
-        here = here[here + d < end[here]]
-        # Sorted by the first coordinate: beyond the first that lies too far, all do.
-        here = here[table[member[here + d], 0].astype(np.int16) - table[member[here], 0] <= widest[here]]
-        for s in range(0, len(here), 1 << 18):
-            part = here[s : s + (1 << 18)]
-            i, j = _close(member[part], member[part + d], table, prints, n, t)
+    cut = cuttable[order[first]]
+    wide = size > CUT_ABOVE
+    # Files of moderate size: all pairs at distance 1, 2, ... in the file.
+    some = np.flatnonzero((size > 1) & ~wide)
+    some = some[np.argsort(-size[some], kind="stable")]
+    for d in range(1, CUT_ABOVE):
+        some = some[: np.searchsorted(-size[some], -d, side="left")]  # files of more than d
+        if not len(some):
+            break
+        for block in np.array_split(some, 1 + int((size[some] - d).sum()) // (1 << 18)):
+            here = _ragged(first[block], size[block] - d)
+            i, j = _close(member[order[here]], member[order[here + d]], table, prints, n, t)
+            if len(i):
+                yield i, j
+    # Large files that no further word cuts: sorted by the first coordinate, beyond a row that lies too far all do.
+    for g in np.flatnonzero(wide & ~cut):
+        rows = member[order[first[g] : first[g] + size[g]]]
+        coordinate = (table[0][rows] & np.uint64(255)).astype(np.int64)
+        by = np.argsort(coordinate, kind="stable")
+        rows, coordinate = rows[by], coordinate[by]
+        reach = np.floor(2 * n[rows] / t * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
+        stop = np.searchsorted(coordinate, coordinate + reach, side="right")
+        count = stop - np.arange(len(rows)) - 1
+        for s in range(0, len(rows), step := max(1, (1 << 20) // max(1, int(count.max())))):
+            c = count[s : s + step]
+            i = np.repeat(np.arange(s, s + len(c)), c)
+            i, j = _close(rows[i], rows[_ragged(np.arange(s, s + len(c)) + 1, c)], table, prints, n, t)
             if len(i):
                 yield i, j
-        d += 1
-    cut = np.flatnonzero(np.repeat(big, size))
-    if len(cut):  # one entry for each word that may be the third
-        k = left[cut]
-        src = np.repeat(cut, k)
-        nxt = _ragged(at[cut], k)
+    # Other large files: one entry for each word that may be the third.
+    more = np.flatnonzero(wide & cut)
+    if len(more):
+        src = order[_ragged(first[more], size[more])]
+        k = left[src]
+        src, nxt = np.repeat(src, k), _ragged(at[src], k)
         none = np.zeros(len(src), np.int64)
-        yield from _pairs_in(_mix(file[src], tail[nxt]), member[src], none, none, tail, np.full(len(src), 3, np.int8), table, prints, n, t)
+        yield from _pairs_in(_mix(file[src], tail[nxt]), member[src], none, none, tail, np.zeros(len(src), bool), table, prints, n, t)
 
 
 def _pair_block(block: pa.Table, t: float) -> np.ndarray:
@@ -213,8 +248,8 @@ def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     member = np.concatenate([chain, flat])
     at = np.concatenate([nxt + 1, offsets[flat]])
     left = np.concatenate([offsets[1:][chain] - nxt - 1, length[flat]])
-    depth = np.concatenate([np.full(len(chain), 2, np.int8), np.where(seconds[flat] < 0, 2, 1).astype(np.int8)])
-    found = [np.stack([rid[i], rid[j]], 1) for i, j in _pairs_in(entry_file, member, at, left, tail, depth, table, prints, n, t)]
+    cuttable = np.concatenate([np.ones(len(chain), bool), seconds[flat] < 0])
+    found = [np.stack([rid[i], rid[j]], 1) for i, j in _pairs_in(entry_file, member, at, left, tail, cuttable, table, prints, n, t)]
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.sort(np.concatenate(found), axis=1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.canonical import map_elements, map_to_list
+from quillspark.llm.garbled import restore_texts
 from quillspark.llm.mixing import mix, shares
 from quillspark.llm.neardup import classes_with_links, pairs_of, similar_classes
 from quillspark.llm.packing import pack
@@ -102,6 +103,14 @@ def p7_exact_shares(spark: SparkSession, d: str) -> DataFrame:
     return _p7_shares(spark, d, None)
 
 
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restore_texts(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_restored(spark, d).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_unmatched": p1_unmatched,
@@ -116,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
     "p7_exact_shares": p7_exact_shares,
+    "p8_found": p8_found,
+    "p8_restored": p8_restored,
 }
 
 _P4 = """

@@ -9,11 +9,13 @@ GIVEN = "Ada Alan Amir Anna Aisha Björn Carla Chen Dariusz David Elena Emeka Fa
 SURNAME = "Adeyemi Almeida Andersson Becker Brown Chen Costa Dubois Eriksen Fernández García Haddad Hansen Ibrahim Ivanova Jansen Kaya Keller Kowalska Larsen Lefèvre Lopez MacLeod Martin Meyer Moreau Murphy Müller Nakamura Nguyen Novák Ó'Brien Okafor Olsen Özdemir Patel Petrov Romano Rossi Schmidt Silva Smith Suzuki Taylor Varga Weber Wójcik Yılmaz Zhang O'Neill".split()
 STEM = "Black Stone River Oak Apple Green Wood White Thorn Fox Hill Storm Grey Maple Cold Winter North Bell Dun Har".split()
 END = "well ford ton brook shaw field by worth ley thwaite bane stead ridge low more pike garth hurst lock tree feather crest wick".split()
-PLACE = ["Springfield", "Neustadt", "Villanueva", "São Bento", "Saint-Aubin", "Riverton", "Ålesund", "Port Hope", "Eastham", "Zielona", "Grünwald", "Los Pinos"]
+PLACE = ["Springfield", "Neustadt", "Villanueva", "São Bento", "Saint-Aubin", "Riverton", "Ålesund", "Port Hope", "Eastham", "Zielona", "Grünwald", "Los Pinos", "Puerto Alto", "Villa Rosa", "Santa Clara", "Bad Homburg", "New Haven", "San Martín", "Nova Lima", "Monte Verde", "Lago Maro", "Fort Adams"]
 PRODUCT = "Zentora Kivora Halbex Norwick Quantis Ferrolux Maltor Brixel Ondara Velqua Sentrix Tarvox Lumora Pexar Drivel Osmora".split()
 ORG = ["Foods", "Systems", "Energy", "Mobility", "Analytics", "Logistics", "Robotics", "Media", "Health", "Labs", "Partners"]
 FORM = ["Ltd", "GmbH", "Inc.", "SA", "AG", "LLC", "& Sons", "BV", "Group"]
 SKILL = ["Data Modelling", "Machine Learning", "Load Balancing", "Node.js", "Docker", "Visual Basic", "Risk Assessment", "Apache Kafka", "Power BI", "Public Speaking", "Unit Testing", "Hadoop", "Python", "REST API Design", "Amazon Web Services", "Hugging Face Transformers", "User Research", "Code Review", "Microsoft Excel", "Ruby on Rails", "Spring Boot", "F#"]
+TOPIC = "Data Network Batch Web Stream Quality Model Feature Causal Vendor Supply Query Change Event Load Capacity Schema Domain Threat User Release Service Public Static Mobile Cloud Graph Time Market Budget Field Team Signal Image Search Cross-team Single Deep Pair Open Hyper Micro Visual Power Spring Oracle Apache Google Microsoft Amazon Adobe Unreal".split()
+TASK = "Engineering Modelling Planning Analysis Governance Processing Testing Design Review Monitoring Sourcing Balancing Assessment Negotiation Forecasting Management Mapping Delivery Research Security Quality Inference Lineage Lake Mesh Studio Cloud Spark Flow Kafka Excel Basic Engine Server Illustrator Tomcat Sign-On Accessibility Assurance Collaboration Stewardship Computing Systems Graphs Services Applications Speaking Vision Boot Script".split()
 JOB = ["Site Manager", "Data Engineer", "Business Analyst", "Platform Engineer", "Research Assistant", "Support Engineer", "UX Researcher", "Product Analyst", "Security Analyst", "Backend Developer", "Network Engineer", "QA Analyst"]
 TEAM = ["platform", "billing", "research", "operations", "compliance", "fleet", "growth", "support"]
 STREET = ["Street", "St.", "Road", "Rd", "Avenue", "Ave.", "Blvd", "Boulevard", "Lane", "Drive", "Way", "Pkwy", "Court", "Close", "Row", "Terrace", "Crescent", "Pl", "Sq", "Square", "Place"]
@@ -87,6 +89,12 @@ class Maker:
             s, tail = f"{r.choice(['Calle', 'C/', 'Avda.', 'Avenida', 'Plaza', 'Paseo', 'Rua', 'Via', 'ul.', 'Viale', 'Camino'])} {r.choice(['de los ', 'del ', 'de la ', ''])}{r.choice(['Pinos', 'Sol', 'Mayor', 'Río Verde', 'Rosas'])} {r.randint(1, 180)}", r.choice(["", f", {r.randint(1, 9)}º {r.choice('ABCD')}, {r.choice(PLACE)}", f", {r.choice(PLACE)}"])
         return s + tail
 
+    def skill(self) -> str:
+        r = self.r
+        if r.random() < 0.3:
+            return r.choice(SKILL)
+        return " ".join([*r.sample(TOPIC, r.choice([1, 1, 1, 2])), *([r.choice(TASK)] if r.random() < 0.85 else [])])
+
     def org(self) -> str:
         r = self.r
         return f"{r.choice(STEM)}{r.choice(END)} {r.choice(ORG)}" + (f" {r.choice(FORM)}" if r.random() < 0.5 else "") if r.random() < 0.7 else f"{r.choice(STEM)} & {r.choice(STEM)} {r.choice(FORM[:3])}"
@@ -102,12 +110,12 @@ POSITIVE = [
 ]
 LABELS = ["SSN", "SSN:", "Social Security no.", "NI number", "NINO", "National Insurance:", "passport no.", "passport number", "Passport:", "ID", "ID no.", "national ID", "identity card", "NIE", "DNI", "personnummer", "personal identity number", "Personalausweis Nr.", "driving licence no.", "driver's licence", "social security number", "tax ID", "Steuer-ID"]
 NEGATIVE = [
-    "Title: {job}", "Company: {org}", "{job} at {org}, {place}: {n} people, {n4} requests a day.", "Name: {product}", "Location: {place}", "Based in {place}; the team isn’t co-located.", "Skills: {skill}, {skill}, {skill}.", "Tools: {skill} | {skill} | {skill}", "Strong in {skill}; less so in {skill}; new to {skill}.",
+    "Title: {job}", "Company: {org}", "{job} at {org}, {place}: {n} people, {n4} requests a day.", "Name: {product}", "Location: {place}", "Based in {place}; the team isn’t co-located.", "Skills: {skill}, {skill}, {skill}.", "Tools: {skill} | {skill} | {skill}", "Skills: {skill}, {skill}, {skill}, {skill}.", "Experience with {skill}, {skill} or similar is expected.", "Resume: {product} – {n} months, {skill}.", "{skill}, {skill}", "Strong in {skill}; less so in {skill}; new to {skill}.",
     "Certificate: {skill} Associate ({org}, {year})", "Certificate no. {n6} in {skill}, valid until {year}.", "Presented {product} to {n4} guests at an internal fair.", "The panel liked the {product} story, but missed numbers.", "Ran from {date} to {date} with {big} rows a day.", "Budget {n3} {n3} EUR, reference ISBN-like code {isbn} in the library.",
     "Tickets {ticket} and OPS-{n5} closed in the same sprint.", "Build hash {hash}, dashboard grid {n} x {n}, SLA 99.{n}.", "Service listens on port {n4}; batch {n6}/{n} reprocessed {n4} invoices.", "Moved {n4} records of the tool without downtime.", "Year: {year}", "Start: {year}-0{d}", "{year}-0{d} to {year}-1{d0}: rebuilt the tool at {org}, {place}.",
     "Experience with {skill}, {skill} or similar is expected.", "{skill} and exposure to batch systems.", "{product} began as a pilot in {n} depots and grew to {n4} users.", "The tool now runs on {skill}; {skill} was retired.", "Completed a course on {skill} with a mark of {n}/100.", "Rated {d}/9 for clarity and {d}/9 for pace.", "Deadline {n} May {year}; send one page only.",
     "Salary band {n}-{n}k, {d} days remote.", "| {product} | {n}.{d} | depots | e.g. night calls |", "Q: how would you lower rework? A: start with {skill}, then measure for {n} weeks.", "What went wrong: the tool was hourly, and nobody in {team} owned it.", "Approx. 1.{d} Mio. rows, cf. sec. 4.{d}! No. {d} was re-run…", "Next steps: (1) retire {product}; (2) write tests; (3) tell {team}.", "Resume updated: {product} – {n} months, {skill}.",
-    "Cover letter, in short: I built {product}, measured it, and stayed.", "Developed by {org} for the {team} team.", "Signed with {org} in {year}.", "Reported to {org} in {place}.", "version {d}.{n}.{n4}", "order {n6}-{n4} shipped", "{place}, {place} and {place}", "{job} {job}", "Feedback from {team} was good: fewer surprises, better notes.", "Thesis: internal audit trails and their effect on queue time ({year}).", "Mentored by {team}.", "contact {team} for {skill}", "Interview panel: {team} and {team}",
+    "Cover letter, in short: I built {product}, measured it, and stayed.", "{job} at {org}, {place}.", "built the tool at {org}, {place}. Then {job}.", "Developed by {org} for the {team} team.", "Signed with {org} in {year}.", "Reported to {org} in {place}.", "version {d}.{n}.{n4}", "order {n6}-{n4} shipped", "{place}, {place} and {place}", "{job} {job}", "Feedback from {team} was good: fewer surprises, better notes.", "Thesis: internal audit trails and their effect on queue time ({year}).", "Mentored by {team}.", "contact {team} for {skill}", "Interview panel: {team} and {team}",
     "Wrote to everyone at night. We shipped {n} dots.", "Wir suchen Verstärkung für {skill} und „{product}“ in {place}.", "La compañía creció hasta {n4} sesiones diarias.", "Le poste est basé à {place}, {skill} souhaitée.", "Responsible for {n4} kiosks and the quarterly route planner used by the {team} team.", "ask for {skill}", "contact: {team}", "by {product}", "cc {team}", "Volunteered with {n4} schools; taught {skill} on weekends.", "We don’t ask for {skill} — curiosity is enough.", "Reference {skill}, {skill} and Google {skill}", "Upgraded tool@{d}.{n}.{d} and tagged @{team}.", "Wrote the runbook for the tool and rehearsed it with {skill}.",
     "{skill} & {skill}: {skill}", "Contact: the {team} desk in {place}", "Nice to have: {skill} and {skill}.", "awarded to {org} by {org}", "{org}, {place}", "{org} and {org} agreed.", "Serial {n6}-{n6}, lot {n3}-{n3}-{n3}.", "{n} Main {skill}", "{n4} Close calls; {n} Way points",
 ]
@@ -119,7 +127,7 @@ def sentences(count: int, seed: int) -> list[tuple[str, list[tuple[str, int, int
     r = m.r
     fields = {
         "name": m.name, "email": m.email, "phone": m.phone, "id": m.ident, "address": m.address, "org": m.org, "team": lambda: r.choice(TEAM), "job": lambda: r.choice(JOB), "label": lambda: r.choice(LABELS),
-        "place": lambda: r.choice(PLACE), "product": lambda: r.choice(PRODUCT), "skill": lambda: r.choice(SKILL), "year": lambda: str(r.randint(2005, 2027)), "n": lambda: str(r.randint(1, 99)), "d": lambda: str(r.randint(1, 9)), "d0": lambda: str(r.randint(0, 2)),
+        "place": lambda: r.choice(PLACE), "product": lambda: r.choice(PRODUCT), "skill": m.skill, "year": lambda: str(r.randint(2005, 2027)), "n": lambda: str(r.randint(1, 99)), "d": lambda: str(r.randint(1, 9)), "d0": lambda: str(r.randint(0, 2)),
         "n3": lambda: str(r.randint(100, 999)), "n4": lambda: str(r.randint(100, 9999)), "n5": lambda: str(r.randint(10000, 99999)), "n6": lambda: str(r.randint(10000, 999999)), "date": lambda: m.digits("20#1-0#-1#").replace("-00", "-01"), "big": lambda: m.digits("#,###,###"),
         "isbn": lambda: m.digits("9##-#-####-###-X"), "ticket": lambda: m.digits("###-##-##"), "hash": lambda: "".join(r.choice("0123456789abcdef") for _ in range(8)),
     }

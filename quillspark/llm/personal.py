@@ -40,6 +40,7 @@ FORMATS: dict[str, list[str]] = {
         rf"(?:\+44{_S}?7|07)\d{{3}}{_S}?\d{{3}}{_S}?\d{{3}}",
         rf"(?:\+44|0044){_S}?\(?0?\)?\d{{2,4}}{_S}\d{{3,4}}{_S}?\d{{3,4}}",
         rf"(?:\+49|0049){_S}?(?:\(0\))?{_S}?\d{{2,4}}{_S}\d{{4,8}}(?:{_S}\d{{1,4}})?",
+        rf"(?:\+49|0049){_S}?(?:\(0\))?{_S}?\d{{2,4}}{_S}\d{{5,8}}",
         rf"(?:(?:\+|00)33{_S}?\d|0\d)(?:{_S}\d{{2}}){{4}}",
         rf"(?:\+|00)\d{{1,3}}(?:{_S}?\(?\d{{1,5}}\)?){{2,5}}",
         rf"\(?0\d{{1,4}}\)?{_S}\d{{3,8}}(?:{_S}\d{{3,5}})?",
@@ -68,8 +69,8 @@ COMMON = frozenset(
 TITLES = frozenset("dr prof mr mrs ms miss sr sra srta herr frau mme mlle m sir dame don doña".split())
 ORG_END = frozenset("ltd gmbh inc sa ag llc bv plc group sons co corp kg foods systems energy mobility analytics logistics robotics media health labs partners".split())
 ROLE_END = frozenset("manager engineer analyst developer assistant researcher designer consultant administrator associate director officer specialist lead intern architect scientist".split())
-_PARTICLE = "van|von|der|den|ter|de|la|del|di|da|do|dos|du|el|al|bin|ibn|zu|St\\."
-_RUN = regex.compile(rf"(?<![\p{{L}}\d@.\-])(?:{_PARTICLE} )?{_CAP}(?:(?: (?:\p{{Lu}}\.|(?:{_PARTICLE})(?= )|{_CAP}))*)")
+_PARTICLE = "van|von|der|den|ter|de|la|del|di|da|do|dos|du|el|al|bin|ibn|zu|St\\.|ST\\."
+_RUN = regex.compile(rf"(?<![\p{{L}}\d@.\-])(?:(?:{_PARTICLE}) ){{0,2}}{_CAP}(?:(?: (?:\p{{Lu}}\.|(?:{_PARTICLE})(?= )|{_CAP}))*)")
 _WORD = regex.compile(r"\S+")
 _COMMA = regex.compile(rf", ({_CAP})(?: \p{{Lu}}\.)?")
 
@@ -84,6 +85,9 @@ _AFTER = [regex.compile(p, regex.I) for p in (
     r"\s*(?:eur|usd|gbp|€|rows|records|guests|invoices|users|%|k\b|months|days)", r"\s+(?:for the supplier|who|until|dated|has|hat|a signé|on |about)", r"\s*[:(]", r"\s*[.,;)\n]|$", r"[-/]\d", r"\s*(?:by mistake|, willing|since)", r"\s*(?:ltd|gmbh|inc|sa|ag|llc|bv|group)\b", r"\s+\p{Lu}", r"\s*\|", r"\s+and\s+\p{Lu}", r"\s+(?:at|au|in)\b", r"\s*&",
 )]
 WINDOW = 36
+_LISTED = regex.compile(r"(?:skills|tools|technologies|stack|experience with|strong in|less so in|new to|course on|certificate|budget for|taught|nice to have|months)\b(?:[^.\n]|\.(?! ))*$", regex.I)
+_AT_FIRM = regex.compile(r"(?:" + "|".join(ORG_END) + r")\.?,\s*$", regex.I)
+_ABSTRACT = regex.compile(r"(?:ing|tion|sion|ment|ance|ence|ity|ics|sis|ware|base|ness|ship|ure|sign|on|graphs?|ers|ies|tems?|ory|form|face|work|code|script|sql|api|control|security|review|lake|data|cloud|web|services?|vision|boot|css|excel|studio)$", regex.I)
 
 
 @dataclass(frozen=True)
@@ -135,6 +139,7 @@ def features(text: str, c: Candidate) -> list[float]:
         *(float(c.kind == k) for k in range(len(KINDS))), float(c.format), float(c.kind * 20 + c.format), float(len(span)), float(digits), float(letters), float(len(words)), float(span[0] in "+("), float(span.startswith("00")), float(span.startswith("0")), float("." in span), float("-" in span),
         float(" " in span), float("," in span), float(span.isupper()), float(any(len(w) == 2 and w[1] == "." for w in words)), float(sum(w in COMMON for w in lower)), float(bool(lower) and lower[-1] in ORG_END), float(bool(lower) and lower[-1] in ROLE_END), float(any(w in ORG_END or w in ROLE_END for w in lower)),
         float(c.start > 0 and (text[c.start - 1].isalnum() or text[c.start - 1] in "-/.")), float(after[:1] in ("-", "/") and after[1:2].isdigit()), float(sum(ch.isupper() for ch in span) / max(1, letters)), float(len(words[-1]) if words else 0),
+        float(bool(_AT_FIRM.search(before))), float(bool(_LISTED.search(text[max(0, c.start - 160) : c.start]))), float(sum(bool(_ABSTRACT.search(w)) for w in lower)), float(bool(lower) and bool(_ABSTRACT.search(lower[-1]))),
         *(float(bool(p.search(before))) for p in _BEFORE), *(float(bool(p.match(after))) for p in _AFTER),
     ]
 

@@ -12,6 +12,7 @@ from quillspark.llm.garbled import restore_texts
 from quillspark.llm.mixing import mix, shares
 from quillspark.llm.neardup import classes_with_links, pairs_of, similar_classes
 from quillspark.llm.packing import pack
+from quillspark.llm.personal import find_personal, redact
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.tokens import token_counts
 from quillspark.llm.topn import top_n_per_group
@@ -69,6 +70,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_top(spark, d).select("requirement_id", "evidence_id")
 
 
+def _personal_rows(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("id"), "text")
+    return chunks.unionByName(table(spark, d, "parsed_documents").select(F.col("document_id").alias("id"), "text"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(_personal_rows(spark, d), "id", "text").select("record_id", "kind", "start_pos").distinct()
+
+
+def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redact(_personal_rows(spark, d), "id", "text")
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     kinds = [(r.container_kind, r.capacity_tokens) for r in table(spark, d, "containers").distinct().limit(1000).collect()]
     return pack(token_counts(table(spark, d, "documents"), ["doc_id"], "text"), "doc_id", "n_tokens", kinds)
@@ -120,6 +134,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_pieces": p3_pieces,
     "p4_found": p4_found,
     "p4_top": p4_top,
+    "p5_found": p5_found,
+    "p5_redacted": p5_redacted,
     "p6_pack": p6_pack,
     "p6_usage": p6_usage,
     "p7_mix": p7_mix,

@@ -4,11 +4,548 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillspark.functions import jsontext as J
+from quillspark.functions import text as T
+from quillspark.operators import chunking, retrieval
+from quillspark.operators import evidence as E
+from quillspark.operators import markdown as M
+from quillspark.operators import render as R
+from quillspark.operators import selection as S
+from quillspark.operators.scorers import overlap_score
+from quillspark.plans import cards as C
+from quillspark.plans import search
+from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+Q = Callable[[SparkSession, str], DataFrame]
+SP, LF, NL = T.SPACE, T.LINE_END, T.SPACE_NO_LF
+
+
+def query(sql: str | None = None) -> Callable[[Q], Q]:
+    def add(f: Q) -> Q:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{SP}+|{SP}+$', '', 'g')"
+
+
+_FOLD = "replace(lower({}), 'ß', 'ss')"
+_CARDS = "cards AS (SELECT DISTINCT * EXCLUDE (extracted_at, loaded_at) FROM evidence WHERE evidence_id IS NOT NULL)"
+
+
+def _clean_sql(x: str) -> str:
+    return _strip(f"regexp_replace(regexp_replace(regexp_replace({x}, '{LF}', chr(10), 'g'), '[{NL}]*\\n[{NL}]*', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+# --- text
+
+
+@query(f"SELECT document_id, {_clean_sql('text')} AS clean FROM parsed_documents")
+def txt_clean(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_documents").select("document_id", T.clean(F.col("text")).alias("clean"))
+
+
+_TOKENS = "list_transform(regexp_extract_all(coalesce({}, ''), '" + T.TOKEN + "'), lambda t: lower(t))"
+
+
+@query(f"SELECT evidence_id, array_to_string({_TOKENS.format('claim')}, ' ') AS tokens, CAST(len({_TOKENS.format('claim')}) AS INT) AS n FROM evidence")
+def txt_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    t = T.tokens(F.col("claim"))
+    return table(spark, d, "evidence").select("evidence_id", F.array_join(t, " ").alias("tokens"), F.size(t).alias("n"))
+
+
+_SLUG = "regexp_replace(regexp_replace(" + _FOLD + ", '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+@query(f"""
+WITH s AS (SELECT document_id, coalesce(nullif({_SLUG.format("coalesce(metadata.company, '')")}, ''), 'entity') AS slug, coalesce(nullif({_SLUG.format("coalesce(metadata.title, metadata.name, '')")}, ''), 'entity') AS t FROM parsed_documents)
+SELECT document_id, slug, CASE WHEN starts_with(t, 'exp_') OR starts_with(t, 'experience_') THEN t ELSE 'exp_' || t END AS entity FROM s""")
+def txt_slug(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_documents").select("document_id", T.slug(F.col("metadata.company")).alias("slug"), T.entity_id("experience", F.coalesce("metadata.title", "metadata.name")).alias("entity"))
+
+
+@query(r"SELECT requirement_id, TRY_CAST(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE) AS years FROM requirements")
+def txt_years(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "requirements").select("requirement_id", T.years(F.col("text")).alias("years"))
+
+
+_LABEL = r"CASE WHEN regexp_matches({0}, '^\d{{4}}-(0[1-9]|1[0-2])$') AND NOT starts_with({0}, '0000') THEN (['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])[CAST(substr({0}, 6, 2) AS INT)] || ' ' || substr({0}, 1, 4) ELSE {0} END"
+
+
+@query(f"SELECT document_id, {_LABEL.format('metadata.start_date')} AS start_label, {_LABEL.format('metadata.end_date')} AS end_label FROM parsed_documents")
+def txt_date_label(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "parsed_documents").select("document_id", T.date_label(F.col("metadata.start_date")).alias("start_label"), T.date_label(F.col("metadata.end_date")).alias("end_label"))
+
+
+_INLINE = _strip("text")
+for _m in ("**", "__", "*"):
+    _INLINE = f"(CASE WHEN starts_with({_INLINE}, '{_m}') AND ends_with({_INLINE}, '{_m}') AND length({_INLINE}) > {2 * len(_m)} THEN {_strip(f'substr({_INLINE}, {len(_m) + 1}, length({_INLINE}) - {2 * len(_m)})')} ELSE {_INLINE} END)"
+_INLINE = f"regexp_replace({_INLINE}, '{SP}+', ' ', 'g')"
+
+
+@query(f"SELECT bullet_id, {_INLINE} AS inline_text, {_strip('regexp_replace(' + _strip('text') + chr(44) + chr(32) + chr(39) + '^(- )?(• )?([*] )?' + chr(39) + ', ' + chr(39) * 2 + ')')} AS bullet FROM bullets")
+def txt_inline(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bullets").select("bullet_id", T.clean_inline(F.col("text")).alias("inline_text"), T.bullet_text(F.col("text")).alias("bullet"))
+
+
+def _escaped_sql(x: str) -> str:
+    cases = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.LATEX.items())
+    return f"list_transform(string_split({x}, ''), lambda c: CASE c {cases} ELSE c END)"
+
+
+
+@query(f"SELECT bullet_id, array_to_string({_escaped_sql(_INLINE)}, '') AS latex FROM bullets")
+def txt_latex(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bullets").select("bullet_id", T.latex(F.col("text")).alias("latex"))
+
+
+@query("SELECT requirement_id, CASE WHEN len(coalesce(skills, [])) > 0 THEN text || '. Skills: ' || array_to_string(skills, ', ') ELSE text END AS search_query FROM requirements")
+def txt_search_query(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "requirements").select("requirement_id", T.search_query(F.col("text"), F.col("skills")).alias("search_query"))
+
+
+_SHOWN = f"list_filter(list_transform(coalesce(skills, []), lambda s: {_strip('s')}), lambda s: s IS NOT NULL AND s <> '')"
+_METRIC = "regexp_replace(coalesce(m.name, '') || ': ' || coalesce(m.value, ''), '^[: ]+|[: ]+$', '', 'g')"
+_SAID = f"list_filter(list_transform(coalesce(metrics, []), lambda m: CASE WHEN coalesce(m.context, '') <> '' THEN {_METRIC} || ' (' || m.context || ')' ELSE {_METRIC} END), lambda s: s <> '')"
+_CARD = f"""concat_ws(chr(10), nullif(coalesce(claim, ''), ''), CASE WHEN coalesce(category, '') <> '' THEN 'Category: ' || category END, CASE WHEN len({_SHOWN}) > 0 THEN 'Skills: ' || array_to_string({_SHOWN}, ', ') END,
+  CASE WHEN len({_SAID}) > 0 THEN 'Metrics: ' || array_to_string({_SAID}, '; ') END)"""
+
+
+@query(f"SELECT evidence_id, {_CARD} AS card FROM evidence")
+def txt_card(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence").select("evidence_id", T.card_text(F.col("claim"), F.col("category"), F.col("skills"), F.col("metrics")).alias("card"))
+
+
+@query(r"""
+WITH s AS (SELECT coalesce(nullif(entity_id, ''), regexp_replace(list_last(string_split(coalesce(source_file, ''), '/')), '(.)\.[^.]*$', '\1')) AS raw, evidence_id FROM evidence)
+SELECT evidence_id, array_to_string(list_transform(string_split(regexp_replace(raw, '[_-]', ' ', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS label FROM s""")
+def txt_source_label(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence").select("evidence_id", T.source_label(F.col("entity_id"), F.col("source_file")).alias("label"))
+
+
+def _words_sql(x: str) -> str:
+    s = _strip(f"coalesce({x}, '')")
+    return f"CAST(CASE WHEN {s} = '' THEN 0 ELSE len(string_split(regexp_replace({s}, '{SP}+', ' ', 'g'), ' ')) END AS INT)"
+
+
+@query(f"SELECT evidence_id, regexp_matches(claim, '{T.ACTION}') AS acts, regexp_matches(claim, '{T.FILLER}') AS fills, {_words_sql('claim')} AS words FROM evidence")
+def pred_action_filler(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("claim")
+    return table(spark, d, "evidence").select("evidence_id", c.rlike(T.ACTION).alias("acts"), c.rlike(T.FILLER).alias("fills"), T.word_count(c).alias("words"))
+
+
+@query(f"""SELECT evidence_id, 'ev_' || substr(sha256(concat_ws(':', source_chunk_id, lower({_strip('claim')}))), 1, 16) AS ev, 'req_' || substr(sha256(coalesce(lower({_strip('claim')}), '')), 1, 12) AS req,
+  'compose_' || substr(sha256(concat_ws('/', entity_id, evidence_id)), 1, 12) AS compose FROM evidence""")
+def id_hash(spark: SparkSession, d: str) -> DataFrame:
+    low = F.lower(T.strip(F.col("claim")))
+    return table(spark, d, "evidence").select("evidence_id", T.hash_id("ev", 16, F.col("source_chunk_id"), low).alias("ev"), T.hash_id("req", 12, low).alias("req"), T.hash_id("compose", 12, F.col("entity_id"), F.col("evidence_id"), by="/").alias("compose"))
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '{LF}', chr(10), 'g'), chr(10))) AS line, unnest(range(len(string_split(regexp_replace(text, '{LF}', chr(10), 'g'), chr(10))))) AS pos FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, CAST(pos AS INT) AS pos, {_strip('line')} AS l FROM d)
+SELECT doc_id, pos, CAST(nullif(length(regexp_extract(l, '^(#{{1,6}})\s+\S', 1)), 0) AS INT) AS level, CASE WHEN regexp_matches(l, '^#{{1,6}}\s+\S') THEN regexp_extract(l, '^#{{1,6}}\s+(.+?)\s*$', 1) END AS title,
+  CASE WHEN regexp_matches(l, '^[A-Za-z][^:]*:') THEN {_FOLD.format(_strip("regexp_extract(l, '^([A-Za-z][^:]*):', 1)"))} END AS key, CASE WHEN regexp_matches(l, '^[A-Za-z][^:]*:') THEN {_strip("regexp_extract(l, '^[A-Za-z][^:]*:(.*)$', 1)")} END AS value,
+  CASE WHEN regexp_matches(l, '^[-*] ') AND lower({_strip("substr(l, 3)")}) NOT IN ('', 'none', 'n/a', 'na') THEN {_strip("substr(l, 3)")} END AS item
+FROM s""")
+def md_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of every document, read as Markdown: heading, field or list item."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split(F.regexp_replace("text", LF, "\n"), "\n")).alias("pos", "line"))
+    level, title = T.heading(F.col("line"))
+    key, value = T.field(F.col("line"))
+    return lines.select("doc_id", "pos", level.alias("level"), title.alias("title"), key.alias("key"), value.alias("value"), T.list_item(F.col("line")).alias("item"))
+
+
+# --- JSON and enums
+
+
+@query("""SELECT bullet_id, '{"text":"' || replace(replace(text, chr(92), ''), '"', '') || ',}","ids":["' || coalesce(array_to_string(evidence_ids, '","'), '') || '"]}' AS repaired FROM bullets WHERE text IS NOT NULL""")
+def json_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Fenced model output with trailing commas, repaired; commas and braces inside strings stay."""
+    plain = F.replace(F.replace("text", F.lit("\\"), F.lit("")), F.lit('"'), F.lit(""))
+    ids = F.coalesce(F.array_join("evidence_ids", '","'), F.lit(""))
+    said = F.concat(F.lit('```json\n{"text":"'), plain, F.lit(',}","ids":["'), ids, F.lit('",]'), F.lit(",}\n```"))
+    return table(spark, d, "bullets").where("text is not null").select("bullet_id", J.without_trailing_commas(J.json_object(said)).alias("repaired"))
+
+
+@query(f"WITH {_CARDS} SELECT evidence_id, claim, category, array_to_string(list_filter(skills, lambda s: s IS NOT NULL), '|') AS skills FROM cards")
+def json_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Cards written as JSON, broken with a trailing comma, and read back."""
+    text = F.concat(F.lit("Here it is:\n"), F.regexp_replace(F.to_json(F.struct("claim", "category", "skills"), {"ignoreNullFields": "false"}), r"\}$", ",}"), F.lit("\nDone."))
+    got = J.parsed(text, "claim string, category string, skills array<string>")
+    return C.cards(spark, d).select("evidence_id", got.alias("g")).select("evidence_id", "g.claim", "g.category", F.array_join("g.skills", "|").alias("skills"))
+
+
+_CAT = f"""CASE WHEN years_experience IS NOT NULL THEN 'experience' WHEN len(list_filter(coalesce(skills, []), lambda s: trim(coalesce(s, '')) <> '')) > 0 THEN 'technical' {' '.join(f"WHEN regexp_matches(lower(coalesce(text, '')), '{'|'.join(w)}') THEN '{c}'" for c, w in J.CATEGORY_WORDS)} ELSE 'other' END"""
+
+
+@query(f"SELECT requirement_id, {_CAT} AS inferred FROM requirements")
+def category_infer(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "requirements").select("requirement_id", J.inferred_category(F.col("text"), F.col("skills"), F.col("years_experience")).alias("inferred"))
+
+
+_IMP, _CATS = str(J.IMPORTANCE), str(J.CATEGORIES)
+
+
+@query(f"""
+WITH a AS (SELECT requirement_id, CASE WHEN category IN {_IMP} AND (importance IS NULL OR importance = 'unknown' OR importance NOT IN {_IMP}) THEN category ELSE importance END AS i, CASE WHEN category IN {_IMP} THEN {_CAT} ELSE category END AS c FROM requirements)
+SELECT requirement_id, CASE WHEN i IN {_CATS} AND NOT coalesce(c IN {_CATS}, false) THEN i ELSE c END AS category, CASE WHEN i IN {_CATS} THEN 'unknown' ELSE i END AS importance FROM a""")
+def enum_repair(spark: SparkSession, d: str) -> DataFrame:
+    return J.repair_enums(table(spark, d, "requirements")).select("requirement_id", "category", "importance")
+
+
+_DEDUP = f"list_filter(list_transform(coalesce(skills, []), lambda s: {_strip('s')}), lambda s: s IS NOT NULL AND s <> '')"
+
+
+@query(f"SELECT evidence_id, array_to_string(list_filter({_DEDUP}, lambda x, i: list_position(list_transform({_DEDUP}, lambda y: {_FOLD.format('y')}), {_FOLD.format('x')}) = i), '|') AS skills FROM evidence")
+def arr_dedup_ci(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence").select("evidence_id", F.array_join(T.distinct_folded(F.col("skills")), "|").alias("skills"))
+
+
+@query(f"SELECT evidence_id, array_to_string(list_transform(list_filter(coalesce(metrics, []), lambda m: coalesce({_strip('m.name')}, '') <> '' AND coalesce({_strip('m.value')}, '') <> ''), lambda m: m.name || '=' || m.value), '|') AS metrics FROM evidence")
+def arr_metric_filter(spark: SparkSession, d: str) -> DataFrame:
+    kept = F.transform(T.metrics_complete(F.col("metrics")), lambda m: F.concat(m["name"], F.lit("="), m["value"]))
+    return table(spark, d, "evidence").select("evidence_id", F.array_join(kept, "|").alias("metrics"))
+
+
+# --- chunks and Markdown
+
+
+@query()
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.chunk_documents(C.documents(spark, d).drop("metadata"))
+
+
+@query()
+def chunk_sentence_pack(spark: SparkSession, d: str) -> DataFrame:
+    return C.documents(spark, d).where("text is not null").select("document_id", F.posexplode(chunking.packed_sentences(T.strip(F.col("text")))).alias("pos", "piece"))
+
+
+@query("""
+SELECT DISTINCT document_id, nullif(trim(metadata.company), '') AS company, nullif(trim(metadata.title), '') AS title, nullif(trim(metadata.location), '') AS location, nullif(trim(metadata.start_date), '') AS start_date
+FROM parsed_documents WHERE entity_type = 'experience' AND document_id IS NOT NULL AND trim(coalesce(metadata.company, '')) <> '' AND trim(coalesce(metadata.title, '')) <> ''""")
+def md_experience(spark: SparkSession, d: str) -> DataFrame:
+    """Experience records written as canonical Markdown and parsed again."""
+    m = C.documents(spark, d).where("entity_type = 'experience' and trim(coalesce(metadata.company, '')) <> '' and trim(coalesce(metadata.title, '')) <> ''")
+    line = lambda k, c: F.concat(F.lit(f"{k}: "), F.coalesce(f"metadata.{c}", F.lit("none")))
+    text = F.concat_ws("\n", F.lit("---\nkind: cv\n---\n# Work\n"), F.concat(F.lit("## "), "document_id"), line("Company", "company"), line("Title", "title"), line("Location", "location"), line("Start", "start_date"), line("End", "end_date"), F.lit("### Notes\n- Company: other"))
+    files = m.select(F.col("document_id").alias("path"), text.alias("text"))
+    return M.experience_entities(M.numbered_lines(files)).select(F.col("path").alias("document_id"), "company", "title", "location", "start_date")
+
+
+# --- retrieval
+
+_TF = f"WITH {_CARDS}, toks AS (SELECT evidence_id AS doc_id, unnest({_TOKENS.format('claim')}) AS term FROM cards), tf AS (SELECT doc_id, term, CAST(count(*) AS INT) AS tf FROM toks GROUP BY 1, 2)"
+
+
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return C.cards(spark, d).select(F.col("evidence_id").alias("doc_id"), F.col("claim").alias("text"))
+
+
+@query(_TF + " SELECT * FROM tf")
+def bm25_tf(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.term_counts(_claims(spark, d))
+
+
+@query(_TF + " SELECT term, count(*) AS df FROM tf GROUP BY 1")
+def bm25_df(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.doc_frequencies(retrieval.term_counts(_claims(spark, d)))
+
+
+@query(f"WITH {_CARDS} SELECT count(*) AS n, CAST(sum(len({_TOKENS.format('claim')})) AS BIGINT) AS tokens, round(avg(len({_TOKENS.format('claim')})), 9) AS avgdl FROM cards")
+def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.corpus_stats(_claims(spark, d)).withColumn("avgdl", F.round("avgdl", 9))
+
+
+_BM25 = f"""
+WITH {_CARDS}, docs AS (SELECT evidence_id AS doc_id, {_TOKENS.format('(' + _CARD + ')')} AS toks FROM cards),
+q AS (SELECT DISTINCT requirement_id AS query_id, coalesce(search_query, text) AS text FROM requirements WHERE CAST('0x' || substr(requirement_id, 5) AS BIGINT) % 20 = 0),
+qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('text')}) AS term FROM q WHERE text IS NOT NULL),
+st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM docs),
+t AS (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM docs), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+top AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM s)
+"""
+
+
+@query(_BM25 + "SELECT query_id, doc_id, round(score, 6) AS bm25_score, CAST(r AS INT) AS bm25_rank FROM top WHERE r <= 30")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return search.lexical(spark, d).withColumn("bm25_score", F.round("bm25_score", 6))
+
+
+_WORDSET = "list_distinct(regexp_extract_all(" + _FOLD.format("coalesce({}, '')") + ", '[a-z0-9]+'))"
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN len(list_intersect({a}, {b})) / CAST(len({a}) + len({b}) - len(list_intersect({a}, {b})) AS DOUBLE) ELSE 0 END"
+
+
+@query(_BM25 + f""", r AS (SELECT top.query_id, top.doc_id, r, {_jaccard_sql(_WORDSET.format('q.text'), _WORDSET.format('c.claim'))} AS s FROM top JOIN q USING (query_id) JOIN cards c ON c.evidence_id = top.doc_id WHERE r <= 20)
+SELECT query_id, doc_id, round(s, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, r) AS INT) AS rerank_rank FROM r QUALIFY rerank_rank <= 5""")
+def rerank_topk(spark: SparkSession, d: str) -> DataFrame:
+    top = search.lexical(spark, d, 20).withColumnRenamed("bm25_rank", "fusion_rank")
+    j = top.join(C.queries(spark, d).withColumnRenamed("text", "query"), "query_id").join(_claims(spark, d), "doc_id")
+    return retrieval.rerank(j, overlap_score("query", "text")).select("query_id", "doc_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
+
+
+@query("""
+WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id AS doc_id, list_dot_product(CAST(v AS DOUBLE[]), CAST(embedding AS DOUBLE[])) AS s FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS n FROM s)
+SELECT query_id, doc_id, round(s, 6) AS semantic_score, CAST(n AS INT) AS semantic_rank FROM r WHERE n <= 10""")
+def sem_topk(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    top = retrieval.vector_top(v, v.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"))
+    return top.withColumn("semantic_score", F.round("semantic_score", 6))
+
+
+def _best(c: str) -> str:
+    return f"max(CASE WHEN NOT isnan({c}) THEN {c} END) AS {c}"
+
+
+_RRF = f"""
+WITH sc AS (SELECT requirement_id AS query_id, evidence_id AS doc_id, {_best('bm25_score')}, {_best('semantic_score')}, {_best('rerank_score')} FROM candidates WHERE requirement_id IS NOT NULL AND evidence_id IS NOT NULL GROUP BY 1, 2),
+lex AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25_score, 9) DESC, doc_id) AS br FROM sc WHERE bm25_score > 0 QUALIFY br <= 30),
+sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(semantic_score, 9) DESC, doc_id) AS sr FROM sc WHERE semantic_score IS NOT NULL QUALIFY sr <= 30),
+f AS (SELECT coalesce(lex.query_id, sem.query_id) AS query_id, coalesce(lex.doc_id, sem.doc_id) AS doc_id, br, sr, coalesce(1e0 / (60 + br), 0) + coalesce(1e0 / (60 + sr), 0) AS w FROM lex FULL JOIN sem ON lex.query_id = sem.query_id AND lex.doc_id = sem.doc_id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, br NULLS LAST, sr NULLS LAST, doc_id) AS fr FROM f QUALIFY fr <= 20)
+"""
+
+
+@query(_RRF + "SELECT query_id, doc_id, CAST(br AS INT) AS bm25_rank, CAST(sr AS INT) AS semantic_rank, round(w, 9) AS fusion_score, CAST(fr AS INT) AS fusion_rank FROM fused")
+def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid(spark, d).select("query_id", "doc_id", "bm25_rank", "semantic_rank", F.round("fusion_score", 9).alias("fusion_score"), "fusion_rank")
+
+
+@query(_RRF + "SELECT query_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fr) AS INT) AS rerank_rank FROM fused JOIN sc USING (query_id, doc_id) QUALIFY rerank_rank <= 5")
+def match_all(spark: SparkSession, d: str) -> DataFrame:
+    return search.match_all(spark, d).select("query_id", "doc_id", "rerank_score", "rerank_rank")
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    raise NotImplementedError
+    return search.match_all(spark, sf_dir)
+
+
+# --- joins and groups
+
+_BULLETS = "bs AS (SELECT DISTINCT bullet_id, section, entry_id, text, evidence_ids, validated FROM bullets WHERE bullet_id IS NOT NULL)"
+
+
+def _bullets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "bullets").where("bullet_id is not null").select("bullet_id", "section", "entry_id", "text", "evidence_ids", "validated").distinct()
+
+
+_CITED = f"WITH {_CARDS}, {_BULLETS}, x AS (SELECT bullet_id, unnest(evidence_ids) AS evidence_id, unnest(range(len(evidence_ids))) AS pos, text FROM bs)"
+
+
+@query(_CITED + " SELECT bullet_id, CAST(pos AS INT) AS pos, evidence_id, claim, entity_id, entity_type FROM x JOIN cards USING (evidence_id)")
+def join_bullet_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return E.cited(_bullets(spark, d), "bullet_id", "evidence_ids", C.cards(spark, d))
+
+
+@query(_CITED + f" SELECT bullet_id, evidence_id, round({_jaccard_sql(_WORDSET.format('text'), _WORDSET.format('claim'))}, 9) AS similarity FROM x JOIN cards USING (evidence_id)")
+def sim_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    b = _bullets(spark, d)
+    j = E.cited(b, "bullet_id", "evidence_ids", C.cards(spark, d)).join(b.select("bullet_id", "text"), "bullet_id")
+    return j.select("bullet_id", "evidence_id", F.round(T.jaccard(T.word_set(F.col("text")), T.word_set(F.col("claim"))), 9).alias("similarity"))
+
+
+_WRONG = _CITED + ", wrong AS (SELECT DISTINCT x.bullet_id FROM x JOIN bs USING (bullet_id) LEFT JOIN cards ON cards.evidence_id = x.evidence_id WHERE entity_id IS NULL OR entry_id IS NULL OR entity_id <> entry_id)"
+
+
+@query(_WRONG + " SELECT bullet_id, entry_id FROM bs WHERE len(evidence_ids) > 0 AND bullet_id NOT IN (SELECT bullet_id FROM wrong)")
+def join_semi_owned(spark: SparkSession, d: str) -> DataFrame:
+    return E.owned(_bullets(spark, d), C.cards(spark, d))[0].select("bullet_id", "entry_id")
+
+
+@query(_WRONG + " SELECT bullet_id, entry_id FROM bs WHERE len(evidence_ids) > 0 AND bullet_id IN (SELECT bullet_id FROM wrong)")
+def join_anti_foreign(spark: SparkSession, d: str) -> DataFrame:
+    return E.owned(_bullets(spark, d), C.cards(spark, d))[1].select("bullet_id", "entry_id")
+
+
+@query(f"WITH {_CARDS} SELECT source_chunk_id AS chunk_id, count(*) AS n_cards, array_to_string(list_sort(list_distinct(list(evidence_id))), ',') AS evidence_ids FROM cards WHERE source_chunk_id IS NOT NULL GROUP BY 1")
+def group_cards(spark: SparkSession, d: str) -> DataFrame:
+    return E.cards_by_chunk(C.cards(spark, d)).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+@query("SELECT evidence_id, max(loaded_at) AS loaded_at FROM evidence WHERE evidence_id IS NOT NULL GROUP BY 1")
+def latest_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The last load of every card: the build side of every look-up by id."""
+    return E.latest(table(spark, d, "evidence").where("evidence_id is not null"), "evidence_id", "loaded_at").select("evidence_id", "loaded_at")
+
+
+_ENTRIES = "e AS (SELECT DISTINCT metadata.company AS company, metadata.title AS title, metadata.location AS location, document_id, source_file FROM parsed_documents WHERE entity_type = 'experience' AND document_id IS NOT NULL AND metadata.company IS NOT NULL AND metadata.title IS NOT NULL)"
+
+
+@query(f"""WITH {_ENTRIES}, g AS (SELECT company, title, min(document_id) AS first_pos, max(document_id) AS last_pos, array_to_string(list_filter(list(source_file ORDER BY document_id, source_file), lambda x, i: list_position(list(source_file ORDER BY document_id, source_file), x) = i), ',') AS source_files FROM e GROUP BY 1, 2)
+SELECT company, title, location, first_pos, source_files FROM g JOIN e USING (company, title) WHERE document_id = last_pos""")
+def profile_merge(spark: SparkSession, d: str) -> DataFrame:
+    m = C.documents(spark, d).where("entity_type = 'experience' and metadata.company is not null and metadata.title is not null")
+    rows = m.select("metadata.company", "metadata.title", "metadata.location", "document_id", "source_file").distinct()
+    return E.merged_entries(rows, ["company", "title"], "document_id").select("company", "title", "location", "first_pos", F.array_join("source_files", ",").alias("source_files"))
+
+
+# The earlier state, for the queries on incremental extraction: no chunk whose index is 3, an older text where it is 2, and one
+# card too many where it is 1; chunks of index 0 that are gone are made up.
+_STATE = f"""
+WITH {_CARDS}, ch AS (SELECT DISTINCT chunk_id, chunk_index, sha256(coalesce(text, '')) AS fingerprint FROM chunks WHERE chunk_id IS NOT NULL),
+have AS (SELECT source_chunk_id AS chunk_id, list_sort(list_distinct(list(evidence_id))) AS ids FROM cards WHERE source_chunk_id IS NOT NULL GROUP BY 1),
+state AS (SELECT chunk_id, CASE WHEN chunk_index = 2 THEN 'old' ELSE fingerprint END AS fp, CASE WHEN chunk_index = 1 THEN list_append(coalesce(ids, []), 'zz') ELSE coalesce(ids, []) END AS said FROM ch LEFT JOIN have USING (chunk_id) WHERE chunk_index <> 3
+  UNION ALL SELECT 'gone_' || chunk_id, fingerprint, [] FROM ch WHERE chunk_index = 0)
+"""
+
+
+def _state(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ch = table(spark, d, "chunks").where("chunk_id is not null").select("chunk_id", "chunk_index", F.sha2(F.coalesce("text", F.lit("")), 256).alias("fingerprint")).distinct()
+    cards = C.cards(spark, d)
+    have = E.cards_by_chunk(cards)
+    none = F.array().cast("array<string>")
+    ids = F.coalesce("evidence_ids", none)
+    old = ch.where("chunk_index <> 3").join(have, "chunk_id", "left").select(
+        "chunk_id", F.when(F.col("chunk_index") == 2, "old").otherwise(F.col("fingerprint")).alias("fingerprint"), F.when(F.col("chunk_index") == 1, F.array_append(ids, F.lit("zz"))).otherwise(ids).alias("evidence_ids")
+    )
+    gone = ch.where("chunk_index = 0").select(F.concat(F.lit("gone_"), "chunk_id").alias("chunk_id"), "fingerprint", none.alias("evidence_ids"))
+    return ch, old.unionByName(gone), cards
+
+
+@query(_STATE + "SELECT ch.chunk_id, CASE WHEN fp IS NULL THEN 'new' WHEN fp <> fingerprint THEN 'changed' WHEN list_sort(said) <> coalesce(ids, []) THEN 'damaged' ELSE 'reuse' END AS status FROM ch LEFT JOIN state USING (chunk_id) LEFT JOIN have USING (chunk_id)")
+def cache_diff(spark: SparkSession, d: str) -> DataFrame:
+    return E.cache_diff(*_state(spark, d))
+
+
+@query(_STATE + "SELECT chunk_id FROM state WHERE chunk_id NOT IN (SELECT chunk_id FROM ch)")
+def cache_orphans(spark: SparkSession, d: str) -> DataFrame:
+    ch, state, _ = _state(spark, d)
+    return E.vanished(ch, state)
+
+
+@query("""
+WITH d AS (SELECT DISTINCT source_file, coalesce(page, 0) AS page, document_id, text FROM parsed_documents WHERE source_type = 'pdf' AND text IS NOT NULL AND document_id IS NOT NULL)
+SELECT source_file, sha256(string_agg('## Page ' || page || chr(10) || text, chr(10) || chr(10) ORDER BY page, document_id)) AS prompt FROM d GROUP BY 1""")
+def page_text(spark: SparkSession, d: str) -> DataFrame:
+    """The pages of every file in order as one text, by its hash."""
+    p = C.documents(spark, d).where("source_type = 'pdf' and text is not null").select("source_file", F.coalesce("page", F.lit(0)).alias("page"), "document_id", "text").distinct()
+    pages = F.transform(F.array_sort(F.collect_list(F.struct("page", "document_id", "text"))), lambda x: F.concat(F.lit("## Page "), x["page"].cast("string"), F.lit("\n"), x["text"]))
+    return p.groupBy("source_file").agg(F.sha2(F.array_join(pages, "\n\n"), 256).alias("prompt"))
+
+
+# --- selection
+
+_MATCH = f"""
+WITH {_CARDS}, sc AS (SELECT requirement_id, evidence_id, {_best('rerank_score')} FROM candidates WHERE requirement_id IS NOT NULL AND evidence_id IS NOT NULL GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY rerank_score DESC, evidence_id) AS pos FROM sc WHERE rerank_score IS NOT NULL QUALIFY pos <= 5),
+matches AS (SELECT requirement_id, CASE WHEN max(rerank_score) >= 4 THEN 'strong' WHEN max(rerank_score) >= 0 THEN 'partial' ELSE 'none' END AS match_strength, list(evidence_id ORDER BY pos) AS evidence_ids FROM top GROUP BY 1),
+e AS (SELECT requirement_id, match_strength, unnest(evidence_ids) AS evidence_id, unnest(range(len(evidence_ids))) AS pos FROM matches),
+prio AS (SELECT evidence_id, max(CASE match_strength WHEN 'strong' THEN 100 WHEN 'partial' THEN 70 ELSE 0 END) AS p FROM e GROUP BY 1),
+prio8 AS (SELECT evidence_id, max(CASE match_strength WHEN 'strong' THEN 8 WHEN 'partial' THEN 4 ELSE 0 END) AS p FROM e GROUP BY 1)
+"""
+
+
+@query(_MATCH + "SELECT evidence_id, CAST(max(CASE match_strength WHEN 'strong' THEN 100 WHEN 'partial' THEN 70 ELSE 0 END) AS INT) AS priority, array_to_string(list_sort(coalesce(list_distinct(list(requirement_id) FILTER (match_strength <> 'none')), [])), ',') AS requirement_ids FROM e GROUP BY 1")
+def match_priority(spark: SparkSession, d: str) -> DataFrame:
+    return S.priorities(C.matches(spark, d), S.PLAN_WEIGHTS).withColumn("requirement_ids", F.array_join("requirement_ids", ","))
+
+
+@query(_MATCH + """, k AS (SELECT requirement_id, list(evidence_id ORDER BY pos) AS kept FROM e JOIN cards USING (evidence_id) WHERE cards.category IN ('achievement', 'experience', 'project') GROUP BY 1)
+SELECT requirement_id, CASE WHEN kept IS NOT NULL AND match_strength IN ('strong', 'partial') THEN match_strength ELSE 'none' END AS match_strength, CASE WHEN kept IS NOT NULL AND match_strength IN ('strong', 'partial') THEN array_to_string(kept, ',') ELSE '' END AS evidence_ids
+FROM matches LEFT JOIN k USING (requirement_id)""")
+def match_downgrade(spark: SparkSession, d: str) -> DataFrame:
+    """Matches kept to cards of three categories; what loses all its cards is downgraded."""
+    m = C.matches(spark, d)
+    fit = C.cards(spark, d).where("category in ('achievement', 'experience', 'project')").select("evidence_id")
+    allowed = m.select("requirement_id", F.explode("evidence_ids").alias("evidence_id")).join(fit, "evidence_id")
+    return S.downgraded(m, allowed).withColumn("evidence_ids", F.array_join("evidence_ids", ","))
+
+
+_BASE = "list_last(string_split(coalesce(source_file, ''), '/'))"
+_CATRANK = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.PLAN_CATEGORY.items()) + " ELSE 0 END"
+_PLAN = _MATCH + f""", r AS (SELECT cards.*, coalesce(p, 0) AS r1, CASE WHEN lower({_BASE}) IN {S.CANONICAL} THEN 2 ELSE 0 END AS r2, {_CATRANK} AS r3, CASE WHEN len(coalesce(metrics, [])) > 0 THEN 2 ELSE 0 END AS r4, least(len(coalesce(skills, [])), 3) AS r5,
+  CASE WHEN contains(source_file, '/') THEN string_split(source_file, '/')[1] ELSE 'shared' END AS plan FROM cards LEFT JOIN prio USING (evidence_id))"""
+_BEST = "r1 DESC, r2 DESC, r3 DESC, r4 DESC, r5 DESC, evidence_id DESC"
+
+
+def _planned(spark: SparkSession, d: str) -> DataFrame:
+    c = C.cards(spark, d).join(S.priorities(C.matches(spark, d), S.PLAN_WEIGHTS).select("evidence_id", "priority"), "evidence_id", "left")
+    plan = F.when(F.col("source_file").contains("/"), F.element_at(F.split("source_file", "/"), 1)).otherwise("shared")
+    return c.withColumn("plan", plan)
+
+
+@query(_PLAN + " SELECT evidence_id, CAST(r1 AS INT) AS r1, CAST(r2 AS INT) AS r2, CAST(r3 AS INT) AS r3, CAST(r4 AS INT) AS r4, CAST(r5 AS INT) AS r5 FROM r")
+def planner_rank(spark: SparkSession, d: str) -> DataFrame:
+    return S.plan_order(_planned(spark, d)).select("evidence_id", "r1", "r2", "r3", "r4", "r5")
+
+
+@query(_PLAN + f""", said AS (SELECT *, {_FOLD.format(_strip("coalesce(claim, '')"))} AS said FROM r),
+once AS (SELECT * FROM said WHERE said <> '' QUALIFY row_number() OVER (PARTITION BY plan, entity_id, said ORDER BY {_BEST}) = 1),
+nth AS (SELECT *, row_number() OVER (PARTITION BY plan, entity_id ORDER BY {_BEST}) AS k, CASE entity_type WHEN 'experience' THEN 0 WHEN 'project' THEN 1 END AS entry FROM once),
+ph AS (SELECT *, CASE WHEN r1 > 0 THEN 0 WHEN entry IS NOT NULL AND k <= 3 THEN 1 ELSE 2 END AS phase FROM nth)
+SELECT plan, evidence_id, CAST(phase AS INT) AS phase, CAST(row_number() OVER (PARTITION BY plan ORDER BY phase, CASE WHEN phase = 1 THEN entry END NULLS LAST, {_BEST}) AS INT) AS pick FROM ph QUALIFY pick <= 28""")
+def planner_select(spark: SparkSession, d: str) -> DataFrame:
+    return S.plan_selection(_planned(spark, d), "plan").select("plan", "evidence_id", "phase", "pick")
+
+
+_CCAT = "CASE lower(coalesce(category, '')) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in S.COMPOSE_CATEGORY.items()) + " ELSE 0 END"
+_COMPOSE = _MATCH + f""", s AS (SELECT evidence_id, entity_id, CAST(coalesce(p, 0) + CASE WHEN len(coalesce(metrics, [])) > 0 THEN 4 ELSE 0 END + {_CCAT} + CASE WHEN regexp_matches(coalesce(claim, ''), '{T.ACTION}') THEN 2 ELSE 0 END
+  - CASE WHEN regexp_matches(coalesce(claim, ''), '{T.FILLER}') THEN 5 ELSE 0 END AS INT) AS score, CAST(least(length(coalesce(claim, '')), 180) AS INT) AS weight FROM cards LEFT JOIN prio8 USING (evidence_id))"""
+
+
+def _composed(spark: SparkSession, d: str) -> DataFrame:
+    return S.compose_score(C.cards(spark, d).join(S.priorities(C.matches(spark, d), S.COMPOSE_WEIGHTS).select("evidence_id", "priority"), "evidence_id", "left"))
+
+
+@query(_COMPOSE + " SELECT evidence_id, score, weight FROM s")
+def compose_rank(spark: SparkSession, d: str) -> DataFrame:
+    return _composed(spark, d).select("evidence_id", "score", "weight")
+
+
+@query(_COMPOSE + " SELECT entity_id, evidence_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY score DESC, weight DESC, evidence_id DESC) AS INT) AS place FROM s WHERE entity_id IS NOT NULL QUALIFY place <= 3")
+def compose_quota(spark: SparkSession, d: str) -> DataFrame:
+    return S.compose_best(_composed(spark, d).where("entity_id is not null"), "entity_id", 3).select("entity_id", "evidence_id", "place")
+
+
+@query(f"WITH x AS (SELECT DISTINCT unnest(skills) AS skill FROM evidence) SELECT {_strip('skill')} AS skill, CASE " + " ".join(f"WHEN {_FOLD.format(_strip('skill'))} IN {v} THEN '{k}'" for k, v in S.SKILL_GROUPS.items()) + " ELSE 'Other' END AS skill_group, count(*) AS spellings FROM x WHERE skill IS NOT NULL GROUP BY 1, 2")
+def skill_grouping(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "evidence").select(F.explode("skills").alias("skill")).where("skill is not null").distinct().withColumn("skill", T.strip(F.col("skill")))
+    return s.groupBy("skill", S.skill_group(F.col("skill")).alias("skill_group")).agg(F.count("*").alias("spellings"))
+
+
+@query()
+def pick_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Per role: the sixteen skills of its requirements that its texts name, then by spelling."""
+    r = table(spark, d, "requirements").where("role_title is not null")
+    s = r.select(F.col("role_title").alias("owner"), "requirement_id", F.posexplode("skills").alias("n", "skill")).withColumn("pos", F.struct("requirement_id", "n"))
+    texts = r.select(F.col("role_title").alias("owner"), "requirement_id", "text").distinct().groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("requirement_id", "text"))), lambda x: x["text"]), " ").alias("text"))
+    return S.best_skills(s.select("owner", "pos", "skill"), texts)
+
+
+_LAYOUT = f"""WITH {_BULLETS}, p AS (SELECT section, entry_id, bullet_id, row_number() OVER (PARTITION BY section, entry_id ORDER BY bullet_id) - 1 AS bullet_pos FROM bs WHERE entry_id IS NOT NULL)"""
+
+
+@query(_LAYOUT + " SELECT entry_id AS owner, section, bullet_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY CASE section WHEN 'projects' THEN 0 ELSE 1 END, bullet_pos DESC) AS INT) AS step FROM p WHERE bullet_pos > 0 AND section IN ('projects', 'experience')")
+def layout_trim_order(spark: SparkSession, d: str) -> DataFrame:
+    b = _bullets(spark, d).where("entry_id is not null").withColumn("bullet_pos", F.row_number().over(Window.partitionBy("section", "entry_id").orderBy("bullet_id")) - 1)
+    return S.trim_order(b.select(F.col("entry_id").alias("owner"), "section", F.lit(0).alias("entry_pos"), "bullet_pos", "bullet_id")).select("owner", "section", "bullet_id", "step")
+
+
+@query()
+def bullets_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Per entry: its bullets without those that repeat an earlier one in other words."""
+    b = _bullets(spark, d).where("entry_id is not null and text is not null")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("bullet_id", "text"))), lambda x: x["text"])
+    return b.groupBy("entry_id").agg(F.count("*").alias("given"), E.greedy_distinct(texts).alias("kept")).select("entry_id", "given", F.size("kept").alias("kept"))
+
+
+@query(_LAYOUT.replace("bullet_id, row_number", "bullet_id, text, row_number").replace("FROM bs WHERE entry_id IS NOT NULL", "FROM bs WHERE entry_id IS NOT NULL AND validated AND text IS NOT NULL") + f""", i AS (SELECT entry_id, bullet_id, array_to_string({_escaped_sql(_INLINE)}, '') AS t FROM p)
+SELECT entry_id, '\\begin{{itemize}}' || chr(10) || string_agg('\\item ' || t, chr(10) ORDER BY bullet_id) || chr(10) || '\\end{{itemize}}' AS items FROM i GROUP BY 1""")
+def render_items(spark: SparkSession, d: str) -> DataFrame:
+    return R.latex_items(_bullets(spark, d).where("entry_id is not null and text is not null").withColumn("pos", F.col("bullet_id")), "entry_id")

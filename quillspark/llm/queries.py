@@ -147,7 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _P4 = """
 WITH once AS (
-  SELECT requirement_id, evidence_id, max(rerank_score) AS rerank_score FROM candidates
+  SELECT requirement_id, evidence_id, max(rerank_score + 0.0) AS rerank_score FROM candidates  -- -0.0 equals 0.0
   WHERE requirement_id IS NOT NULL AND evidence_id IS NOT NULL AND rerank_score IS NOT NULL AND NOT isnan(rerank_score)
   GROUP BY 1, 2),
 ranked AS (

@@ -67,6 +67,7 @@ COMMON = frozenset(
     "achievements education about developed author manager supervisor candidate references address adresse telefon fax whatsapp dear met".split()
 )
 TITLES = frozenset("dr prof mr mrs ms miss sr sra srta herr frau mme mlle m sir dame don doña".split())
+_NO_NAME = COMMON | TITLES
 ORG_END = frozenset("ltd gmbh inc sa ag llc bv plc group sons co corp kg foods systems energy mobility analytics logistics robotics media health labs partners".split())
 ROLE_END = frozenset("manager engineer analyst developer assistant researcher designer consultant administrator associate director officer specialist lead intern architect scientist".split())
 _PARTICLE = "van|von|der|den|ter|de|la|del|di|da|do|dos|du|el|al|bin|ibn|zu|St\\.|ST\\."
@@ -101,9 +102,9 @@ class Candidate:
 def candidates(text: str) -> list[Candidate]:
     """Overlapping spans that may be personal information."""
     out: set[tuple[int, int, int, int]] = set()
-    if "@" in text or "at" in text or "AT" in text:
-        for f, p in enumerate(_FIND["email"]):
-            out.update((0, m.start(), m.end(), f) for m in p.finditer(text))
+    for f, hints in enumerate((("@", "(at", "[at", "(AT", "[AT", "( at", "[ at"), (" dot ", " DOT "))):
+        if any(h in text for h in hints):
+            out.update((0, m.start(), m.end(), f) for m in _FIND["email"][f].finditer(text))
     for k, kind in ((1, "phone"), (2, "id_number"), (3, "address")):
         for f, p in enumerate(_FIND[kind]):
             out.update((k, m.start(), m.end(), f) for m in p.finditer(text, overlapped=False))
@@ -112,7 +113,7 @@ def candidates(text: str) -> list[Candidate]:
         comma = _COMMA.match(text, m.end())
         if len(words) < 2 and not comma:
             continue
-        small = [w[2].lower().strip(".") in COMMON or w[2].lower().strip(".") in TITLES for w in words]
+        small = [w[2].lower().strip(".") in _NO_NAME for w in words]
         starts = {0} | {i + 1 for i in range(len(words) - 1) if small[i]}
         for s in starts:
             if small[s] or (len(words[s][2]) == 2 and words[s][2][1] == "."):
@@ -127,10 +128,22 @@ def candidates(text: str) -> list[Candidate]:
     return [Candidate(*c) for c in sorted(out, key=lambda c: (c[1], c[2], c[0]))]
 
 
-def features(text: str, c: Candidate) -> list[float]:
+def _context(text: str, c: Candidate, known: dict[tuple[str, int], list[float]]) -> tuple[list[float], list[float]]:
+    """What stands before and after, as numbers; candidates of a text that start or end alike share them."""
+    if (b := known.get(("b", c.start))) is None:
+        before = text[max(0, c.start - WINDOW) : c.start]
+        b = known["b", c.start] = [*(float(bool(p.search(before))) for p in _BEFORE), float(bool(_AT_FIRM.search(before))), float(bool(_LISTED.search(text[max(0, c.start - 160) : c.start])))]
+    if (a := known.get(("a", c.end))) is None:
+        after = text[c.end : c.end + 16]
+        a = known["a", c.end] = [float(bool(p.match(after))) for p in _AFTER]
+    return b, a
+
+
+def features(text: str, c: Candidate, known: dict[tuple[str, int], list[float]]) -> list[float]:
     """Format and context of a candidate as numbers."""
     span = text[c.start : c.end]
-    before, after = text[max(0, c.start - WINDOW) : c.start], text[c.end : c.end + 16]
+    after = text[c.end : c.end + 2]
+    before_features, after_features = _context(text, c, known)
     digits = sum(ch.isdigit() for ch in span)
     letters = sum(ch.isalpha() for ch in span)
     words = span.replace(",", " ").split()
@@ -139,8 +152,8 @@ def features(text: str, c: Candidate) -> list[float]:
         *(float(c.kind == k) for k in range(len(KINDS))), float(c.format), float(c.kind * 20 + c.format), float(len(span)), float(digits), float(letters), float(len(words)), float(span[0] in "+("), float(span.startswith("00")), float(span.startswith("0")), float("." in span), float("-" in span),
         float(" " in span), float("," in span), float(span.isupper()), float(any(len(w) == 2 and w[1] == "." for w in words)), float(sum(w in COMMON for w in lower)), float(bool(lower) and lower[-1] in ORG_END), float(bool(lower) and lower[-1] in ROLE_END), float(any(w in ORG_END or w in ROLE_END for w in lower)),
         float(c.start > 0 and (text[c.start - 1].isalnum() or text[c.start - 1] in "-/.")), float(after[:1] in ("-", "/") and after[1:2].isdigit()), float(sum(ch.isupper() for ch in span) / max(1, letters)), float(len(words[-1]) if words else 0),
-        float(bool(_AT_FIRM.search(before))), float(bool(_LISTED.search(text[max(0, c.start - 160) : c.start]))), float(sum(bool(_ABSTRACT.search(w)) for w in lower)), float(bool(lower) and bool(_ABSTRACT.search(lower[-1]))),
-        *(float(bool(p.search(before))) for p in _BEFORE), *(float(bool(p.match(after))) for p in _AFTER),
+        float(sum(bool(_ABSTRACT.search(w)) for w in lower)), float(bool(lower) and bool(_ABSTRACT.search(lower[-1]))),
+        *before_features, *after_features,
     ]
 
 
@@ -156,7 +169,8 @@ class Detector:
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         if not spots:
             return out
-        p = self.model.probability(np.array([features(texts[i], c) for i, c in spots], np.float32))
+        known: list[dict[tuple[str, int], list[float]]] = [{} for _ in texts]
+        p = self.model.probability(np.array([features(texts[i], c, known[i]) for i, c in spots], np.float32))
         for chosen in _select(spots, p, self.thresholds):
             i, c = spots[chosen]
             out[i].append((KINDS[c.kind], c.start, c.end))
@@ -184,8 +198,9 @@ def _labelled(count: int, seed: int) -> tuple[np.ndarray, np.ndarray, list, list
     for i, (text, spans) in enumerate(sentences(count, seed)):
         right = {(KINDS.index(k), s, e) for k, s, e in spans}
         truth.append({(k, s) for k, s, _ in right})
+        known: dict[tuple[str, int], list[float]] = {}
         for c in candidates(text):
-            x.append(features(text, c))
+            x.append(features(text, c, known))
             y.append(float((c.kind, c.start, c.end) in right))
             spots.append((i, c))
     return np.array(x, np.float32), np.array(y), spots, truth

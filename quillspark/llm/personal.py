@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -59,6 +60,10 @@ FORMATS: dict[str, list[str]] = {
 }
 _FIND = {kind: [regex.compile(rf"(?<![\p{{L}}\d@{'+(' if kind == 'phone' else ''}])(?:{f})(?![\p{{L}}\d])" if kind != "address" else rf"(?<![\p{{L}}\d])(?:{f})") for f in formats] for kind, formats in FORMATS.items()}
 
+_DIGIT = re.compile(r"\d")
+#: Every telephone and identity number has six digits or more with little between them.
+_DIGITS = re.compile("\\d(?:[ .()\\-/\xa0\u202f+A-Z]{0,4}\\d){4,}")
+
 # Words that belong to no name; titles; firms' endings.
 COMMON = frozenset(
     "a an and as at approx applicants automated based batch background budget build by cc certificate company completed contact cover das deadline der die domicilio el email emergency en end experience extended feedback fiancé flat for from "
@@ -75,20 +80,59 @@ _RUN = regex.compile(rf"(?<![\p{{L}}\d@.\-])(?:(?:{_PARTICLE}) ){{0,2}}{_CAP}(?:
 _WORD = regex.compile(r"\S+")
 _COMMA = regex.compile(rf", ({_CAP})(?: \p{{Lu}}\.)?")
 
-# What stands before and after items, by kind of clue; each is a feature.
-_BEFORE = [regex.compile(p, regex.I) for p in (
-    r"\bname:\s*$", r"(?:mentored|signed|interviewed|led|written|approved|reviewed) by\s*$|reported to\s*$|(?:ask|asking) for\s*$|spoke (?:to|with)\s*$|\bmet\s*$", r"(?:^|\W)(?:dr|prof|mrs?|ms|sra?|srta|herr|frau|mme|mlle|m)\.?\s*$",
-    r"(?:contact|kontakt|contacto|joindre|\bcc|dear|regards,|referees?|references?|supervisor|manager|author|candidate)[\s:]*$", r"panel:\s*$", r"\p{L} and\s*$", r"(?:company|title|location|based in|certificate|skills|tools)[\s:]*(?:in\s*)?$", r"\b(?:at|in|for|on|of|with)\s*$",
-    r"(?:phone|tel\.?|telephone|telefon|móvil|mobile|call|fax|whatsapp|handy)[\s.:]*$", r"(?:\bau|\bor)\s*$", r"[,;|:]\s*$", r"(?:ssn|social security|ni number|nino|national insurance|passport|\bids?|national id|identity card|nie|dni|personnummer|identity number|ausweis|licen[cs]e|tax id|steuer-id)[\s:.#]*(?:no\.?|nr\.?|number)?[\s:.]*$",
-    r"(?:lists me under|on file,|passed \()\s*$", r"(?:location|address|lives at|domicilio|wohnhaft in der|went to|adresse|resides at)[\s:]*$", r"(?:mailto:|<|e-?mail|courriel \(|\()\s*$", r"(?:isbn|code|tickets?|order|version|invoice|certificate no\.?|port|batch|hash|budget|grid|eur|€|\$|£)[\s:-]*$", r"(?:from|to|until|year:|start:)\s*$", r"(?:^|\n)[\s\-•*]*$",
-)]
-_AFTER = [regex.compile(p, regex.I) for p in (
-    r"\s*(?:eur|usd|gbp|€|rows|records|guests|invoices|users|%|k\b|months|days)", r"\s+(?:for the supplier|who|until|dated|has|hat|a signé|on |about)", r"\s*[:(]", r"\s*[.,;)\n]|$", r"[-/]\d", r"\s*(?:by mistake|, willing|since)", r"\s*(?:ltd|gmbh|inc|sa|ag|llc|bv|group)\b", r"\s+\p{Lu}", r"\s*\|", r"\s+and\s+\p{Lu}", r"\s+(?:at|au|in)\b", r"\s*&",
-)]
-WINDOW = 36
-_LISTED = regex.compile(r"(?:skills|tools|technologies|stack|experience with|strong in|less so in|new to|course on|certificate|budget for|taught|nice to have|months)\b(?:[^.\n]|\.(?! ))*$", regex.I)
-_AT_FIRM = regex.compile(r"(?:" + "|".join(ORG_END) + r")\.?,\s*$", regex.I)
+# Words and phrases that stand before an item, by kind of clue; each kind is a feature.
+_CLUES = (
+    "name", "mentored by|signed by|interviewed by|led by|written by|approved by|reviewed by|reported to|ask for|asking for|spoke to|spoke with|met", "|".join(TITLES), "contact|kontakt|contacto|joindre|cc|dear|regards|referee|referees|reference|references|supervisor|manager|author|candidate|signed",
+    "panel", "and", "company|title|location|based in|certificate|skills|tools", "at|in|for|on|of|with", "phone|tel|telephone|telefon|móvil|mobile|call|fax|whatsapp|handy|office", "au|or",
+    "ssn|security|nino|insurance|passport|id|ids|card|nie|dni|personnummer|personalausweis|ausweis|licence|license|steuer-id", "me under|on file|check passed|passed", "location|address|lives at|domicilio|in der|went to|adresse|resides at", "mailto|email|e-mail|mail|courriel",
+    "isbn|code|ticket|tickets|order|version|invoice|port|batch|hash|budget|grid|eur|€|$|£|lot|serial", "from|to|until|year|start",
+)
+_NUMBERED = frozenset(("no", "nr", "number", "n°", "#"))
+_BEFORE: dict[str, list[int]] = {}
+for _k, _group in enumerate(_CLUES):
+    for _phrase in _group.split("|"):
+        _BEFORE.setdefault(_phrase, []).append(_k)
+_SIGNS = ":,;|(<.-/@"
+# Words that stand after an item, by kind.
+_NEXT = {w: k for k, group in enumerate(("eur usd gbp € rows records guests invoices users % months days people requests", "for who until dated has hat a on about", "by since willing", "ltd gmbh inc sa ag llc bv group", "and", "at au in")) for w in group.split()}
+_LISTS = ("skills", "tools", "technologies", "stack", "experience with", "strong in", "less so in", "new to", "course on", "certificate", "budget for", "taught", "nice to have", "months")
 _ABSTRACT = regex.compile(r"(?:ing|tion|sion|ment|ance|ence|ity|ics|sis|ware|base|ness|ship|ure|sign|on|graphs?|ers|ies|tems?|ory|form|face|work|code|script|sql|api|control|security|review|lake|data|cloud|web|services?|vision|boot|css|excel|studio)$", regex.I)
+WINDOW = 40
+
+
+def _before_features(text: str, start: int) -> list[float]:
+    before = text[max(0, start - WINDOW) : start]
+    bare = before.rstrip(" \t\xa0")
+    last = bare[-1:] if bare else "\n"
+    words = [w.strip(":,;|(<.") for w in bare.lower().rsplit(None, 4)[-4:]]
+    words = [w for w in words if w]
+    clue = [0.0] * len(_CLUES)
+    numbered = bool(words) and words[-1] in _NUMBERED
+    if last != "\n":
+        for tail in (words[:-1], words) if numbered else (words,):
+            for n in (1, 2):
+                for k in _BEFORE.get(" ".join(tail[-n:]), ()) if len(tail) >= n else ():
+                    clue[k] = 1.0
+    sign = [0.0] * (len(_SIGNS) + 1)
+    sign[_SIGNS.find(last)] = 1.0
+    cut = max(text.rfind("\n", 0, start), text.rfind(". ", 0, start), start - 200, 0)
+    line = text[cut:start].lower()
+    firm = last == "," and bool(words) and words[-1] in ORG_END
+    head = not line.strip(" \n.-•*")
+    return [*clue, *sign, float(numbered), float(firm), float(head), float(any(w in line for w in _LISTS))]
+
+
+def _after_features(text: str, end: int) -> list[float]:
+    after = text[end : end + 20]
+    stripped = after.lstrip(" ")
+    first = stripped[:1]
+    word = stripped.split(None, 1)[0].lower().strip(".,;:)") if stripped.strip() else ""
+    kinds = [0.0] * 6
+    if word in _NEXT:
+        kinds[_NEXT[word]] = 1.0
+    return [
+        *kinds, float(after[:1] in "-/" and after[1:2].isdigit()), float(first in ":("), float(first in ".,;)"), float(first in ("", "\n")), float(first == "|"), float(first == "&"), float(first.isupper()), float(first.islower()), float(first.isdigit()),
+    ]
 
 
 @dataclass(frozen=True)
@@ -105,9 +149,14 @@ def candidates(text: str) -> list[Candidate]:
     for f, hints in enumerate((("@", "(at", "[at", "(AT", "[AT", "( at", "[ at"), (" dot ", " DOT "))):
         if any(h in text for h in hints):
             out.update((0, m.start(), m.end(), f) for m in _FIND["email"][f].finditer(text))
-    for k, kind in ((1, "phone"), (2, "id_number"), (3, "address")):
-        for f, p in enumerate(_FIND[kind]):
-            out.update((k, m.start(), m.end(), f) for m in p.finditer(text, overlapped=False))
+    if _DIGIT.search(text):
+        for f, p in enumerate(_FIND["address"]):
+            out.update((3, m.start(), m.end(), f) for m in p.finditer(text))
+        for near in _DIGITS.finditer(text):
+            a, b = max(0, near.start() - 8), min(len(text), near.end() + 16)
+            for k, kind in ((1, "phone"), (2, "id_number")):
+                for f, p in enumerate(_FIND[kind]):
+                    out.update((k, m.start(), m.end(), f) for m in p.finditer(text, a, b))
     for m in _RUN.finditer(text):
         words = [(w.start() + m.start(), w.end() + m.start(), w.group()) for w in _WORD.finditer(m.group())]
         comma = _COMMA.match(text, m.end())
@@ -131,11 +180,9 @@ def candidates(text: str) -> list[Candidate]:
 def _context(text: str, c: Candidate, known: dict[tuple[str, int], list[float]]) -> tuple[list[float], list[float]]:
     """What stands before and after, as numbers; candidates of a text that start or end alike share them."""
     if (b := known.get(("b", c.start))) is None:
-        before = text[max(0, c.start - WINDOW) : c.start]
-        b = known["b", c.start] = [*(float(bool(p.search(before))) for p in _BEFORE), float(bool(_AT_FIRM.search(before))), float(bool(_LISTED.search(text[max(0, c.start - 160) : c.start])))]
+        b = known["b", c.start] = _before_features(text, c.start)
     if (a := known.get(("a", c.end))) is None:
-        after = text[c.end : c.end + 16]
-        a = known["a", c.end] = [float(bool(p.match(after))) for p in _AFTER]
+        a = known["a", c.end] = _after_features(text, c.end)
     return b, a
 
 

@@ -439,6 +439,21 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("source_file").agg(F.sha2(F.array_join(pages, "\n\n"), 256).alias("prompt"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT entity_id, document_id, metadata.email AS email, metadata.phone AS phone FROM parsed_documents WHERE entity_type = 'profile' AND entity_id IS NOT NULL AND document_id IS NOT NULL)
+SELECT entity_id, arg_min(email, document_id) FILTER (trim(coalesce(email, '')) <> '') AS email, arg_min(phone, document_id) FILTER (trim(coalesce(phone, '')) <> '') AS phone FROM p GROUP BY 1""")
+def contact_first(spark: SparkSession, d: str) -> DataFrame:
+    """Per profile: the first contact of each kind that isn't blank."""
+    p = C.documents(spark, d).where("entity_type = 'profile' and entity_id is not null").select("entity_id", "document_id", "metadata.email", "metadata.phone")
+    return E.first_filled(p, "entity_id", "document_id", ["email", "phone"])
+
+
+@query(f"WITH {_CARDS} SELECT count(*) AS n, CAST(sum(CASE WHEN claim IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS without_claim FROM cards")
+def index_size(spark: SparkSession, d: str) -> DataFrame:
+    """What a search index of all cards holds: the count that a stored index is checked against."""
+    return C.cards(spark, d).agg(F.count("*").alias("n"), F.sum(F.when(F.col("claim").isNull(), 1).otherwise(0)).alias("without_claim"))
+
+
 # --- selection
 
 _MATCH = f"""
@@ -519,30 +534,39 @@ def skill_grouping(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("skill", S.skill_group(F.col("skill")).alias("skill_group")).agg(F.count("*").alias("spellings"))
 
 
-@query()
+@query(rf"""
+WITH r AS (SELECT DISTINCT requirement_id, text, skills FROM requirements WHERE requirement_id IS NOT NULL), x AS (SELECT requirement_id AS owner, {_FOLD.format('text')} AS job, unnest(skills) AS s, unnest(range(len(skills))) AS pos FROM r),
+y AS (SELECT owner, job, pos, {_strip('s')} AS skill FROM x WHERE s IS NOT NULL), z AS (SELECT owner, job, {_FOLD.format('skill')} AS folded, min_by(skill, pos) AS skill FROM y WHERE skill <> '' AND length(skill) <= 42 AND NOT contains(skill, ':') AND NOT contains(skill, chr(10)) GROUP BY 1, 2, 3),
+q AS (SELECT *, CASE WHEN coalesce(regexp_matches(job, '(^|\W)' || regexp_escape(folded) || '(\W|$)'), false) THEN 6 ELSE 0 END AS score FROM z)
+SELECT owner, CAST(row_number() OVER (PARTITION BY owner ORDER BY score DESC, folded) AS INT) AS place, skill, score FROM q QUALIFY place <= 16""")
 def pick_skills(spark: SparkSession, d: str) -> DataFrame:
-    """Per role: the sixteen skills of its requirements that its texts name, then by spelling."""
-    r = table(spark, d, "requirements").where("role_title is not null")
-    s = r.select(F.col("role_title").alias("owner"), "requirement_id", F.posexplode("skills").alias("n", "skill")).withColumn("pos", F.struct("requirement_id", "n"))
-    texts = r.select(F.col("role_title").alias("owner"), "requirement_id", "text").distinct().groupBy("owner").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("requirement_id", "text"))), lambda x: x["text"]), " ").alias("text"))
-    return S.best_skills(s.select("owner", "pos", "skill"), texts)
+    """Per requirement: its skills, those that its text names first, then by spelling."""
+    r = table(spark, d, "requirements").where("requirement_id is not null").select(F.col("requirement_id").alias("owner"), "text", "skills").distinct()
+    return S.best_skills(r.select("owner", F.posexplode("skills").alias("pos", "skill")), r.select("owner", "text"))
 
 
 _LAYOUT = f"""WITH {_BULLETS}, p AS (SELECT section, entry_id, bullet_id, row_number() OVER (PARTITION BY section, entry_id ORDER BY bullet_id) - 1 AS bullet_pos FROM bs WHERE entry_id IS NOT NULL)"""
 
 
-@query(_LAYOUT + " SELECT entry_id AS owner, section, bullet_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY CASE section WHEN 'projects' THEN 0 ELSE 1 END, bullet_pos DESC) AS INT) AS step FROM p WHERE bullet_pos > 0 AND section IN ('projects', 'experience')")
+@query(_LAYOUT + " SELECT entry_id AS owner, section, bullet_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY CASE section WHEN 'projects' THEN 0 ELSE 1 END, bullet_pos DESC) AS INT) AS step FROM p WHERE bullet_pos > 0 AND section IN ('projects', 'experience') QUALIFY step <= 32")
 def layout_trim_order(spark: SparkSession, d: str) -> DataFrame:
-    b = _bullets(spark, d).where("entry_id is not null").withColumn("bullet_pos", F.row_number().over(Window.partitionBy("section", "entry_id").orderBy("bullet_id")) - 1)
-    return S.trim_order(b.select(F.col("entry_id").alias("owner"), "section", F.lit(0).alias("entry_pos"), "bullet_pos", "bullet_id")).select("owner", "section", "bullet_id", "step")
+    b = _bullets(spark, d).where("entry_id is not null").select(F.col("entry_id").alias("owner"), "section", F.lit(0).alias("entry_pos"), F.col("bullet_id").alias("bullet"))
+    return S.trim_order(b).select("owner", "section", F.col("bullet").alias("bullet_id"), "step")
 
 
-@query()
+def _near_sql(a: str, b: str) -> str:
+    return f"({_jaccard_sql(_WORDSET.format(a), _WORDSET.format(b))}) >= 0.72"
+
+
+@query(f"""
+WITH {_BULLETS}, r AS (SELECT entry_id, bullet_id, text FROM bs WHERE entry_id IS NOT NULL AND text IS NOT NULL),
+f1 AS (SELECT entry_id, min(bullet_id) AS bullet_id, min_by(text, bullet_id) AS text FROM r GROUP BY 1),
+r2 AS (SELECT r.* FROM r JOIN f1 USING (entry_id) WHERE r.bullet_id > f1.bullet_id AND NOT {_near_sql('r.text', 'f1.text')}), f2 AS (SELECT entry_id, min(bullet_id) AS bullet_id, min_by(text, bullet_id) AS text FROM r2 GROUP BY 1),
+r3 AS (SELECT r2.* FROM r2 JOIN f2 USING (entry_id) WHERE r2.bullet_id > f2.bullet_id AND NOT {_near_sql('r2.text', 'f2.text')}), f3 AS (SELECT entry_id, min(bullet_id) AS bullet_id FROM r3 GROUP BY 1)
+SELECT entry_id, CAST(1 AS INT) AS place, bullet_id FROM f1 UNION ALL SELECT entry_id, 2, bullet_id FROM f2 UNION ALL SELECT entry_id, 3, bullet_id FROM f3""")
 def bullets_distinct(spark: SparkSession, d: str) -> DataFrame:
-    """Per entry: its bullets without those that repeat an earlier one in other words."""
-    b = _bullets(spark, d).where("entry_id is not null and text is not null")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("bullet_id", "text"))), lambda x: x["text"])
-    return b.groupBy("entry_id").agg(F.count("*").alias("given"), E.greedy_distinct(texts).alias("kept")).select("entry_id", "given", F.size("kept").alias("kept"))
+    """Per entry: its first three bullets that don't repeat one another in other words."""
+    return E.greedy_first(_bullets(spark, d), "entry_id", "bullet_id", "text").select("entry_id", "place", "bullet_id")
 
 
 @query(_LAYOUT.replace("bullet_id, row_number", "bullet_id, text, row_number").replace("FROM bs WHERE entry_id IS NOT NULL", "FROM bs WHERE entry_id IS NOT NULL AND validated AND text IS NOT NULL") + f""", i AS (SELECT entry_id, bullet_id, array_to_string({_escaped_sql(_INLINE)}, '') AS t FROM p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import distinct_folded, fold_case, hash_id, metrics_complete, strip
+from quillspark.functions.text import distinct_folded, hash_id, jaccard, metrics_complete, strip, word_set
 
 STATE_VERSION = 3
 
@@ -70,29 +70,29 @@ def owned(bullets: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
     return have.join(wrong, "bullet_id", "left_anti"), have.join(wrong, "bullet_id", "left_semi")
 
 
-def greedy_distinct(texts: Column, threshold: float = 0.72) -> Column:
-    """Of an ordered array of strings, those that no kept one before them resembles by shared words; empty ones resemble none.
+def greedy_first(rows: DataFrame, group: str, ident: str, text: str, k: int = 3, threshold: float = 0.72) -> DataFrame:
+    """(group, place, ident, text): the first k rows of each group, by ident, that resemble none before them by shared words.
 
-    The work is the array's length times what is kept: meant for the statements of one entry, not of a corpus.
+    One pass a place: the smallest ident of each group is taken (combined before the shuffle), and what resembles it drops
+    out. So a group of any size is never gathered, and the result is that of a loop over its rows which stops at k.
     """
-
-    def words(x: Column) -> Column:
-        return F.array_distinct(F.regexp_extract_all(fold_case(x), F.lit("[a-z0-9]+"), F.lit(0)))
-
-    def near(x: Column, y: Column) -> Column:
-        a, b = words(x), words(y)
-        both = F.size(F.array_intersect(a, b))
-        return (both > 0) & (both >= threshold * (F.size(a) + F.size(b) - both))
-
-    return F.aggregate(texts, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    left = rows.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(text).alias("t")).where("g is not null and i is not null and t is not null").distinct().withColumn("w", word_set(F.col("t")))
+    out = None
+    for place in range(1, k + 1):
+        first = left.groupBy("g").agg(F.min(F.struct("i", "t", "w")).alias("f"))
+        taken = first.select(F.col("g").alias(group), F.lit(place).alias("place"), F.col("f.i").alias(ident), F.col("f.t").alias(text))
+        out = taken if out is None else out.unionByName(taken)
+        left = left.join(first, "g").where((F.struct("i", "t") > F.struct("f.i", "f.t")) & (jaccard(F.col("w"), F.col("f.w")) < threshold)).drop("f")
+    return out
 
 
 def merged_entries(docs: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """One row per natural key: the values of its last row, the place of its first, and all its source files in order."""
-    w = Window.partitionBy(*keys)
-    ranked = docs.withColumns({"first_pos": F.min(pos).over(w), "last_pos": F.max(pos).over(w)})
-    files = ranked.groupBy(*keys).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(pos, "source_file"))), lambda x: x["source_file"])).alias("source_files"))
-    return ranked.where(F.col(pos) == F.col("last_pos")).drop("last_pos", pos, "source_file").join(files, keys)
+    """One row per natural key: the values of its last row, the place of its first, and its distinct source files in order."""
+    rest = [c for c in docs.columns if c not in (*keys, "source_file")]
+    rows = docs.groupBy(*keys).agg(F.min(pos).alias("first_pos"), F.max(F.struct(pos, *[c for c in rest if c != pos])).alias("last"))
+    files = docs.groupBy(*keys, "source_file").agg(F.min(pos).alias("p")).groupBy(*keys)
+    named = files.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "source_file"))), lambda x: x["source_file"]).alias("source_files"))
+    return rows.join(named, keys).select(*keys, "first_pos", *[F.col(f"last.{c}").alias(c) for c in rest if c != pos], "source_files")
 
 
 def with_system_first(messages: DataFrame) -> DataFrame:
@@ -106,3 +106,21 @@ def with_system_first(messages: DataFrame) -> DataFrame:
     heads = rest.where("n = 1")
     lone = system.join(heads.select("conv_id", "role"), "conv_id", "left").where("role is null or role <> 'user'").select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("user").alias("role"), F.col("lead").alias("text"))
     return merged.select("conv_id", F.col("turn").cast("bigint"), "role", "text").unionByName(lone)
+
+
+def first_filled(rows: DataFrame, key: str, pos: str, columns: list[str]) -> DataFrame:
+    """Per key and column the first value, by ``pos``, that is neither null nor blank."""
+    filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    return rows.groupBy(key).agg(*[F.min_by(F.when(filled(c), F.col(c)), F.when(filled(c), F.col(pos))).alias(c) for c in columns])
+
+
+def with_required(entries: Column, *names: str) -> Column:
+    """The structs of an array whose named fields are all filled; a null array is empty."""
+
+    def ok(e: Column) -> Column:
+        out = F.lit(True)
+        for n in names:
+            out = out & (F.coalesce(F.trim(e[n]), F.lit("")) != "")
+        return out
+
+    return F.filter(entries, ok)

@@ -14,7 +14,7 @@ from quillspark.functions.text import tokens
 K1, B = 1.5, 0.75
 RRF = 60
 #: Query terms are broadcast up to this many rows; more are joined by shuffle.
-BROADCAST_TERMS = 2_000_000
+BROADCAST_TERMS = 400_000
 #: Queries in one block of the vector search: block x dimensions doubles in each task.
 QUERY_BLOCK = 4096
 

@@ -63,7 +63,8 @@ def plan_selection(cards: DataFrame, plan: str, most: int = 28, each: int = 3) -
     best = [F.desc(f"r{k}") for k in range(1, 6)] + [F.desc("evidence_id")]
     said = plan_order(cards).withColumn("said", fold_case(strip(F.coalesce("claim", F.lit(""))))).where("said <> ''")
     once = said.withColumn("n", F.row_number().over(Window.partitionBy(plan, "entity_id", "said").orderBy(*best))).where("n = 1")
-    nth = once.withColumn("k", F.row_number().over(Window.partitionBy(plan, "entity_id").orderBy(*best)))
+    # The better rows of an entity all come before a row of it, so no entity gives more than ``most``.
+    nth = once.withColumn("k", F.row_number().over(Window.partitionBy(plan, "entity_id").orderBy(*best))).where(F.col("k") <= most)
     entry = F.when(F.col("entity_type") == "experience", 0).when(F.col("entity_type") == "project", 1)
     quota = entry.isNotNull() & (F.col("k") <= each)
     phase = F.when(F.col("r1") > 0, 0).when(quota, 1).otherwise(2)
@@ -112,11 +113,13 @@ def skill_group(skill: Column) -> Column:
     return out
 
 
-def trim_order(bullets: DataFrame) -> DataFrame:
-    """(owner, section, entry_pos, bullet_pos) with ``step``: the order in which a layout that is too long drops bullets.
+def trim_order(bullets: DataFrame, steps: int = 32) -> DataFrame:
+    """(owner, section, entry_pos, bullet) with ``step``: the first bullets that a layout which is too long drops, in order.
 
     Projects before experience, the last entry first, its last bullet first; the first bullet of an entry is never dropped.
     """
-    b = bullets.where("bullet_pos > 0 and section in ('projects', 'experience')")
-    w = Window.partitionBy("owner").orderBy(F.when(F.col("section") == "projects", 0).otherwise(1), F.desc("entry_pos"), F.desc("bullet_pos"))
-    return b.withColumn("step", F.row_number().over(w).cast("int"))
+    b = bullets.where("section in ('projects', 'experience')")
+    first = b.groupBy("owner", "section", "entry_pos").agg(F.min("bullet").alias("first"))
+    w = Window.partitionBy("owner").orderBy(F.when(F.col("section") == "projects", 0).otherwise(1), F.desc("entry_pos"), F.desc("bullet"))
+    rest = b.join(first, ["owner", "section", "entry_pos"]).where("bullet > first").drop("first")
+    return rest.withColumn("step", F.row_number().over(w).cast("int")).where(F.col("step") <= steps)

@@ -12,6 +12,7 @@ from quillspark.operators import markdown as M
 from quillspark.operators import render as R
 from quillspark.operators import selection as S
 from quillspark.operators.scorers import embed, load
+from quillspark.plans import index, rounds
 from quillspark.sources import files, sinks
 from quillspark.streaming.chunks import stream_chunks, write_chunks
 
@@ -174,16 +175,25 @@ def test_cards_from_facts(spark):
     assert len({r.evidence_id for r in out}) == 1 and out[0].claim == "Did it" and out[0].skills == ["A"] and out[0].metrics == []
 
 
-def test_greedy_distinct_equals_a_loop(spark):
+def test_greedy_first_equals_a_loop(spark):
     r = random.Random(2)
-    for _ in range(8):
-        texts = [" ".join(r.choices("abcdefg", k=r.randint(0, 8))) for _ in range(12)]
+    rows = [(f"g{i % 6}", f"{i:03d}", " ".join(r.choices("abcdefg", k=r.randint(0, 8)))) for i in range(90)] + [(None, "x", "a"), ("g0", None, "a"), ("g0", "x", None)]
+    want = set()
+    for g in {x[0] for x in rows} - {None}:
         kept = []
-        for t in texts:
+        for _, i, t in sorted(x for x in rows if x[0] == g and None not in x):
             a = set(t.split())
-            if not any(a and b and len(a & b) / len(a | b) >= 0.72 for b in (set(k.split()) for k in kept)):
-                kept.append(t)
-        assert spark.createDataFrame([(texts,)], "t array<string>").select(E.greedy_distinct(F.col("t")).alias("k")).first().k == kept
+            if len(kept) < 3 and not any(a and b and len(a & b) / len(a | b) >= 0.72 for b in (set(k[1].split()) for k in kept)):
+                kept.append((i, t))
+        want |= {(g, n, i) for n, (i, _) in enumerate(kept, 1)}
+    out = E.greedy_first(spark.createDataFrame(rows, "g string, i string, t string"), "g", "i", "t").collect()
+    assert {(x.g, x.place, x.i) for x in out} == want
+
+
+def test_merged_entries(spark):
+    rows = [("A", "x", "1", "f1", "old"), ("A", "x", "3", "f1", "new"), ("A", "x", "2", "f2", "mid"), ("B", "y", "4", None, None)]
+    out = {r.company: r for r in E.merged_entries(spark.createDataFrame(rows, "company string, title string, pos string, source_file string, location string"), ["company", "title"], "pos").collect()}
+    assert (out["A"].location, out["A"].first_pos, out["A"].source_files) == ("new", "1", ["f1", "f2"]) and out["B"].location is None
 
 
 def test_system_messages(spark):
@@ -254,3 +264,29 @@ def test_stream_equals_batch(spark, tmp_path):
     docs.repartition(3).write.json(str(tmp_path / "in"))
     write_chunks(stream_chunks(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == chunking.chunk_documents(docs).count()
+
+
+def test_index_is_used_only_for_its_rows(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
+    p = str(tmp_path / "i")
+    assert index.load(spark, docs, p, "m") is None
+    index.build(docs, p, "m")
+    assert index.load(spark, docs, p, "m").count() == 2 and index.load(spark, docs, p, "n") is None
+    assert index.load(spark, docs.where("doc_id = 'a'"), p, "m") is None
+
+
+def test_rounds(spark):
+    class Stub:  # here, so that it travels by value
+        version = "1"
+
+        def generate(self, prompts):
+            return ["bad" if p.count("can't") < int(p[0]) else "good" for p in prompts]
+
+    df = spark.createDataFrame([(str(i), f"{i} prompt") for i in range(5)], "id string, prompt string")
+    out = {r.id: (r.round, r.response) for r in rounds.generate_checked(df, Stub(), lambda c: F.when(c == "bad", "bad")).collect()}
+    assert out == {"0": (1, "good"), "1": (2, "good"), "2": (3, "good"), "3": (3, "bad"), "4": (3, "bad")}
+
+
+def test_required_fields(spark):
+    df = spark.createDataFrame([([("a", "b"), ("a", " "), (None, "b")],)], "x array<struct<p:string,q:string>>")
+    assert len(df.select(E.with_required(F.col("x"), "p", "q").alias("y")).first().y) == 1

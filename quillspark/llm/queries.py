@@ -27,18 +27,19 @@ def _skills(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     items = map_elements(table(spark, d, "evidence"), "evidence_id", "skills", names).unionByName(
         map_elements(table(spark, d, "requirements"), "requirement_id", "skills", names)
     )
+    items = Scratch(spark).write(items.distinct(), "items")
     return items, map_to_list(items, names.unionByName(aliases))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     items, mapped = _skills(spark, d)
-    return join_spread(items.distinct(), mapped, "value").select("record_id", "pos", F.col("ref_id").alias("skill_id")).distinct()
+    return join_spread(items, mapped, "value").select("record_id", "pos", F.col("ref_id").alias("skill_id")).distinct()
 
 
 def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
     """The values that mean no entry, and in how many places they stand."""
     items, mapped = _skills(spark, d)
-    return items.distinct().groupBy("value").agg(F.count("*").alias("places")).join(mapped.where("ref_id = 0").select("value"), "value")
+    return items.groupBy("value").agg(F.count("*").alias("places")).join(mapped.where("ref_id = 0").select("value"), "value")
 
 
 def _statements(spark: SparkSession, d: str) -> DataFrame:

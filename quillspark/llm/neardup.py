@@ -32,7 +32,8 @@ BUCKETS = 1 << 18
 LONG = 96
 #: A file of more rows is cut by the next shared word; one that can't be cut is paired along its first coordinate.
 CUT_ABOVE = 128
-#: Words in more texts than this get a file for each word that may follow, so that no file fills a task.
+#: Words in more texts than this get a file for each word, or each two words, that may follow (single ones, for each
+#: pair of blocks of their texts), so that no file fills a task.
 FILE_ROWS = 100_000
 #: Rows that are paired at a time.
 BLOCK = 200_000
@@ -147,18 +148,31 @@ def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float,
         wide = count[at] > FILE_ROWS
         a = ~wide & (seconds > 0)
         emit(_mix(flat[at[a]], salt[r[a]]), r[a], n[r[a]] | (seconds[a] << 32), at[a] + 1, (last - i - 1)[a])
-        if wide.any():  # a file for each second word
+        if wide.any():  # a file for each second word, or where that is as frequent for each third one
             w = np.flatnonzero(wide & (seconds > 0))
-            rr, ii, aa = np.repeat(r[w], seconds[w]), np.repeat(i[w], seconds[w]), np.repeat(at[w], seconds[w])
-            j = ii + 1 + _ragged(np.zeros(len(w), np.int64), seconds[w])
-            second = start[rr] + j
-            emit(_mix(_mix(flat[aa], salt[rr]), flat[second]), rr, n[rr] | (-1 << 32), second + 1, np.minimum(n[rr], e[rr] + 3) - j - 1)
+            k = seconds[w]
+            rr, aa = np.repeat(r[w], k), np.repeat(at[w], k)
+            second = np.repeat(at[w] + 1, k) + _ragged(np.zeros(len(w), np.int64), k)
+            end = start[rr] + np.minimum(n[rr], e[rr] + 3)
+            two = _mix(_mix(flat[aa], salt[rr]), flat[second])
+            b = count[second] <= FILE_ROWS
+            emit(two[b], rr[b], n[rr[b]] | (-1 << 32), second[b] + 1, (end - second - 1)[b])
+            b = np.flatnonzero(~b)
+            k = (end - second - 1)[b]
+            r3 = np.repeat(rr[b], k)
+            third = _ragged(second[b] + 1, k)
+            emit(_mix(np.repeat(two[b], k), flat[third]), r3, n[r3], third, np.zeros(len(r3), np.int64))
     rows = np.flatnonzero(single)
     if len(rows):
         k = e[rows] + 1
         r = np.repeat(rows, k)
         at = start[r] + _ragged(np.zeros(len(rows), np.int64), k)
-        emit(_mix(~flat[at], salt[r]), r, n[r], at, np.zeros(len(r), np.int64))
+        # A frequent word has a file for each pair of blocks of its texts: FILE_ROWS texts or so in a block.
+        blocks = -(-count[at] // FILE_ROWS)
+        r, at, blocks, other = np.repeat(r, blocks), np.repeat(at, blocks), np.repeat(blocks, blocks), _ragged(np.zeros(len(at), np.int64), blocks)
+        own = rids[r] % blocks
+        pair = np.minimum(own, other) * blocks + np.maximum(own, other)
+        emit(_mix(_mix(~flat[at], salt[r]), pair.astype(np.uint64)), r, n[r], at, np.zeros(len(r), np.int64))
     return out
 
 

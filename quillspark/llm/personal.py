@@ -60,6 +60,11 @@ FORMATS: dict[str, list[str]] = {
 }
 _FIND = {kind: [regex.compile(rf"(?<![\p{{L}}\d@{'+(' if kind == 'phone' else ''}])(?:{f})(?![\p{{L}}\d])" if kind != "address" else rf"(?<![\p{{L}}\d])(?:{f})") for f in formats] for kind, formats in FORMATS.items()}
 
+#: What every match of the address format of the same index contains: cheap to look for.
+_STREETS = [re.compile(p) for p in (
+    r" (?:St|Road|Rd|Ave|Boul|Blvd|Lan|Ln|Dr|Way|Park|Pkwy|Cour|Ct|Clos|Row|Terr|Cres|Pl|Sq|Gard|Mews|Hill)", r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d",
+    r"\d(?: ?(?:bis|ter))?,? (?:rue|av|impasse|boulevard|bd|place|chemin|allée|quai|route|cours)", r"(?:Calle|C/|Avda|Avenida|Av\.|Plaza|Paseo|Camino|Carrera|R[uú]a|Travessa|Via|Piazza|ul\.|al\.)",
+)]
 _DIGIT = re.compile(r"\d")
 #: Every telephone and identity number has six digits or more with little between them.
 _DIGITS = re.compile("\\d(?:[ .()\\-/\xa0\u202f+A-Z]{0,4}\\d){4,}")
@@ -151,15 +156,18 @@ def candidates(text: str) -> list[Candidate]:
             out.update((0, m.start(), m.end(), f) for m in _FIND["email"][f].finditer(text))
     if _DIGIT.search(text):
         for f, p in enumerate(_FIND["address"]):
-            out.update((3, m.start(), m.end(), f) for m in p.finditer(text))
+            if _STREETS[f].search(text):
+                out.update((3, m.start(), m.end(), f) for m in p.finditer(text))
         for near in _DIGITS.finditer(text):
             a, b = max(0, near.start() - 8), min(len(text), near.end() + 16)
             for k, kind in ((1, "phone"), (2, "id_number")):
                 for f, p in enumerate(_FIND[kind]):
                     out.update((k, m.start(), m.end(), f) for m in p.finditer(text, a, b))
     for m in _RUN.finditer(text):
+        comma = text.startswith(", ", m.end()) and _COMMA.match(text, m.end())
+        if not comma and " " not in m.group():
+            continue
         words = [(w.start() + m.start(), w.end() + m.start(), w.group()) for w in _WORD.finditer(m.group())]
-        comma = _COMMA.match(text, m.end())
         if len(words) < 2 and not comma:
             continue
         small = [w[2].lower().strip(".") in _NO_NAME for w in words]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,3 +88,12 @@ def join_spread(rows: DataFrame, side: DataFrame, key: str, part: int = 1000) ->
     return rows.join(F.broadcast(side.join(few, key, "left_semi")), key).unionByName(
         rows.join(few, key, "left_anti").join(side.join(few, key, "left_anti"), key)
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the Python workers, wherever the driver was started; once for each context."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_quillspark_shipped", False):
+        root = Path(__file__).resolve().parent
+        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillspark-')}/quillspark", "zip", root.parent, root.name))
+        sc._quillspark_shipped = True

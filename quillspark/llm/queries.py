@@ -168,8 +168,6 @@ shared AS (
 
 ORACLES: dict[str, str] = {
     "p2_found": _P2 + "SELECT DISTINCT id_a, id_b FROM shared WHERE c >= 0.75 * (na + nb - c)",
-    "p1_found": p1_found,
-    "p1_unmatched": p1_unmatched,
     "p3_found": r"SELECT DISTINCT chunk_id FROM chunks WHERE length(trim(text, E' \t\r\n')) > 500",
     "p4_found": _P4 + "SELECT requirement_id, evidence_id FROM ranked WHERE \"rank\" <= 5",
     "p4_top": _P4 + "SELECT * FROM ranked WHERE \"rank\" <= 5",

@@ -51,3 +51,21 @@ def test_elements(spark):
 @pytest.mark.parametrize("a,b,most,want", [("abc", "acb", 2, 1), ("abc", "abc", 0, 0), ("kitten", "sitting", 3, 3), ("a", "abcd", 2, 3), ("", "ab", 2, 2)])
 def test_edits(a, b, most, want):
     assert C.edits(a, b, most) == want
+
+
+def test_found_equals_brute_force(spark, tmp_path):
+    """Misspelt names and aliases mean the entry with the fewest edits among all; and only SQL stands as SQL."""
+    from quillspark.llm import queries as Q
+
+    assert all(isinstance(sql, str) for sql in Q.ORACLES.values())
+    entries = [(1, "Python", ["CPython"]), (2, "Kubernetes", []), (3, "Risk Assessment", ["Hazard Analysis"]), (4, "Visual Basic", []), (5, "Photography", [])]
+    names = [(i, n) for i, name, aliases in entries for n in [name, *aliases]]
+    r = random.Random(2)
+    values = [n[:k] + n[k + 1] + n[k] + n[k + 2 :] for _, n in names for k in r.sample(range(1, len(n) - 2), 3)]
+    rows = {"skill_catalog": (entries, "skill_id int, skill_name string, aliases array<string>"), "evidence": ([("e1", values), ("e1", values)], "evidence_id string, skills array<string>"), "requirements": ([("r1", ["Python", None, " ", *values[:4]])], "requirement_id string, skills array<string>")}
+    for name, (data, ddl) in rows.items():
+        spark.createDataFrame(data, ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    best = {v: min((C.edits(C.fold(v), C.fold(n), 99), i) for i, n in names)[1] for v in values}
+    want = {("e1", k, best[v]) for k, v in enumerate(values)} | {("r1", k + 3, best[v]) for k, v in enumerate(values[:4])}
+    got = [tuple(x) for x in Q.p1_found(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Cost of cutting at a boundary of each kind; a piece off the even size costs up to about SIZE_COST.
-PENALTY = {"paragraph": 0.0, "line": 1.0, "sentence": 1.5, "clause": 4.0, "word": 8.0, "inside": 60.0}
+PENALTY = {"paragraph": 0.0, "line": 1.0, "sentence": 1.5, "clause": 4.0, "word": 8.0, "inside": 60.0, "cluster": 600.0}
 SIZE_COST = 12.0
 PIECE_COST = 6.0
 #: White space that is trimmed at the ends.
@@ -28,8 +29,13 @@ def boundaries(text: str, limit: int) -> list[tuple[int, int, float]]:
     """(end of the piece before, start of the text after, penalty) of every place where the text may be cut.
 
     The white space of a boundary belongs to neither side. Runs of more than half the limit without a boundary may be
-    cut inside, but never between a base character and its combining marks, joiners or modifiers.
+    cut inside, but not between a base character and its combining marks, joiners or modifiers, unless these alone
+    exceed the limit.
     """
+
+    def glued(p: int) -> bool:
+        return bool(_GLUE.match(text, p)) or text[p - 1] == "\u200d"
+
     cuts = [(m.start(), m.end(), PENALTY[m.lastgroup]) for m in _CUTS.finditer(text) if 0 < m.start() and m.end() < len(text)]
     merged: list[tuple[int, int, float]] = []
     for c in cuts:
@@ -41,12 +47,25 @@ def boundaries(text: str, limit: int) -> list[tuple[int, int, float]]:
     before = 0
     for c in [*merged, (len(text), len(text), 0.0)]:
         if c[0] - before > limit // 2:
+            places, q = [before], before
             for p in range(before + STEP, c[0], STEP):
+                if p <= q:
+                    continue
                 q = p
-                while q < c[0] and (_GLUE.match(text, q) or text[q - 1] == "‍"):
+                while q < c[0] and glued(q):
                     q += 1
-                if q < c[0] and (not out or q > out[-1][1]):
-                    out.append((q, q, PENALTY["inside"]))
+                if q < c[0]:
+                    places.append(q)
+            for lo, hi in itertools.pairwise([*places, c[0]]):
+                if hi - lo > limit:
+                    ends = [lo, *(p for p in range(lo + 1, hi) if not glued(p)), hi]
+                    for x, y in itertools.pairwise(ends):
+                        if y - x > limit:
+                            out += [(p, p, PENALTY["cluster"]) for p in range(x + STEP, y, STEP)]
+                        if y < hi:
+                            out.append((y, y, PENALTY["inside"]))
+                if hi < c[0]:
+                    out.append((hi, hi, PENALTY["inside"]))
         out.append(c)
         before = c[1]
     return out[:-1]
@@ -67,8 +86,8 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     worth = np.array([c[2] + PENALTY["word"] * c[1] / max(1, overlap) for c in cuts])
 
     def next_start(k: int) -> int:
-        """Where the piece after end k starts: the best boundary at most ``overlap`` back, the earliest of equals."""
-        lo, hi = bisect.bisect_left(at, ends[k] - overlap), bisect.bisect_left(at, ends[k])
+        """Where the piece after end k starts: the best boundary at most ``overlap`` back that reaches the next end, the earliest of equals."""
+        lo, hi = bisect.bisect_left(at, max(ends[k] - overlap, ends[k + 1] - limit)), bisect.bisect_left(at, ends[k])
         return at[lo + int(worth[lo:hi].argmin())] if lo < hi else cuts[k][1]
 
     # An even size for the number of pieces that is needed at least.
@@ -107,6 +126,7 @@ def split_oversized(df: DataFrame, key: list[str], text: str, limit: int = 500,
     characters before the end of the piece before, at the best boundary there, or after the cut where there is none.
     A dynamic programme over the boundary positions (paragraph, line, sentence, clause, word, then inside a word)
     minimises the sum of cut penalties and squared deviations from an even size. Length is counted in code points.
+    A letter stays with its marks, joiners and modifiers unless these alone exceed the limit; then it is cut inside.
 
     Null, blank and short texts give no rows; repeated rows of the key and text columns count once; an empty table
     gives an empty result; other columns are not read, so their names can't clash. Texts of any length are split

@@ -52,3 +52,11 @@ def test_table(spark):
     assert split_oversized(spark.createDataFrame([], ddl), ["chunk_id"], "text").count() == 0
     with pytest.raises(ValueError):
         split_oversized(spark.createDataFrame([], ddl), ["chunk_id"], "text", 100, 90)
+
+
+def test_letters_with_more_marks_than_the_limit():
+    for text in ["e" + "\u0301" * 2000, "word " + "\u0301" * 501, "abcdefgh" + "e" + "\u0301" * 495 + "z" * 300]:
+        check(text, 500, 150)
+        check(text, 500, 0)
+    text = "abcdefgh" + "e" + "\u0301" * 495 + "z" * 300
+    assert all(text[s] != "\u0301" for s, _ in split_text(text, 500, 0))

@@ -9,7 +9,11 @@ REFS = [(1, "Python"), (2, "C++"), (2, "cpp"), (3, "C#"), (4, "Risk Assessment")
 CASES = {
     "python": {1}, " PYTHON\t": {1}, "Pythоn": {1}, "Ｐｙｔｈｏｎ": {1}, "Pyhton": {1}, "5 years of Python": {1}, "Python (advanced)": {1}, "Python, certified": {1}, "good knowledge of Python": {1}, "c++": {2}, "C#": {3}, "C": {16}, "R": {0},
     "Risk Asmessment": {4}, "Assessment, Risk": {4}, "RiskAssessment": {4}, "Risk Assessments": {4}, "A/B Test.": {5}, "Visual Basic (1+ y.)": {7}, "MDM": {8}, "Python & SQL": {1, 10}, "PL/SQL; C#": {9, 3}, "Python and cooking": {1},
-    "Knowledge Graphs 2026": {11}, "Change Mgmt": {13}, "MS Azure": {14}, "singlesign-on": {15}, "cooking": {0}, "Network Marketing": {0}, "???": {0}, " ": {0}, "": {0}, "x" * 30000: {0}, "Python, " * 3000: None,
+    "Knowledge Graphs 2026": {11}, "Change Mgmt": {13}, "MS Azure": {14}, "singlesign-on": {15}, "cooking": {0}, "Network Marketing": {0}, "???": {0}, " ": {0}, "": {0}, "x" * 30000: {0}, "Python, " * 3000: {1},
+    # remarks of any wording, language and length; any number of entries
+    "Python guru": {1}, "hands-on Python": {1}, "Python since 2019": {1}, "Kenntnisse in Python": {1}, "ich mag Pyhton sehr": {1}, "mucho Risk Assessment": {4}, "Node.js ninja": {6}, "wrote my thesis about knowledge graphs": {11},
+    "Python (" + "x " * 10000 + ")": {1}, "Python " + "and so on " * 3000: {1}, "Skill (Python)": {1}, "Python [[very] good]": {1}, "Python, SQL and Docker": {1, 10}, "Python, SQL and C#": {1, 3, 10}, "C++/C#/Pyhton/node js": {1, 2, 3, 6}, "Python+C++": {1, 2},
+    "vitamin C": {0}, "Sea of Change": {0}, "Risk it all": {0},
 }
 
 
@@ -23,19 +27,21 @@ def test_cases(spark):
     assert {v: g for v, g in got.items() if CASES[v] is not None and g != CASES[v]} == {}
 
 
-def test_join_equals_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [C.BROADCAST_REFS, 0])
+def test_join_equals_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(C, "BROADCAST_REFS", broadcast)
     r = random.Random(4)
     names = [C.fold(n) for _, n in REFS]
     parts = sorted({"".join(r.sample(list(n), len(n)))[: r.randint(1, 20)].strip() or "x" for n in names * 6} | set(names))
-    df = spark.createDataFrame([(p, C.grams(p)) for p in parts if p], "part string, grams array<int>")
-    refs = spark.createDataFrame([(i, n, C.grams(n)) for i, n in enumerate(names)], "ref_id int, ref string, grams array<int>")
+    df = spark.createDataFrame([(p, C.THRESHOLD if k % 2 else C.INSIDE, C.grams(p)) for k, p in enumerate(parts) if p], "part string, least double, grams array<int>")
+    refs = spark.createDataFrame([(i, n, True, C.grams(n)) for i, n in enumerate(names)], "ref_id int, ref string, given boolean, grams array<int>")
     got = {(x.part, x.ref_id): x.jaccard for x in C.similar_entries(df, refs, Scratch(spark)).collect()}
     want = {}
-    for p in parts:
+    for k, p in enumerate(parts):
         a = set(C.grams(p))
         for i, n in enumerate(names):
             b = set(C.grams(n))
-            if a and len(a & b) / len(a | b) >= C.THRESHOLD:
+            if a and len(a & b) / len(a | b) >= (C.THRESHOLD if k % 2 else C.INSIDE):
                 want[p, i] = len(a & b) / len(a | b)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 

@@ -54,8 +54,8 @@ class Boosted:
                 break
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0) -> Boosted:
-    """Logistic loss, second-order gains, the best split of each node by histogram."""
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, l2: float = 1.0, part: float = 0.25, seed: int = 5) -> Boosted:
+    """Logistic loss, second-order gains, the best split of each node by histogram, over a random ``part`` of the rows each round."""
     edges = []
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
@@ -66,14 +66,17 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
     b = model.binned(x).astype(np.int64)
     nf, z = b.shape[1], np.full(len(y), model.base)
     offset = np.arange(nf) * BINS
+    rng = np.random.default_rng(seed)
     for _ in range(rounds):
+        drawn = rng.random(len(y)) < part
         q = 1 / (1 + np.exp(-z))
         g, h = q - y, q * (1 - q)
         n = 2 ** (depth + 1) - 1
         feature, cut, value = np.full(n, -1), np.zeros(n, np.int64), np.zeros(n)
         at = np.zeros(len(y), np.int64)
         for node in range(n):
-            rows = np.flatnonzero(at == node)
+            here = np.flatnonzero(at == node)
+            rows = here[drawn[here]]
             if not len(rows):
                 continue
             gs, hs = g[rows].sum(), h[rows].sum()
@@ -89,7 +92,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
             if gain.ravel()[k] <= gs**2 / (hs + l2) + 1e-3:
                 continue
             feature[node], cut[node] = divmod(k, BINS)
-            at[rows] = 2 * node + 1 + (b[rows, feature[node]] > cut[node])
+            at[here] = 2 * node + 1 + (b[here, feature[node]] > cut[node])
         model.trees.append((feature, cut, value))
         z += value[at]
     return model

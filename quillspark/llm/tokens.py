@@ -16,7 +16,7 @@ DEFAULT_RANKS = os.environ.get("QUILLSPARK_RANKS", "byte_bpe_multi_50k.tiktoken"
 
 
 def rank_file(name: str = DEFAULT_RANKS) -> str:
-    """The path itself, or the place of a file of the installed public vocabularies."""
+    """The path itself, or the place of a file of the installed public vocabularies (the module ``public_tokenizers``, see README)."""
     if os.sep in name:
         return name
     import public_tokenizers
@@ -24,19 +24,24 @@ def rank_file(name: str = DEFAULT_RANKS) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(2)
+def ranks(path: str) -> dict[bytes, int]:
+    """Every token of a rank file with its rank."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @functools.lru_cache(2)
 def encoder(path: str):
     import public_tokenizers
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def token_counts(df: DataFrame, key: list[str], text: str, ranks: str = DEFAULT_RANKS) -> DataFrame:
+def token_counts(df: DataFrame, key: list[str], text: str, vocabulary: str = DEFAULT_RANKS) -> DataFrame:
     """The ``key`` columns and n_tokens of every non-null text that has tokens; rows equal in both count once."""
-    path = rank_file(ranks)
+    path = rank_file(vocabulary)
     rows = df.select(*key, F.col(text).cast("string").alias("__text")).where(F.length("__text") > 0)
     names = [f.name for f in rows.schema.fields[:-1]]
 

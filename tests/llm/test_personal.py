@@ -1,20 +1,52 @@
+import sys
+from pathlib import Path
+
 import pytest
 
+from quillspark.llm import examples
 from quillspark.llm import personal as P
 from quillspark.llm.examples import sentences
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+import carriers  # noqa: E402
+
 
 @pytest.fixture(scope="module")
 def detector():
     return P.detector()
 
 
+@pytest.mark.parametrize("kind", P.KINDS)
+def test_recall_in_other_sentences(detector, kind):
+    """Carriers and items that nothing was trained on: nine of ten are found from start to end, of names (some are words too) eight."""
+    cases = [(c.format(x), c.index("{}"), x) for c in carriers.CARRIERS[kind] for x in carriers.ITEMS[kind]]
+    found = detector.find_all([t for t, _, _ in cases])
+    hit = [(kind, s, s + len(x)) in spans for (_, s, x), spans in zip(cases, found, strict=True)]
+    assert sum(hit) / len(hit) >= (0.8 if kind == "name" else 0.9), [t for (t, _, _), h in zip(cases, hit, strict=True) if not h][:20]
+
+
+def test_clean_sentences_stay(detector):
+    found = detector.find_all(carriers.CLEAN)
+    assert sum(map(bool, found)) <= len(found) // 10, [(t, f) for t, f in zip(carriers.CLEAN, found, strict=True) if f]
+
+
+def test_names_without_capitals(detector):
+    found = detector.find_all([t for t, _ in carriers.EAST])
+    assert [{t[s:e] for k, s, e in f if k == "name"} for (t, _), f in zip(carriers.EAST, found, strict=True)] == [{x} for _, x in carriers.EAST]
+
+
+def test_carriers_are_apart():
+    trained = " ".join([*examples.POSITIVE, *examples.NEGATIVE, *examples.NAME_LEADS, *examples.NAME_TAILS])
+    parts = [p.strip() for cs in carriers.CARRIERS.values() for c in cs for p in c.split("{}")]
+    assert [p for p in parts if len(p) >= 12 and p in trained] == []
+
+
 def test_held_out_accuracy(detector):
     data = sentences(800, 99)
     found = {(i, k, s) for i, spans in enumerate(detector.find_all([t for t, _ in data])) for k, s, _ in spans}
     real = {(i, k, s) for i, (_, spans) in enumerate(data) for k, s, _ in spans}
     assert len(found & real) / len(found) > 0.97 and len(found & real) / len(real) > 0.9
-    assert all(p > 0.9 and r > 0.8 for p, r in detector.held_out.values())
+    assert all(p > 0.9 and r > 0.88 for p, r in detector.held_out.values())
 
 
 CASES = [

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
+from quillspark.llm import tokens
+
 # Common given names and surnames of many countries; the detector takes both as hints.
 GIVEN = (
     "Adam Ahmed Aisha Alan Alejandro Alexander Ali Alice Amina Amy An Ana Anders Andrea Andreas Angela Anita Anna Anne Antonio Arthur Astrid Barbara Beatriz Ben Björn Brian Camille Carlos Carmen Carol Caroline Catherine Charlotte Chen Chloe Christian Christine Claire "
@@ -48,6 +51,13 @@ EAST_NAME = {"ja": ["氏名：{x}", "名前: {x}", "担当者：{x}", "{x}さん
 EAST_NONE = ["所在地：東京 本社", "部署: 開発 部門", "スキル：統計 解析", "件名: 会議 資料", "职位：数据 工程师", "技能: 机器 学习", "부서: 개발 팀", "직책: 데이터 분석가", "المدينة: بيروت", "עיר: תל אביב", "शहर: नई दिल्ली", "会社：日本 電機", "東京都 港区でイベントを開催しました。", "資料は来週 月曜に送ります。", "仕様: 別紙 参照"]
 
 
+@functools.lru_cache(1)
+def words() -> list[str]:
+    """The plain lower-case words of a public vocabulary."""
+    known = (t[1:].decode() for t in tokens.ranks(tokens.rank_file()) if t[:1] == b" " and t[1:].isalpha() and t.isascii() and t.islower() and 4 <= len(t) <= 13)
+    return sorted(w for w in known if w.capitalize() not in GIVEN and w.capitalize() not in SURNAME)
+
+
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
@@ -62,12 +72,12 @@ class Maker:
 
     def given(self) -> str:
         x = self.r.random()
-        return self.r.choice(GIVEN) if x < 0.5 else self.r.choice(WORDLIKE) if x < 0.58 else self.made(_GIVEN_END)
+        return self.r.choice(GIVEN) if x < 0.5 else self.r.choice(WORDLIKE) if x < 0.54 else self.made(_GIVEN_END)
 
     def surname(self) -> str:
         r = self.r
         x = r.random()
-        s = r.choice(SURNAME) if x < 0.38 else r.choice(WORDLIKE_LAST) if x < 0.43 else self.made(_NAME_END)
+        s = r.choice(SURNAME) if x < 0.38 else r.choice(WORDLIKE_LAST) if x < 0.41 else self.made(_NAME_END)
         x = r.random()
         return s if x < 0.8 else f"{s}-{self.made(_NAME_END)}" if x < 0.9 else r.choice(["van der ", "de la ", "von ", "St. ", "El-", "Mac", "O'", "O'", "D’", "di ", "van ", "al-", "de ", "van den "]) + s
 
@@ -145,6 +155,8 @@ class Maker:
     def skill(self) -> str:
         r = self.r
         x = r.random()
+        if x > 0.65:
+            return " ".join(w.capitalize() for w in r.choices(words(), k=r.choice([1, 2, 2, 2, 3])))
         if x < 0.12:
             return f"{r.choice(TOPIC)} {self.product()}"
         if x < 0.2:

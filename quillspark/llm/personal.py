@@ -26,8 +26,10 @@ BATCH = 2048
 ROUNDS = 120
 #: A missed item weighs so many times as much as a wrong one where thresholds are set.
 BETA = 1.25
+#: The part of the items that the sieve may lose.
+SIEVED = 0.001
 
-_CAP = r"\p{Lu}[\p{L}\p{M}’'\-]*"
+_CAP = r"\p{Lu}[\p{Lu}\p{Ll}\p{Lt}\p{M}’'\-]*"
 _CITY = rf"{_CAP}(?:[ \-]{_CAP})?(?: \d{{4,6}})?"
 _STREET = r"(?:Street|St\.|St|Road|Rd\.?|Avenue|Ave\.?|Boulevard|Blvd\.?|Lane|Ln\.?|Drive|Dr\.?|Way|Parkway|Pkwy|Court|Ct\.?|Close|Row|Terrace|Crescent|Place|Pl\.?|Square|Sq\.?|Gardens|Mews|Hill)"
 _S = "[ .\\-  /]"
@@ -67,6 +69,8 @@ FORMATS: dict[str, list[str]] = {
 _BEHIND = {"email": r"(?<![\p{L}\d@])", "phone": r"(?<![\p{L}\d@+])(?<!\((?=\d{1,5}\)))", "id_number": r"(?<![\p{L}\d@])", "address": r"(?<![\p{L}\d])"}
 _FIND = {kind: [regex.compile(rf"{_BEHIND[kind]}(?:{f})" + ("" if kind == "address" else r"(?![\p{L}\d])")) for f in formats] for kind, formats in FORMATS.items()}
 
+#: Digits that a match of each format has at least: formats with more than a place has digits are not tried there.
+_LEAST_DIGITS = {"phone": (10, 10, 9, 10, 9, 9, 9, 10, 6, 5, 9, 11), "id_number": (9, 9, 6, 6, 7, 8, 10, 11, 9, 11, 9, 5, 13, 11, 6, 6)}
 #: What every match of the address format of the same index contains: cheap to look for.
 _STREETS = [re.compile(p) for p in (
     r" (?:St|Road|Rd|Ave|Boul|Blvd|Lan|Ln|Dr|Way|Park|Pkwy|Cour|Ct|Clos|Row|Terr|Cres|Pl|Sq|Gard|Mews|Hill)", r"(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse|ring|damm|ufer) \d",
@@ -117,7 +121,7 @@ _BEFORE: dict[str, list[int]] = {}
 for _k, _group in enumerate(_CLUES):
     for _phrase in _group.split("|"):
         _BEFORE.setdefault(_phrase, []).append(_k)
-_CALLS = frozenset("|".join(_CLUES[1:3]).split("|"))
+_CALLED = re.compile(rf"(?<!\w)(?:{'|'.join(_CLUES[1:3])})\.? +(?=\w\w)", re.I)
 _SIGNS = ":,;|(<.-/@\"•"
 # Words that stand after an item, by kind.
 _NEXT = {w: k for k, group in enumerate(("eur usd gbp € rows records guests invoices users % months days people requests pixels units ms", "who dated has hat had is was will said wrote called sent left agreed a llamó kam", "by since willing", "ltd gmbh inc sa ag llc bv group", "and und et y", "at au in on from of to for about")) for w in group.split()}
@@ -206,19 +210,22 @@ def candidates(text: str) -> list[Candidate]:
                 out.update((3, m.start(), m.end(), f) for m in p.finditer(text))
         for near in _DIGITS.finditer(text):
             a, b = max(0, near.start() - 8), min(len(text), near.end() + 16)
+            n = sum(map(str.isdigit, text[a:b]))
             for k, kind in ((1, "phone"), (2, "id_number")):
-                for f, p in enumerate(_FIND[kind]):
-                    out.update((k, m.start(), m.end(), f) for m in p.finditer(text, a, b))
+                for f, (p, least) in enumerate(zip(_FIND[kind], _LEAST_DIGITS[kind], strict=True)):
+                    if n >= least:
+                        out.update((k, m.start(), m.end(), f) for m in p.finditer(text, a, b))
     if _ANY_EAST.search(text):
         for m in _EAST.finditer(text):
             words = m.group().replace("\u3000", " ").split(" ")
             for n in range(1, len(words) + 1):
                 out.add((4, m.start(), m.start() + sum(map(len, words[:n])) + n - 1, 6 + min(n, 2)))
+    called = {m.end() for m in _CALLED.finditer(text)}
     for m in _RUN.finditer(text):
         run, at = m.group(), m.start()
         comma = text.startswith(", ", m.end()) and _COMMA.match(text, m.end())
         if not comma and " " not in run:  # one word is no name unless a title, a greeting or the word itself says so
-            if len(run) > 1 and (_addressed(text, at) or (run.lower() in _GIVEN and _addressed(text, at, _PERSON))):
+            if at in called or (run.lower() in _GIVEN and _asked(text, at)):
                 out.add((4, at, m.end(), 0))
             continue
         words, place = [], at
@@ -230,7 +237,7 @@ def candidates(text: str) -> list[Candidate]:
             head = words[s][2]
             if len(head) == 2 and head[1] == ".":
                 continue
-            if (words[s - 1][2].lower().strip(".") in _CALLS) if s else _addressed(text, at):
+            if words[s][0] in called:
                 out.add((4, words[s][0], words[s][1], 0))
             for e in range(s + 1, min(n, s + 6)):
                 w = words[e][2]
@@ -241,56 +248,73 @@ def candidates(text: str) -> list[Candidate]:
     return [Candidate(*c) for c in sorted(out, key=lambda c: (c[1], c[2], c[0]))]
 
 
-_ADDRESS, _PERSON = frozenset((1, 2)), frozenset((0, 3))
-
-
-def _addressed(text: str, start: int, clues: frozenset[int] = _ADDRESS) -> bool:
-    """Whether a title or a greeting (or another clue) stands directly before."""
-    before = text[max(0, start - 12) : start].lower().rstrip(" ").rstrip(".")
-    word = before.rsplit(None, 1)[-1] if before.strip() else ""
-    return bool(word) and any(k in clues for k in _BEFORE.get(word.lstrip("(\"'-•"), ()))
-
-
-def _context(text: str, c: Candidate, known: dict[tuple[str, int], list[float]]) -> tuple[list[float], list[float]]:
-    """What stands before and after, as numbers; candidates of a text that start or end alike share them."""
-    if (b := known.get(("b", c.start))) is None:
-        b = known["b", c.start] = _before_features(text, c.start)
-    if (a := known.get(("a", c.end))) is None:
-        a = known["a", c.end] = _after_features(text, c.end)
-    return b, a
-
-
-def features(text: str, c: Candidate, known: dict[tuple[str, int], list[float]]) -> list[float]:
-    """Format and context of a candidate as numbers."""
-    span = text[c.start : c.end]
-    after = text[c.end : c.end + 2]
-    before_features, after_features = _context(text, c, known)
-    words = span.split(" ")
-    info = [_KNOWN[w] for w in words]
-    sums = [sum(col) for col in zip(*info, strict=True)]
-    name = c.kind == 4
-    digits = 0 if name else sum(map(str.isdigit, span))
-    return [
-        float(c.kind), float(c.kind * 20 + c.format), float(len(span)), float(digits), float(len(words)), float(span[0] == "+"), float(span[0] == "("), float(span[:2] == "00"), float(span[0] == "0"), float("." in span), float("-" in span), float("," in span), float(span.isupper()),
-        float(c.start > 0 and (text[c.start - 1].isalnum() or text[c.start - 1] in "-/.")), float(after[:1] in ("-", "/") and after[1:2].isdigit()), float(len(words[-1])), float(len(words[0])), *sums, *info[0], *info[-1],
-        float(bool(_EAST_ADDRESSED.match(text, c.end)) if c.format > 6 and name else 0), *before_features, *after_features,
-    ]
+def _asked(text: str, start: int) -> bool:
+    """Whether a clue to a person stands directly before."""
+    words = text[max(0, start - WINDOW) : start].lower().split()
+    return any(k in (0, 3) for n in (1, 2) if len(words) >= n for k in _BEFORE.get(" ".join(words[-n:]).strip("(\"'-•:,"), ()))
+
+
+def _own(texts: list[str], spots: list[tuple[int, Candidate]]) -> np.ndarray:
+    """What the candidates themselves look like, as numbers: their format, signs and words."""
+    ids: dict[str, int] = {}
+    words: list[int] = []
+    first, rows = [], []
+    for i, c in spots:
+        text = texts[i]
+        span = text[c.start : c.end]
+        parts = span.split(" ")
+        first.append(len(words))
+        words += [ids.setdefault(w, len(ids)) for w in parts]
+        name = c.kind == 4
+        head = span[0]
+        after = text[c.end : c.end + 2]
+        before = text[c.start - 1] if c.start else " "
+        rows.append((
+            c.kind, c.kind * 20 + c.format, len(span), 0 if name else sum(map(str.isdigit, span)), len(parts), head == "+", head == "(", span[:2] == "00", head == "0", "." in span, "-" in span, "," in span, span.isupper(),
+            before.isalnum() or before in "-/.", after[:1] in ("-", "/") and after[1:2].isdigit(), len(parts[-1]), len(parts[0]), name and c.format > 6 and bool(_EAST_ADDRESSED.match(text, c.end)),
+        ))
+    known = np.array([_KNOWN[w] for w in ids], np.float32)
+    words, first = np.array(words), np.array(first)
+    last = np.r_[first[1:], len(words)] - 1
+    return np.hstack([np.array(rows, np.float32), np.add.reduceat(known[words], first, axis=0), known[words[first]], known[words[last]]])
+
+
+def _around(texts: list[str], spots: list[tuple[int, Candidate]]) -> np.ndarray:
+    """What stands before and after the candidates, as numbers; those of a text that start or end alike share them."""
+    before: dict[tuple[int, int], list[float]] = {}
+    after: dict[tuple[int, int], list[float]] = {}
+    rows = []
+    for i, c in spots:
+        if (b := before.get((i, c.start))) is None:
+            b = before[i, c.start] = _before_features(texts[i], c.start)
+        if (a := after.get((i, c.end))) is None:
+            a = after[i, c.end] = _after_features(texts[i], c.end)
+        rows.append(b + a)
+    return np.array(rows, np.float32)
 
 
 @dataclass
 class Detector:
+    sieve: boosting.Boosted  # on what the candidates look like alone
+    least: float
     model: boosting.Boosted
     thresholds: list[float]
     held_out: dict[str, tuple[float, float]]  # kind: precision, recall on the held-out sentences
 
+    def scored(self, texts: list[str]) -> tuple[list[tuple[int, Candidate]], np.ndarray]:
+        """The candidates that the sieve lets through and their probabilities."""
+        spots = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
+        if not spots:
+            return [], np.zeros(0)
+        own = _own(texts, spots)
+        keep = np.flatnonzero(self.sieve.probability(own) >= self.least)
+        spots = [spots[k] for k in keep]
+        return spots, self.model.probability(np.hstack([own[keep], _around(texts, spots)])) if spots else np.zeros(0)
+
     def find_all(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
         """Per text the chosen spans (kind, start, end): most probable first, none overlapping, in order of position."""
-        spots = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        if not spots:
-            return out
-        known: list[dict[tuple[str, int], list[float]]] = [{} for _ in texts]
-        p = self.model.probability(np.array([features(texts[i], c, known[i]) for i, c in spots], np.float32))
+        spots, p = self.scored(texts)
         for chosen in _select(spots, p, self.thresholds):
             i, c = spots[chosen]
             out[i].append((KINDS[c.kind], c.start, c.end))
@@ -299,9 +323,14 @@ class Detector:
         return out
 
 
+def _class(c: Candidate) -> int:
+    """What shares a threshold: the kind, but names written with a comma apart, which lists of other words resemble."""
+    return len(KINDS) if c.kind == 4 and c.format == 4 else c.kind
+
+
 def _select(spots: list[tuple[int, Candidate]], p: np.ndarray, thresholds: list[float]) -> list[int]:
     """Indices of the candidates above their kind's threshold that no better one overlaps; longer ones are better among near equals."""
-    good = [k for k, (_, c) in enumerate(spots) if p[k] >= thresholds[c.kind]]
+    good = [k for k, (_, c) in enumerate(spots) if p[k] >= thresholds[_class(c)]]
     good.sort(key=lambda k: (-round(float(p[k]), 2), -(spots[k][1].end - spots[k][1].start), spots[k][1].start))
     taken: dict[int, list[tuple[int, int]]] = {}
     out = []
@@ -313,41 +342,43 @@ def _select(spots: list[tuple[int, Candidate]], p: np.ndarray, thresholds: list[
     return out
 
 
-def _labelled(count: int, seed: int) -> tuple[np.ndarray, np.ndarray, list, list]:
-    x, y, spots, truth = [], [], [], []
-    for i, (text, spans) in enumerate(sentences(count, seed)):
-        right = {(KINDS.index(k), s, e) for k, s, e in spans}
-        truth.append({(k, s) for k, s, _ in right})
-        known: dict[tuple[str, int], list[float]] = {}
-        for c in candidates(text):
-            x.append(features(text, c, known))
-            y.append(float((c.kind, c.start, c.end) in right))
-            spots.append((i, c))
-    return np.array(x, np.float32), np.array(y), spots, truth
+def _labelled(count: int, seed: int) -> tuple[list[str], list[set], list[tuple[int, Candidate]], np.ndarray]:
+    data = list(sentences(count, seed))
+    texts = [t for t, _ in data]
+    right = [{(KINDS.index(k), s, e) for k, s, e in spans} for _, spans in data]
+    spots = [(i, c) for i, t in enumerate(texts) for c in candidates(t)]
+    return texts, right, spots, np.array([float((c.kind, c.start, c.end) in right[i]) for i, c in spots])
 
 
 @functools.lru_cache(1)
 def detector() -> Detector:
-    """Trained on TRAIN_SENTENCES invented sentences, calibrated on half of the held-out ones, thresholds for the best F-measure (BETA) on the rest."""
-    x, y, _, _ = _labelled(TRAIN_SENTENCES, SEED)
-    model = boosting.train(x, y, rounds=ROUNDS, depth=5)
-    x, y, _, _ = _labelled(HELD_OUT_SENTENCES // 2, SEED + 1)
-    model.calibrate(x, y)
-    x, _, spots, truth = _labelled(HELD_OUT_SENTENCES // 2, SEED + 2)
-    p = model.probability(x)
-    thresholds, scores = [0.5] * len(KINDS), {}
-    for k, kind in enumerate(KINDS):
+    """Trained on TRAIN_SENTENCES invented sentences, calibrated on half of the held-out ones, thresholds for the best F-measure (BETA) on the rest.
+
+    A first, small model sees only the candidates themselves and drops those that no context can make an item: all that it
+    finds less likely than all but SIEVED of the items it was not trained on.
+    """
+    texts, _, spots, y = _labelled(TRAIN_SENTENCES, SEED)
+    own = _own(texts, spots)
+    sieve = boosting.train(own, y, rounds=25, depth=4)
+    model = boosting.train(np.hstack([own, _around(texts, spots)]), y, rounds=ROUNDS, depth=5)
+    texts, _, spots, y = _labelled(HELD_OUT_SENTENCES // 2, SEED + 1)
+    own = _own(texts, spots)
+    model.calibrate(np.hstack([own, _around(texts, spots)]), y)
+    found = Detector(sieve, float(np.quantile(sieve.probability(own[y > 0]), SIEVED)), model, [0.5] * (len(KINDS) + 1), {})
+    texts, right, _, _ = _labelled(HELD_OUT_SENTENCES // 2, SEED + 2)
+    spots, p = found.scored(texts)
+    for k in range(len(found.thresholds)):
         best = (-1.0, 0.5, 0.0, 0.0)
+        real = {(i, s) for i, spans in enumerate(right) for kind, s, e in spans if kind == min(k, 4) and (kind < 4 or ("," in texts[i][s:e]) == (k > 4))}
         for cut in np.arange(0.1, 0.95, 0.05):
-            trial = [2.0] * len(KINDS)
+            trial = [2.0] * len(found.thresholds)
             trial[k] = cut
-            found = {(spots[j][0], k, spots[j][1].start) for j in _select(spots, p, trial)}
-            real = {(i, *t) for i, ts in enumerate(truth) for t in ts if t[0] == k}
-            hit = len(found & real)
-            f1 = (1 + BETA**2) * hit / max(1, len(found) + BETA**2 * len(real))
-            best = max(best, (f1, float(cut), hit / max(1, len(found)), hit / max(1, len(real))), key=lambda b: (round(b[0], 3), -abs(b[1] - 0.5)))
-        thresholds[k], scores[kind] = best[1], best[2:]
-    return Detector(model, thresholds, scores)
+            got = {(spots[j][0], spots[j][1].start) for j in _select(spots, p, trial)}
+            hit = len(got & real)
+            f = (1 + BETA**2) * hit / max(1, len(got) + BETA**2 * len(real))
+            best = max(best, (f, float(cut), hit / max(1, len(got)), hit / max(1, len(real))), key=lambda b: (round(b[0], 3), -b[1]))
+        found.thresholds[k], found.held_out[(*KINDS, "name with comma")[k]] = best[1], best[2:]
+    return found
 
 
 _LOADED: dict[str, Detector] = {}

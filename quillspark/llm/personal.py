@@ -121,7 +121,7 @@ _BEFORE: dict[str, list[int]] = {}
 for _k, _group in enumerate(_CLUES):
     for _phrase in _group.split("|"):
         _BEFORE.setdefault(_phrase, []).append(_k)
-_CALLED = re.compile(rf"(?<!\w)(?:{'|'.join(_CLUES[1:3])})\.? +(?=\w\w)", re.I)
+_CALLS = frozenset("|".join(_CLUES[1:3]).split("|"))
 _SIGNS = ":,;|(<.-/@\"•"
 # Words that stand after an item, by kind.
 _NEXT = {w: k for k, group in enumerate(("eur usd gbp € rows records guests invoices users % months days people requests pixels units ms", "who dated has hat had is was will said wrote called sent left agreed a llamó kam", "by since willing", "ltd gmbh inc sa ag llc bv group", "and und et y", "at au in on from of to for about")) for w in group.split()}
@@ -220,14 +220,19 @@ def candidates(text: str) -> list[Candidate]:
             words = m.group().replace("\u3000", " ").split(" ")
             for n in range(1, len(words) + 1):
                 out.add((4, m.start(), m.start() + sum(map(len, words[:n])) + n - 1, 6 + min(n, 2)))
-    called = {m.end() for m in _CALLED.finditer(text)}
+    before, stop = "", -9  # the last word of the run before, and where it ends
     for m in _RUN.finditer(text):
         run, at = m.group(), m.start()
-        comma = text.startswith(", ", m.end()) and _COMMA.match(text, m.end())
-        if not comma and " " not in run:  # one word is no name unless a title, a greeting or the word itself says so
-            if at in called or (run.lower() in _GIVEN and _asked(text, at)):
-                out.add((4, at, m.end(), 0))
+        called = before in _CALLS and text[stop:at] in (" ", ". ", ".")
+        stop, comma = m.end(), None
+        if text.startswith(", ", stop):
+            comma = _COMMA.match(text, stop)
+        if not comma and " " not in run:  # one word is no name unless a title, a greeting or a clue and the word itself say so
+            before = run.lower()
+            if called or (before in _GIVEN and _asked(text, at)):
+                out.add((4, at, stop, 0))
             continue
+        before = run.rsplit(" ", 1)[-1].lower()
         words, place = [], at
         for w in run.split(" "):
             words.append((place, place + len(w), w))
@@ -237,7 +242,7 @@ def candidates(text: str) -> list[Candidate]:
             head = words[s][2]
             if len(head) == 2 and head[1] == ".":
                 continue
-            if words[s][0] in called:
+            if called if s == 0 else words[s - 1][2].lower() in _CALLS:
                 out.add((4, words[s][0], words[s][1], 0))
             for e in range(s + 1, min(n, s + 6)):
                 w = words[e][2]
@@ -251,7 +256,7 @@ def candidates(text: str) -> list[Candidate]:
 def _asked(text: str, start: int) -> bool:
     """Whether a clue to a person stands directly before."""
     words = text[max(0, start - WINDOW) : start].lower().split()
-    return any(k in (0, 3) for n in (1, 2) if len(words) >= n for k in _BEFORE.get(" ".join(words[-n:]).strip("(\"'-•:,"), ()))
+    return any(3 in _BEFORE.get(" ".join(words[-n:]).strip("(\"'-•:,"), ()) for n in (1, 2) if len(words) >= n)
 
 
 def _own(texts: list[str], spots: list[tuple[int, Candidate]]) -> np.ndarray:

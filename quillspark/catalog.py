@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from quillspark.functions import jsontext as J
 from quillspark.functions import text as T
 from quillspark.operators import chunking, retrieval
+from quillspark.operators import composition as K
 from quillspark.operators import evidence as E
 from quillspark.operators import markdown as M
 from quillspark.operators import render as R
 from quillspark.operators import selection as S
-from quillspark.operators.scorers import overlap_score
+from quillspark.operators.scorers import ClaimWriter, WordChecker, overlap_score
 from quillspark.plans import cards as C
-from quillspark.plans import search
+from quillspark.plans import models, search
 from quillspark.runtime import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,9 +75,10 @@ def txt_slug(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "parsed_documents").select("document_id", T.slug(F.col("metadata.company")).alias("slug"), T.entity_id("experience", F.coalesce("metadata.title", "metadata.name")).alias("entity"))
 
 
-@query(r"SELECT requirement_id, TRY_CAST(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE) AS years FROM requirements")
+@query(r"""SELECT requirement_id, TRY_CAST(regexp_extract(text, '(\d+(?:\.\d+)?)', 1) AS DOUBLE) AS years,
+  CASE WHEN text IS NULL OR lower(trim(text)) IN ('', 'none', 'null', 'n/a', 'na') THEN NULL WHEN lower(trim(text)) IN ('true', 'false') THEN 'a truth value' WHEN NOT regexp_matches(text, '[0-9]') THEN 'no number' END AS problem FROM requirements""")
 def txt_years(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "requirements").select("requirement_id", T.years(F.col("text")).alias("years"))
+    return table(spark, d, "requirements").select("requirement_id", T.years(F.col("text")).alias("years"), T.years_problem(F.col("text")).alias("problem"))
 
 
 _LABEL = r"CASE WHEN regexp_matches({0}, '^\d{{4}}-(0[1-9]|1[0-2])$') AND NOT starts_with({0}, '0000') THEN (['Jan','Feb','Mar','Apr','May','Jun','Jul','Aug','Sep','Oct','Nov','Dec'])[CAST(substr({0}, 6, 2) AS INT)] || ' ' || substr({0}, 1, 4) ELSE {0} END"
@@ -128,7 +130,7 @@ def txt_card(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""
 WITH s AS (SELECT coalesce(nullif(entity_id, ''), regexp_replace(list_last(string_split(coalesce(source_file, ''), '/')), '(.)\.[^.]*$', '\1')) AS raw, evidence_id FROM evidence)
-SELECT evidence_id, array_to_string(list_transform(string_split(regexp_replace(raw, '[_-]', ' ', 'g'), ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') AS label FROM s""")
+SELECT evidence_id, array_to_string(list_transform(string_split(lower(regexp_replace(raw, '[_-]', ' ', 'g')), ''), lambda c, i: CASE WHEN i = 1 OR NOT regexp_matches(string_split(lower(regexp_replace(raw, '[_-]', ' ', 'g')), '')[i - 1], '\p{L}') THEN upper(c) ELSE c END), '') AS label FROM s""")
 def txt_source_label(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evidence").select("evidence_id", T.source_label(F.col("entity_id"), F.col("source_file")).alias("label"))
 
@@ -221,14 +223,46 @@ def arr_metric_filter(spark: SparkSession, d: str) -> DataFrame:
 # --- chunks and Markdown
 
 
-@query()
+def _parts_sql(x: str) -> str:
+    return f"list_filter(list_transform({x}, lambda p: {_strip('p')}), lambda p: p <> '')"
+
+
+def _packed_sql(pieces: str, glue: str, fresh: str) -> str:
+    """Greedy packing as a fold: each piece as {{o: what is done, c: what is open}}; ``fresh`` of a.c and x.c starts the next."""
+    start = "[{'o': CAST([] AS VARCHAR[]), 'c': ''}]"
+    joined = f"CASE WHEN a.c = '' THEN x.c ELSE a.c || {glue} || x.c END"
+    step = f"CASE WHEN length({joined}) <= 500 THEN {{'o': a.o, 'c': {joined}}} WHEN a.c = '' THEN {{'o': a.o, 'c': x.c}} ELSE {{'o': list_append(a.o, a.c), 'c': {fresh}}} END"
+    folded = f"list_reduce(list_concat({start}, list_transform({pieces}, lambda p: {{'o': CAST([] AS VARCHAR[]), 'c': p}})), lambda a, x: {step})"
+    return f"list_transform([{folded}], lambda f: CASE WHEN f.c = '' THEN f.o ELSE list_append(f.o, f.c) END)[1]"
+
+
+def _sentences_sql(x: str) -> str:
+    return _parts_sql(f"string_split(regexp_replace({x}, '([.!?]){SP}+', '\\1' || chr(1), 'g'), chr(1))")
+
+
+
+_TAIL = f"CASE WHEN length(a.c) <= 150 THEN a.c WHEN contains(right(a.c, 150), ' ') THEN {_strip('substr(right(a.c, 150), instr(right(a.c, 150), chr(32)) + 1)')} ELSE {_strip('right(a.c, 150)')} END"
+_DOCS = "docs AS (SELECT DISTINCT document_id, source_file, source_type, text, page, entity_id, entity_type FROM parsed_documents WHERE document_id IS NOT NULL AND text IS NOT NULL)"
+_PARAGRAPHS = _parts_sql(f"string_split(regexp_replace(text, '\\n{SP}*\\n', chr(1), 'g'), chr(1))")
+
+
+@query(f"""
+WITH {_DOCS}, para AS (SELECT *, flatten(list_transform({_PARAGRAPHS}, lambda p: CASE WHEN length(p) <= 500 THEN [p] ELSE {_packed_sql(_sentences_sql('p'), "' '", 'x.c')} END)) AS paras FROM docs),
+packed AS (SELECT *, {_packed_sql('paras', 'chr(10) || chr(10)', f"CASE WHEN ({_TAIL}) = '' THEN x.c ELSE ({_TAIL}) || chr(10) || chr(10) || x.c END")} AS big FROM para WHERE len(paras) > 0),
+merged AS (SELECT * EXCLUDE (paras, big), list_reduce(list_transform(big, lambda c: [c]), lambda a, x: CASE WHEN length(x[1]) < 200 AND length(a[-1]) + length(x[1]) <= 500 THEN list_append(a[:-2], a[-1] || chr(10) || chr(10) || x[1]) ELSE list_append(a, x[1]) END) AS cut FROM packed),
+chunks_of AS (SELECT * EXCLUDE (cut, text), unnest(cut) AS text, CAST(unnest(range(len(cut))) AS INT) AS chunk_index FROM merged)
+SELECT *, document_id || '_chunk_' || lpad(CAST(chunk_index AS VARCHAR), 3, '0') AS chunk_id FROM chunks_of""")
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_documents(C.documents(spark, d).drop("metadata"))
+    return chunking.chunk_documents(C.documents(spark, d).drop("metadata").distinct())
 
 
-@query()
+@query(f"""
+WITH docs AS (SELECT DISTINCT document_id, text FROM parsed_documents WHERE document_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT document_id, {_packed_sql(_sentences_sql(_strip('text')), "' '", 'x.c')} AS pieces FROM docs)
+SELECT document_id, CAST(unnest(range(len(pieces))) AS INT) AS pos, unnest(pieces) AS piece FROM s""")
 def chunk_sentence_pack(spark: SparkSession, d: str) -> DataFrame:
-    return C.documents(spark, d).where("text is not null").select("document_id", F.posexplode(chunking.packed_sentences(T.strip(F.col("text")))).alias("pos", "piece"))
+    docs = C.documents(spark, d).where("text is not null").select("document_id", "text").distinct()
+    return docs.select("document_id", F.posexplode(chunking.packed_sentences(T.strip(F.col("text")))).alias("pos", "piece"))
 
 
 @query("""
@@ -324,15 +358,47 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 1
 
 @query(_RRF + "SELECT query_id, doc_id, CAST(br AS INT) AS bm25_rank, CAST(sr AS INT) AS semantic_rank, round(w, 9) AS fusion_score, CAST(fr AS INT) AS fusion_rank FROM fused")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return search.hybrid(spark, d).select("query_id", "doc_id", "bm25_rank", "semantic_rank", F.round("fusion_score", 9).alias("fusion_score"), "fusion_rank")
+    return search.stored(spark, d).select("query_id", "doc_id", "bm25_rank", "semantic_rank", F.round("fusion_score", 9).alias("fusion_score"), "fusion_rank")
 
 
 @query(_RRF + "SELECT query_id, doc_id, rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fr) AS INT) AS rerank_rank FROM fused JOIN sc USING (query_id, doc_id) QUALIFY rerank_rank <= 5")
 def match_all(spark: SparkSession, d: str) -> DataFrame:
-    return search.match_all(spark, d).select("query_id", "doc_id", "rerank_score", "rerank_rank")
+    """The cascade over the stored scores of all requirements."""
+    return search.match_stored(spark, d).select("query_id", "doc_id", "rerank_score", "rerank_rank")
+
+
+_VEC = """
+, docw AS (SELECT doc_id, unnest(toks) AS w FROM docs), qw AS (SELECT query_id, unnest({TOK}) AS w FROM q),
+dh AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM docw), qh AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM qw),
+dv AS (SELECT doc_id, h % 64 AS b, sum(CASE WHEN h >= 2147483648 THEN 1e0 ELSE -1e0 END) AS v FROM dh GROUP BY 1, 2), qv AS (SELECT query_id, h % 64 AS b, sum(CASE WHEN h >= 2147483648 THEN 1e0 ELSE -1e0 END) AS v FROM qh GROUP BY 1, 2),
+dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY 1), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY 1),
+du AS (SELECT doc_id, b, CAST(CAST(v / CASE WHEN n > 0 THEN n ELSE 1 END AS FLOAT) AS DOUBLE) AS v FROM dv JOIN dn USING (doc_id)), qu AS (SELECT query_id, b, CAST(CAST(v / CASE WHEN n > 0 THEN n ELSE 1 END AS FLOAT) AS DOUBLE) AS v FROM qv JOIN qn USING (query_id)),
+dots AS (SELECT query_id, doc_id, sum(qu.v * du.v) AS s FROM qu JOIN du USING (b) GROUP BY 1, 2),
+every AS (SELECT query_id, doc_id, coalesce(s, 0e0) AS s FROM (SELECT query_id FROM q) CROSS JOIN (SELECT doc_id FROM docs) LEFT JOIN dots USING (query_id, doc_id)),
+sem AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS sr FROM every QUALIFY sr <= 30),
+lex AS (SELECT query_id, doc_id, r AS br FROM top WHERE r <= 30),
+f AS (SELECT coalesce(lex.query_id, sem.query_id) AS query_id, coalesce(lex.doc_id, sem.doc_id) AS doc_id, br, sr, coalesce(1e0 / (60 + br), 0) + coalesce(1e0 / (60 + sr), 0) AS w FROM lex FULL JOIN sem ON lex.query_id = sem.query_id AND lex.doc_id = sem.doc_id),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 12) DESC, br NULLS LAST, sr NULLS LAST, doc_id) AS fr FROM f QUALIFY fr <= 20),
+rr AS (SELECT fused.*, {JAC} AS s FROM fused JOIN q USING (query_id) JOIN docs USING (doc_id))
+SELECT query_id, doc_id, CAST(br AS INT) AS bm25_rank, CAST(sr AS INT) AS semantic_rank, CAST(fr AS INT) AS fusion_rank, round(s, 6) AS rerank_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, fr) AS INT) AS rerank_rank FROM rr QUALIFY rerank_rank <= 5"""
+
+
+@query(_BM25.replace("evidence_id AS doc_id, ", f"evidence_id AS doc_id, {_CARD} AS body, ", 1) + _VEC.replace("{TOK}", _TOKENS.format("text")).replace("{JAC}", _jaccard_sql(_WORDSET.format("q.text"), _WORDSET.format("docs.body"))))
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cascade from texts: lexical and vector retrieval of 30 each, fused to 20, reranked to 5."""
+    m = search.match_all(spark, d)
+    return m.select("query_id", "doc_id", "bm25_rank", "semantic_rank", "fusion_rank", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
+
+
+@query(_RRF + f", m AS (SELECT query_id, doc_id, w, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, fr) AS rr FROM fused JOIN sc USING (query_id, doc_id) QUALIFY rr <= 5), {_CARDS} SELECT query_id, evidence_id, claim, entity_id, round(w, 9) AS fusion_score, rerank_score FROM m JOIN cards ON evidence_id = doc_id")
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """Matched cards as they are handed out, with how they were found."""
+    r = search.results(search.match_stored(spark, d), C.cards(spark, d))
+    return r.select("query_id", "evidence_id", "claim", "entity_id", F.round("retrieval.fusion_score", 9).alias("fusion_score"), "retrieval.rerank_score")
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
+    """Lexical and vector retrieval, rank fusion and reranking, from texts."""
     return search.match_all(spark, sf_dir)
 
 
@@ -423,6 +489,27 @@ def cache_diff(spark: SparkSession, d: str) -> DataFrame:
     return E.cache_diff(*_state(spark, d))
 
 
+@query(_STATE + "SELECT count(*) FILTER (WHERE fp IS NULL OR fp <> fingerprint OR list_sort(said) <> coalesce(ids, [])) AS processed, count(*) FILTER (WHERE fp = fingerprint AND list_sort(said) = coalesce(ids, [])) AS skipped FROM ch LEFT JOIN state USING (chunk_id) LEFT JOIN have USING (chunk_id)")
+def cache_counters(spark: SparkSession, d: str) -> DataFrame:
+    return models.cache_counters(E.cache_diff(*_state(spark, d)))
+
+
+_PRINT = """sha256('{"document_id":' || to_json(document_id) || ',"entity_type":' || coalesce(to_json(entity_type), 'null') || ',"made_by":"3/m1","source_file":' || coalesce(to_json(source_file), 'null') || '}')"""
+
+
+@query(f"""
+WITH ch AS (SELECT DISTINCT chunk_id, document_id, entity_type, source_file, chunk_index FROM chunks WHERE chunk_id IS NOT NULL AND document_id IS NOT NULL),
+st AS (SELECT chunk_id, CASE WHEN chunk_index = 2 THEN 'other' ELSE {_PRINT} END AS fp FROM ch WHERE chunk_index <> 3)
+SELECT ch.chunk_id, coalesce(fp = {_PRINT}, false) AS valid FROM ch LEFT JOIN st USING (chunk_id)""")
+def cache_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each chunk's stored fingerprint is that of its columns and of the model."""
+    columns = ("document_id", "entity_type", "source_file")
+    ch = table(spark, d, "chunks").where("chunk_id is not null and document_id is not null").select("chunk_id", "chunk_index", *columns).distinct()
+    own = ch.withColumn("now", E.fingerprint("m1", *columns))
+    old = own.where("chunk_index <> 3").select("chunk_id", F.when(F.col("chunk_index") == 2, "other").otherwise(F.col("now")).alias("fp"))
+    return own.join(old, "chunk_id", "left").select("chunk_id", F.coalesce(F.col("fp") == F.col("now"), F.lit(False)).alias("valid"))
+
+
 @query(_STATE + "SELECT chunk_id FROM state WHERE chunk_id NOT IN (SELECT chunk_id FROM ch)")
 def cache_orphans(spark: SparkSession, d: str) -> DataFrame:
     ch, state, _ = _state(spark, d)
@@ -548,10 +635,14 @@ def pick_skills(spark: SparkSession, d: str) -> DataFrame:
 _LAYOUT = f"""WITH {_BULLETS}, p AS (SELECT section, entry_id, bullet_id, row_number() OVER (PARTITION BY section, entry_id ORDER BY bullet_id) - 1 AS bullet_pos FROM bs WHERE entry_id IS NOT NULL)"""
 
 
-@query(_LAYOUT + " SELECT entry_id AS owner, section, bullet_id, CAST(row_number() OVER (PARTITION BY entry_id ORDER BY CASE section WHEN 'projects' THEN 0 ELSE 1 END, bullet_pos DESC) AS INT) AS step FROM p WHERE bullet_pos > 0 AND section IN ('projects', 'experience') QUALIFY step <= 32")
+@query(f"""WITH {_BULLETS}, b AS (SELECT substr(md5(entry_id), 1, 2) AS owner, section, CAST('0x' || substr(md5(entry_id), 3, 6) AS INT) AS entry_pos, bullet_id FROM bs WHERE entry_id IS NOT NULL AND section IN ('projects', 'experience')),
+n AS (SELECT *, row_number() OVER (PARTITION BY owner, section, entry_pos ORDER BY bullet_id) AS k FROM b)
+SELECT owner, section, entry_pos, bullet_id, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE section WHEN 'projects' THEN 0 ELSE 1 END, entry_pos DESC, bullet_id DESC) AS INT) AS step FROM n WHERE k > 1 QUALIFY step <= 32""")
 def layout_trim_order(spark: SparkSession, d: str) -> DataFrame:
-    b = _bullets(spark, d).where("entry_id is not null").select(F.col("entry_id").alias("owner"), "section", F.lit(0).alias("entry_pos"), F.col("bullet_id").alias("bullet"))
-    return S.trim_order(b).select("owner", "section", F.col("bullet").alias("bullet_id"), "step")
+    """What 256 documents, to which entries are dealt by hash, would drop first."""
+    h = F.md5("entry_id")
+    b = _bullets(spark, d).where("entry_id is not null").select(F.substring(h, 1, 2).alias("owner"), "section", F.conv(F.substring(h, 3, 6), 16, 10).cast("int").alias("entry_pos"), F.col("bullet_id").alias("bullet"))
+    return S.trim_order(b).select("owner", "section", "entry_pos", F.col("bullet").alias("bullet_id"), "step")
 
 
 def _near_sql(a: str, b: str) -> str:
@@ -573,3 +664,127 @@ def bullets_distinct(spark: SparkSession, d: str) -> DataFrame:
 SELECT entry_id, '\\begin{{itemize}}' || chr(10) || string_agg('\\item ' || t, chr(10) ORDER BY bullet_id) || chr(10) || '\\end{{itemize}}' AS items FROM i GROUP BY 1""")
 def render_items(spark: SparkSession, d: str) -> DataFrame:
     return R.latex_items(_bullets(spark, d).where("entry_id is not null and text is not null").withColumn("pos", F.col("bullet_id")), "entry_id")
+
+
+# --- composition
+
+
+@query(f"""SELECT evidence_id, length({_strip("coalesce(claim, '')")}) >= 26 AND NOT regexp_matches({_strip("coalesce(claim, '')")}, '{T.FILLER}') AND coalesce(category, '') NOT IN ('education', 'certification', 'skill') AS eligible FROM evidence""")
+def pred_eligible(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "evidence").select("evidence_id", K.eligible(F.col("claim"), F.col("category")).alias("eligible"))
+
+
+_KEPT = f"""
+WITH {_CARDS}, {_BULLETS}, x AS (SELECT bullet_id, entry_id, CASE section WHEN 'experience' THEN 'experience' WHEN 'projects' THEN 'project' END AS kind, unnest(evidence_ids) AS evidence_id FROM bs),
+foreign_ AS (SELECT DISTINCT x.bullet_id FROM x LEFT JOIN cards USING (evidence_id) WHERE NOT coalesce(entity_id = x.entry_id AND entity_type = kind, false)),
+r AS (SELECT CASE section WHEN 'experience' THEN 'experience' ELSE 'project' END AS kind, entry_id, bullet_id, text, evidence_ids FROM bs WHERE section IN ('experience', 'projects') AND entry_id IS NOT NULL AND text IS NOT NULL AND len(evidence_ids) > 0 AND bullet_id NOT IN (SELECT bullet_id FROM foreign_)
+  AND {_words_sql('text')} <= 43 AND NOT regexp_matches(text, '{T.FILLER}')),
+f1 AS (SELECT kind, entry_id, min(bullet_id) AS bullet_id, min_by(text, bullet_id) AS text FROM r GROUP BY 1, 2),
+r2 AS (SELECT r.* FROM r JOIN f1 USING (kind, entry_id) WHERE r.bullet_id > f1.bullet_id AND NOT {_near_sql('r.text', 'f1.text')}), f2 AS (SELECT kind, entry_id, min(bullet_id) AS bullet_id, min_by(text, bullet_id) AS text FROM r2 GROUP BY 1, 2),
+r3 AS (SELECT r2.* FROM r2 JOIN f2 USING (kind, entry_id) WHERE r2.bullet_id > f2.bullet_id AND NOT {_near_sql('r2.text', 'f2.text')}), f3 AS (SELECT kind, entry_id, min(bullet_id) AS bullet_id, min_by(text, bullet_id) AS text FROM r3 WHERE kind = 'experience' GROUP BY 1, 2),
+kept AS (SELECT *, 1 AS place FROM f1 UNION ALL SELECT *, 2 FROM f2 UNION ALL SELECT *, 3 FROM f3)
+"""
+
+
+@query(_KEPT + "SELECT kind, entry_id, CAST(place AS INT) AS place, bullet_id FROM kept")
+def keep_existing(spark: SparkSession, d: str) -> DataFrame:
+    """What each entry keeps of its statements: owned, short, without filler, each said once."""
+    return K.kept_existing(_bullets(spark, d), C.cards(spark, d)).select("kind", "entry_id", "place", "bullet_id")
+
+
+_TOPPED = _KEPT + ", " + _COMPOSE.split("WITH", 1)[1].replace(_CARDS + ", ", "", 1) + f"""
+, el AS (SELECT cards.entity_id AS entry_id, cards.entity_type AS kind, evidence_id, claim, score, weight FROM cards JOIN s USING (evidence_id) WHERE cards.entity_type IN ('experience', 'project') AND cards.entity_id IS NOT NULL
+  AND length({_strip("coalesce(claim, '')")}) >= 26 AND NOT regexp_matches({_strip("coalesce(claim, '')")}, '{T.FILLER}') AND coalesce(category, '') NOT IN ('education', 'certification', 'skill')),
+had AS (SELECT kind, entry_id, count(*) AS n, list({_WORDSET.format('text')}) AS sets, flatten(list(ids)) AS used FROM kept JOIN (SELECT bullet_id, evidence_ids AS ids FROM bs) USING (bullet_id) GROUP BY 1, 2),
+lists AS (SELECT kind, entry_id, list({{'n': 0, 'calls': 0, 'sets': CAST([] AS VARCHAR[][]), 'used': CAST([] AS VARCHAR[]), 'out': CAST([] AS VARCHAR[]), 'id': evidence_id, 'ws': {_WORDSET.format('claim')}, 'nw': {_words_sql('claim')}}} ORDER BY score DESC, weight DESC, evidence_id DESC) AS cands FROM el GROUP BY 1, 2),
+folded AS (SELECT kind, entry_id, coalesce(n, 0) AS n0, list_reduce(list_concat([{{'n': CAST(coalesce(n, 0) AS INT), 'calls': 0, 'sets': coalesce(sets, []), 'used': coalesce(used, []), 'out': CAST([] AS VARCHAR[]), 'id': '', 'ws': CAST([] AS VARCHAR[]), 'nw': 0}}], cands),
+  lambda a, x: CASE WHEN a.n >= CASE kind WHEN 'experience' THEN 3 ELSE 2 END OR a.calls >= 5 OR list_contains(a.used, x.id) OR len(list_filter(a.sets, lambda w: ({_jaccard_sql('w', 'x.ws')}) >= 0.72)) > 0 THEN a
+    WHEN x.nw > 38 THEN {{'n': a.n, 'calls': a.calls + 1, 'sets': a.sets, 'used': a.used, 'out': a.out, 'id': '', 'ws': CAST([] AS VARCHAR[]), 'nw': 0}}
+    ELSE {{'n': a.n + 1, 'calls': a.calls + 1, 'sets': list_append(a.sets, x.ws), 'used': list_append(a.used, x.id), 'out': list_append(a.out, x.id), 'id': '', 'ws': CAST([] AS VARCHAR[]), 'nw': 0}} END) AS f FROM lists LEFT JOIN had USING (kind, entry_id)),
+made AS (SELECT kind, entry_id, n0, unnest(f.out) AS evidence_id, unnest(range(len(f.out))) + 1 AS k FROM folded)
+SELECT kind, entry_id, CAST(place AS INT) AS place, text, false AS made FROM kept
+UNION ALL SELECT kind, entry_id, CAST(n0 + k AS INT), {_strip('regexp_replace(' + _strip('claim') + chr(44) + chr(32) + chr(39) + '^(- )?(• )?([*] )?' + chr(39) + ', ' + chr(39) * 2 + ')')}, true FROM made JOIN cards USING (evidence_id)"""
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    c = _composed(spark, d).where("entity_type in ('experience', 'project') and entity_id is not null").where(K.eligible(F.col("claim"), F.col("category")))
+    return c.select(F.col("entity_id").alias("entry_id"), F.col("entity_type").alias("kind"), "evidence_id", "claim", "score", "weight")
+
+
+@query(_TOPPED)
+def compose_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Every entry's statements: those it keeps, topped up with statements written from its best cards and checked against them."""
+    cards, b = C.cards(spark, d), _bullets(spark, d)
+    kept = K.kept_existing(b, cards).join(b.select("bullet_id", "evidence_ids"), "bullet_id")
+    out = K.top_up(kept, _candidates(spark, d), models.composer(cards, ClaimWriter(), WordChecker()))
+    return out.select("kind", "entry_id", "place", "text", "made")
+
+
+_PROFILE = "pe AS (SELECT DISTINCT entity_type AS kind, entity_id AS entry_id FROM parsed_documents WHERE entity_type IN ('experience', 'project') AND entity_id IS NOT NULL)"
+
+
+@query(f"""
+WITH {_CARDS}, {_PROFILE}, pb AS (SELECT DISTINCT bullet_id, section, CASE WHEN section <> 'summary' THEN entry_id END AS entry_id, CASE section WHEN 'experience' THEN 'experience' WHEN 'projects' THEN 'project' END AS kind, evidence_ids, requirement_ids FROM bullets WHERE bullet_id IS NOT NULL AND section IN ('summary', 'experience', 'projects')),
+ok AS (SELECT pb.* FROM pb LEFT JOIN pe ON pe.kind = pb.kind AND pe.entry_id = pb.entry_id WHERE section = 'summary' OR pe.entry_id IS NOT NULL),
+e AS (SELECT bullet_id, kind, entry_id, unnest(evidence_ids) AS evidence_id, unnest(range(len(evidence_ids))) AS pos FROM ok), fit AS (SELECT bullet_id, list(evidence_id ORDER BY pos) AS ids FROM e JOIN cards USING (evidence_id) WHERE kind IS NULL OR (entity_id = entry_id AND entity_type = kind) GROUP BY 1),
+q AS (SELECT bullet_id, unnest(requirement_ids) AS requirement_id, unnest(range(len(requirement_ids))) AS pos FROM ok), asked AS (SELECT bullet_id, list(requirement_id ORDER BY pos) AS req FROM q WHERE requirement_id IN (SELECT requirement_id FROM requirements) GROUP BY 1)
+SELECT bullet_id, section, entry_id, array_to_string(ids, ',') AS evidence_ids, coalesce(array_to_string(req, ','), '') AS requirement_ids FROM ok JOIN fit USING (bullet_id) LEFT JOIN asked USING (bullet_id)""")
+def plan_guard(spark: SparkSession, d: str) -> DataFrame:
+    """Planned statements that keep to known entries, cards of theirs, and known requirements."""
+    b = table(spark, d, "bullets").where("bullet_id is not null").select("bullet_id", "section", "entry_id", "evidence_ids", "requirement_ids").distinct()
+    entries = C.documents(spark, d).where("entity_type in ('experience', 'project') and entity_id is not null").select(F.col("entity_type").alias("kind"), F.col("entity_id").alias("entry_id"))
+    out = K.guarded_plan(b, entries, C.cards(spark, d), table(spark, d, "requirements").where("requirement_id is not null"))
+    return out.withColumns({"evidence_ids": F.array_join("evidence_ids", ","), "requirement_ids": F.array_join("requirement_ids", ",")})
+
+
+@query(f"""
+WITH r AS (SELECT DISTINCT requirement_id AS owner, skills, string_split(role_title, ' ') AS own FROM requirements WHERE requirement_id IS NOT NULL), sup AS (SELECT {_FOLD.format('skill_name')} AS folded, max(skill_name) AS shown FROM skill_catalog GROUP BY 1),
+w AS (SELECT owner, unnest(skills) AS skill, unnest(range(len(skills))) AS pos FROM r), o AS (SELECT owner, unnest(own) AS skill, unnest(range(len(own))) AS pos FROM r),
+first AS (SELECT owner, shown, min(pos) AS pos FROM w JOIN sup ON folded = {_FOLD.format('skill')} GROUP BY 1, 2), rest AS (SELECT owner, shown, min(pos) AS pos FROM o JOIN sup ON folded = {_FOLD.format('skill')} WHERE owner NOT IN (SELECT owner FROM first) GROUP BY 1, 2)
+SELECT owner, CAST(row_number() OVER (PARTITION BY owner ORDER BY pos, shown) AS INT) AS place, shown AS skill FROM (SELECT * FROM first UNION ALL SELECT * FROM rest)""")
+def plan_skills(spark: SparkSession, d: str) -> DataFrame:
+    """Per requirement: the catalogue's spelling of its skills, or where it has none of those, of the words of its role."""
+    r = table(spark, d, "requirements").where("requirement_id is not null").select(F.col("requirement_id").alias("owner"), "skills", F.split("role_title", " ").alias("own")).distinct()
+    return K.emphasised(r.select("owner", F.posexplode("skills").alias("pos", "skill")), r.select("owner", F.posexplode("own").alias("pos", "skill")), table(spark, d, "skill_catalog").select(F.col("skill_name").alias("skill")))
+
+
+@query("""
+WITH e AS (SELECT DISTINCT source_file AS owner, entity_type AS kind, entity_id AS entry_id, document_id AS pos, metadata.technologies AS technologies FROM parsed_documents WHERE entity_type IN ('experience', 'project') AND document_id IS NOT NULL AND source_file IS NOT NULL)
+SELECT owner, kind, entry_id, pos, array_to_string(coalesce(technologies[:7], []), ',') AS technologies, CAST(row_number() OVER (PARTITION BY owner, kind ORDER BY pos, entry_id NULLS FIRST) AS INT) AS place FROM e QUALIFY place <= CASE kind WHEN 'experience' THEN 3 ELSE 2 END""")
+def entry_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The first three experiences and two projects of every file, technologies cut to seven."""
+    m = C.documents(spark, d).where("entity_type in ('experience', 'project') and source_file is not null")
+    e = m.select(F.col("source_file").alias("owner"), F.col("entity_type").alias("kind"), F.col("entity_id").alias("entry_id"), F.col("document_id").alias("pos"), "metadata.technologies").distinct()
+    return K.limited_entries(e, "owner").withColumn("technologies", F.array_join("technologies", ","))
+
+
+@query(_CITED + f""", j AS (SELECT bullet_id, pos, evidence_id, claim FROM x JOIN cards USING (evidence_id))
+SELECT bullet_id, count(*) AS n_cards, arg_min(evidence_id, pos) AS first_id, arg_max(evidence_id, pos) AS last_id FROM j GROUP BY 1""")
+def prompt_payload(spark: SparkSession, d: str) -> DataFrame:
+    """The cards of every statement as they go into a prompt, written as JSON and read back."""
+    e = models.evidence_payload(_bullets(spark, d).select(F.col("bullet_id").alias("id"), "evidence_ids"), C.cards(spark, d), ("claim", "skills", "metrics"))
+    back = F.from_json(F.to_json(F.struct("evidence")), "evidence array<struct<evidence_id:string,claim:string>>")["evidence"]
+    return e.select(F.col("id").alias("bullet_id"), back.alias("b")).select("bullet_id", F.size("b").cast("long").alias("n_cards"), F.element_at("b", 1)["evidence_id"].alias("first_id"), F.element_at("b", -1)["evidence_id"].alias("last_id"))
+
+
+@query("""
+WITH p AS (SELECT DISTINCT metadata.name AS name, document_id AS pos, source_file, source_type = 'markdown' AS canonical, metadata.date AS date, metadata.technologies AS technologies FROM parsed_documents WHERE entity_type = 'project' AND document_id IS NOT NULL AND metadata.name IS NOT NULL AND source_type IS NOT NULL),
+v AS (SELECT name, min(pos) AS first_pos, coalesce(max(pos) FILTER (canonical), min(pos)) AS at FROM p GROUP BY 1), t AS (SELECT name, pos, unnest(technologies) AS item, unnest(range(len(technologies))) AS k FROM p), o AS (SELECT name, item, min((pos, k)) AS p FROM t WHERE item IS NOT NULL GROUP BY 1, 2)
+SELECT v.name, first_pos, p.date, coalesce((SELECT string_agg(item, ',' ORDER BY o.p, item) FROM o WHERE o.name = v.name), '') AS technologies FROM v JOIN p ON p.name = v.name AND p.pos = v.at""")
+def profile_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Projects by name: the values of their last structured document, else of their first, and the technologies of all."""
+    m = C.documents(spark, d).where("entity_type = 'project' and metadata.name is not null and source_type is not null")
+    rows = m.select("metadata.name", F.col("document_id").alias("pos"), "source_file", (F.col("source_type") == "markdown").alias("canonical"), "metadata.date", "metadata.technologies").distinct()
+    return E.merged_entries(rows, ["name"], "pos", "canonical", "technologies").select("name", "first_pos", "date", F.array_join("technologies", ",").alias("technologies"))
+
+
+@query("""
+WITH m AS (SELECT DISTINCT document_id AS conv_id, chunk_index AS turn, CASE chunk_index % 3 WHEN 0 THEN 'system' WHEN 1 THEN 'user' ELSE 'assistant' END AS role, chunk_id AS text FROM chunks WHERE document_id IS NOT NULL AND chunk_index IS NOT NULL AND chunk_id IS NOT NULL),
+lead AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn, text) AS lead FROM m WHERE role = 'system' GROUP BY 1), rest AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m WHERE role <> 'system')
+SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, CASE WHEN n = 1 AND role = 'user' AND lead IS NOT NULL THEN lead || chr(10) || chr(10) || text ELSE text END AS text FROM rest LEFT JOIN lead USING (conv_id)
+UNION ALL SELECT lead.conv_id, CAST(-1 AS BIGINT), 'user', lead FROM lead LEFT JOIN rest ON rest.conv_id = lead.conv_id AND n = 1 WHERE role IS NULL OR role <> 'user'""")
+def msg_merge_system(spark: SparkSession, d: str) -> DataFrame:
+    """A document's chunks as a conversation (every third one a system message), the system texts led into the first other message."""
+    ch = table(spark, d, "chunks").where("document_id is not null and chunk_index is not null and chunk_id is not null")
+    role = F.when(F.col("chunk_index") % 3 == 0, "system").when(F.col("chunk_index") % 3 == 1, "user").otherwise("assistant")
+    return E.with_system_first(ch.select(F.col("document_id").alias("conv_id"), F.col("chunk_index").alias("turn"), role.alias("role"), F.col("chunk_id").alias("text")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ TOKEN = "[A-Za-z0-9][A-Za-z0-9_+.#/-]*"
 ACTION = (
     r"(?i)\b(built|developed|designed|implemented|automated|tested|deployed|integrated|optimized|created|maintained|investigated|configured|improved|led|supported|documented|analyzed|engineered|reduced|authored|wrote|delivered)\b"
 )
-FILLER = r"(?i)\b(detail.oriented|passionate|demonstrat(ed|ing)\s+(technical\s+)?proficiency|familiar with|highly skilled)\b"
+FILLER = r"(?i)\b(detail.oriented|passionate|demonstrat(?:ed|ing)\s+(?:technical\s+)?proficiency|familiar with|highly skilled)\b"
+# Months, words for no value, LaTeX's characters, prefixes of entity ids.
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 NO_VALUE = ("none", "null", "n/a", "na")
 LATEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
@@ -37,12 +40,20 @@ def clean(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(unix, f"[{SPACE_NO_LF}]*\n[{SPACE_NO_LF}]*", "\n"), "\n{3,}", "\n\n"))
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a column that stands once in the plan, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def clean_inline(c: Column) -> Column:
     """One line: stripped, one wrapping pair each of ** __ * peeled off in that order, white space runs to one space."""
+    def peeled(mark: str) -> Callable[[Column], Column]:
+        k = len(mark)
+        return lambda x: F.when(x.startswith(mark) & x.endswith(mark) & (F.length(x) > 2 * k), strip(x.substr(F.lit(k + 1), F.length(x) - 2 * k))).otherwise(x)
+
     s = strip(c)
     for mark in ("**", "__", "*"):
-        k = len(mark)
-        s = F.when(s.startswith(mark) & s.endswith(mark) & (F.length(s) > 2 * k), strip(s.substr(F.lit(k + 1), F.length(s) - 2 * k))).otherwise(s)
+        s = let(s, peeled(mark))
     return F.regexp_replace(s, f"{SPACE}+", " ")
 
 
@@ -136,18 +147,23 @@ def latex(c: Column) -> Column:
 
 def date_label(c: Column) -> Column:
     """"2021-03" as "Mar 2021"; anything else, and months that don't exist, unchanged."""
-    month = F.regexp_extract(c, r"^\d{4}-(\d{2})$", 1).try_cast("int")
-    ok = c.rlike(r"^\d{4}-(0[1-9]|1[0-2])$") & ~c.startswith("0000")
     names = F.array(*[F.lit(m) for m in MONTHS])
-    return F.when(ok, F.concat(F.try_element_at(names, month), F.lit(" "), F.substring(c, 1, 4))).otherwise(c)
+
+    def label(x: Column) -> Column:
+        month = F.regexp_extract(x, r"^\d{4}-(\d{2})$", 1).try_cast("int")
+        ok = x.rlike(r"^\d{4}-(0[1-9]|1[0-2])$") & ~x.startswith("0000")
+        return F.when(ok, F.concat(F.try_element_at(names, month), F.lit(" "), F.substring(x, 1, 4))).otherwise(x)
+
+    return let(c, label)
 
 
 def source_label(entity: Column, source_file: Column) -> Column:
-    """The entity, or else the file's stem, with _ and - as spaces, in title case."""
+    """The entity, or else the file's stem, with _ and - as spaces, with a capital after everything that is no letter."""
     name = F.element_at(F.split(F.coalesce(source_file, F.lit("")), "/"), -1)
     stem = F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"\.[^.]*$", "")).otherwise(name)
     raw = F.when(F.coalesce(entity, F.lit("")) != "", entity).otherwise(stem)
-    return F.initcap(F.regexp_replace(raw, "[_-]", " "))
+    chars = F.split(F.lower(F.regexp_replace(raw, "[_-]", " ")), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when((i == 0) | ~F.element_at(chars, F.greatest(i, F.lit(1))).rlike(r"\p{L}"), F.upper(c)).otherwise(c)), "")
 
 
 def search_query(text: Column, skills: Column) -> Column:
@@ -160,6 +176,12 @@ def years(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+(\.\d+)?)", 1).try_cast("double")
 
 
+def years_problem(c: Column) -> Column:
+    """Why a text states no years: null for a number, for null and for words for no value; booleans and texts without a number are wrong."""
+    s = F.lower(strip(c))
+    return F.when(s.isNull() | (s == "") | s.isin(*NO_VALUE), F.lit(None)).when(s.isin("true", "false"), "a truth value").when(years(c).isNull(), "no number")
+
+
 def hash_id(prefix: str, length: int, *parts: Column, by: str = ":") -> Column:
     """A prefix and the first hex digits of the SHA-256 of the parts."""
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws(by, *parts), 256), 1, length))

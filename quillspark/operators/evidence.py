@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import distinct_folded, hash_id, jaccard, metrics_complete, strip, word_set
+from quillspark.runtime import Scratch, join_spread
 
 STATE_VERSION = 3
 
@@ -27,8 +28,9 @@ def latest(df: DataFrame, key: str, by: str) -> DataFrame:
 
 
 def fingerprint(model: str, *columns: str) -> Column:
-    """SHA-256 of the columns and the model's version, null apart from empty."""
-    return F.sha2(F.concat_ws("", F.lit(f"{STATE_VERSION}/{model}"), *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in columns]), 256)
+    """SHA-256 of the columns and the model's version, as a JSON object: no two rows that differ in a column share their text, null apart from empty."""
+    fields = F.struct(F.lit(f"{STATE_VERSION}/{model}").alias("made_by"), *[F.col(c).alias(c) for c in sorted(columns)])
+    return F.sha2(F.to_json(fields, {"ignoreNullFields": "false"}), 256)
 
 
 def cards_by_chunk(cards: DataFrame) -> DataFrame:
@@ -74,25 +76,46 @@ def greedy_first(rows: DataFrame, group: str, ident: str, text: str, k: int = 3,
     """(group, place, ident, text): the first k rows of each group, by ident, that resemble none before them by shared words.
 
     One pass a place: the smallest ident of each group is taken (combined before the shuffle), and what resembles it drops
-    out. So a group of any size is never gathered, and the result is that of a loop over its rows which stops at k.
+    out. So a group of any size is never gathered, and the result is that of a loop over its rows which stops at k; every pass
+    is written, and groups that fill much of the rows meet their one taken row by broadcast. Null groups, idents and texts have no
+    rows; equal rows count once.
     """
+    scratch = Scratch(rows.sparkSession)
     left = rows.select(F.col(group).alias("g"), F.col(ident).alias("i"), F.col(text).alias("t")).where("g is not null and i is not null and t is not null").distinct().withColumn("w", word_set(F.col("t")))
+    left = scratch.write(left, "left0")
     out = None
     for place in range(1, k + 1):
-        first = left.groupBy("g").agg(F.min(F.struct("i", "t", "w")).alias("f"))
+        first = scratch.write(left.groupBy("g").agg(F.min(F.struct("i", "t", "w")).alias("f")), f"first{place}")
         taken = first.select(F.col("g").alias(group), F.lit(place).alias("place"), F.col("f.i").alias(ident), F.col("f.t").alias(text))
         out = taken if out is None else out.unionByName(taken)
-        left = left.join(first, "g").where((F.struct("i", "t") > F.struct("f.i", "f.t")) & (jaccard(F.col("w"), F.col("f.w")) < threshold)).drop("f")
+        if place < k:
+            rest = join_spread(left, first, "g").where((F.struct("i", "t") > F.struct("f.i", "f.t")) & (jaccard(F.col("w"), F.col("f.w")) < threshold)).drop("f")
+            left = scratch.write(rest, f"left{place}")
     return out
 
 
-def merged_entries(docs: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """One row per natural key: the values of its last row, the place of its first, and its distinct source files in order."""
-    rest = [c for c in docs.columns if c not in (*keys, "source_file")]
-    rows = docs.groupBy(*keys).agg(F.min(pos).alias("first_pos"), F.max(F.struct(pos, *[c for c in rest if c != pos])).alias("last"))
+def merged_entries(docs: DataFrame, keys: list[str], pos: str, canonical: str | None = None, union: str | None = None) -> DataFrame:
+    """One row per natural key: its values, the place of its first row, and its distinct source files in order.
+
+    The values are those of its last row; where ``canonical`` names a boolean column and a row of the key has it, of its last canonical row,
+    else of its first. ``union`` names an array column whose distinct elements are taken from all rows, in their order.
+    """
+    rest = [c for c in docs.columns if c not in (*keys, "source_file", canonical)]
+    value = F.struct(pos, *[c for c in rest if c != pos])
+    last = F.max(value)
+    if canonical:
+        last = F.coalesce(F.max(F.when(F.col(canonical), value)), F.min(value))
+    rows = docs.groupBy(*keys).agg(F.min(pos).alias("first_pos"), last.alias("last"))
     files = docs.groupBy(*keys, "source_file").agg(F.min(pos).alias("p")).groupBy(*keys)
     named = files.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "source_file"))), lambda x: x["source_file"]).alias("source_files"))
-    return rows.join(named, keys).select(*keys, "first_pos", *[F.col(f"last.{c}").alias(c) for c in rest if c != pos], "source_files")
+    out = rows.join(named, keys)
+    kept = [F.col(f"last.{c}").alias(c) for c in rest if c not in (pos, union)]
+    if union:
+        once = docs.select(*keys, pos, F.posexplode(union).alias("at", "item")).where("item is not null").groupBy(*keys, "item").agg(F.min(F.struct(pos, "at")).alias("p"))
+        lists = once.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "item"))), lambda x: x["item"]).alias(union))
+        out = out.join(lists, keys, "left")
+        kept.append(F.coalesce(union, F.array().cast(docs.schema[union].dataType)).alias(union))
+    return out.select(*keys, "first_pos", *kept, "source_files")
 
 
 def with_system_first(messages: DataFrame) -> DataFrame:

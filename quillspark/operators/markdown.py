@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark import schemas
 from quillspark.functions import text as T
 
 #: Files with a known structure.
@@ -94,6 +97,16 @@ def project_entities(lines: DataFrame) -> DataFrame:
     )
 
 
+def _metadata(**columns: Column) -> Column:
+    """The metadata struct of a document, null where nothing is said."""
+    fields = re.findall(r"(\w+):(array<string>|string)", schemas.METADATA)
+    return F.struct(*[(columns[n] if n in columns else F.lit(None)).cast(k).alias(n) for n, k in fields])
+
+
+def _lines_of(**columns: Column) -> list[Column]:
+    return [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{k}: "), c)) for k, c in columns.items()]
+
+
 def profile_sections(lines: DataFrame) -> DataFrame:
     """One row per profile file: contact fields, summary as one line, skills; a file without any of them still has a row."""
     s = structured(lines)
@@ -103,38 +116,74 @@ def profile_sections(lines: DataFrame) -> DataFrame:
     own = s.where("block > 0").withColumn("part", title).join(first, ["path", "part", "block"])
     contact = own.where("part = 'contact'").withColumns({"k": key, "v": T.scalar(value)}).where(F.col("k").isin(*CONTACTS))
     contacts = contact.groupBy("path").agg(*[F.max_by(F.when(F.col("k") == c, F.col("v")), F.when(F.col("k") == c, F.col("pos"))).alias(c) for c in CONTACTS])
-    said = own.where("part = 'summary' and level is null").withColumn("line", T.strip(F.col("line"))).where("line <> ''")
+    said = own.where("part = 'professional summary' and level is null").withColumn("line", T.strip(F.col("line"))).where("line <> ''")
     summary = said.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("summary"))
     listed = own.where("part = 'skills'").withColumn("item", T.list_item(F.col("line"))).where("item is not null")
     skills = listed.groupBy("path").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])).alias("skills"))
     out = lines.select("path").distinct().join(contacts, "path", "left").join(summary, "path", "left").join(skills, "path", "left")
-    return out.withColumns({"skills": F.coalesce("skills", F.array().cast("array<string>")), "entity_id": F.lit("profile"), "entity_type": F.lit("profile")})
+    skills = F.coalesce("skills", F.array().cast("array<string>"))
+    listed = F.when(F.size(skills) > 0, F.concat(F.lit("Skills:\n"), F.array_join(F.transform(skills, lambda x: F.concat(F.lit("- "), x)), "\n")))
+    text = F.concat_ws("\n\n", F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit("Professional Summary:\n"), "summary")), listed)
+    return out.withColumns({"text": text, "skills": skills, "entity_id": F.lit("profile"), "entity_type": F.lit("profile")})
+
+
+def _first_block(lines: DataFrame, name: str) -> DataFrame:
+    """The lines of the first block of that name of each file."""
+    s = structured(lines).where("block > 0").where(T.fold_case(F.coalesce("block_title", F.lit(""))) == name)
+    return s.join(s.groupBy("path").agg(F.min("block").alias("block")), ["path", "block"])
+
+
+AWARDS = ("achievements", "honours", "honors")
 
 
 def education_entries(lines: DataFrame) -> DataFrame:
-    """One row per third-level heading of a profile's education part: institution, degree, field, dates, achievements."""
-    s = structured(lines).where(T.fold_case(F.coalesce("block_title", F.lit(""))) == "education").where("section > 0")
+    """One row per third-level heading of a profile's education part: institution, degree, field, dates, achievements; ``problem`` where the degree is missing.
+
+    The last of equal fields counts. Achievements are the list items under a deeper heading, or a bare field, of that name.
+    """
+    s = _first_block(lines, "education").where("section > 0")
     key, value = T.field(F.col("line"))
+    deep = F.coalesce("level", F.lit(0)) >= 4
+    bare = F.coalesce(key.isin(*AWARDS) & (T.strip(value) == ""), F.lit(False))
     w = Window.partitionBy("path", "block", "section").orderBy("pos")
-    opens = (F.coalesce("level", F.lit(0)) >= 4) | F.coalesce(key.isin("achievements", "honours", "honors") & (T.strip(value) == ""), F.lit(False))
-    m = s.withColumns({"k": key, "v": T.scalar(value), "awards": F.max(opens.cast("int")).over(w)})
-    pick = lambda *n: F.max_by(F.when(F.col("k").isin(*n), F.col("v")), F.when(F.col("k").isin(*n) & F.col("v").isNotNull(), F.col("pos")))
-    item = F.when(F.col("awards") == 1, T.list_item(F.col("line")))
+    part = F.last(F.when(deep, T.fold_case(F.col("title"))).when(bare, key), True).over(w)
+    m = s.withColumns({"k": F.when(~deep & ~bare, key), "v": value, "part": part})
+    pick = lambda n: T.scalar(F.max_by(F.when(F.col("k") == n, F.col("v")), F.when(F.col("k") == n, F.col("pos"))))
+    item = F.when(F.col("part").isin(*AWARDS) & F.col("k").isNull() & ~deep, T.list_item(F.col("line")))
     out = m.withColumn("item", item).groupBy("path", "block", "section").agg(
-        F.first("section_title").alias("institution"), pick("degree").alias("degree"), pick("field").alias("field"), pick("location").alias("location"), pick("graduation date", "graduated", "graduation").alias("graduation_date"),
+        F.first("section_title").alias("institution"), pick("degree").alias("degree"), pick("field").alias("field"), pick("location").alias("location"), F.coalesce(pick("graduation"), pick("graduation date")).alias("graduation_date"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), F.struct("pos", "item")))), lambda x: x["item"]).alias("achievements"),
     )
-    return out.withColumns({"entity_id": T.entity_id("education", F.col("institution")), "problem": F.when(F.col("degree").isNull(), "degree")})
+    shown = F.when(F.size("achievements") > 0, F.concat(F.lit("\nAchievements:\n"), F.array_join(F.transform("achievements", lambda x: F.concat(F.lit("- "), x)), "\n")))
+    text = F.concat_ws("\n", *_lines_of(Institution=F.col("institution"), Degree=F.col("degree"), Field=F.col("field"), Location=F.col("location"), Graduation=F.col("graduation_date")), shown)
+    return out.withColumns({"entity_id": T.entity_id("education", F.col("institution")), "entity_type": F.lit("education"), "text": text, "problem": F.when(F.col("degree").isNull(), "degree")})
 
 
 def certification_entries(lines: DataFrame) -> DataFrame:
-    """One row per list item or third-level heading of a profile's certifications part: name, issuer, date."""
-    s = structured(lines).where(T.fold_case(F.coalesce("block_title", F.lit(""))) == "certifications")
-    key, value = T.field(F.col("line"))
-    m = s.withColumns({"k": key, "v": T.scalar(value), "item": T.list_item(F.col("line"))})
-    under = m.where("section > 0").groupBy("path", "block", "section").agg(
-        F.first("section_title").alias("name"), F.max_by(F.when(F.col("k") == "issuer", F.col("v")), F.when(F.col("k") == "issuer", F.col("pos"))).alias("issuer"),
-        F.max_by(F.when(F.col("k") == "date", F.col("v")), F.when(F.col("k") == "date", F.col("pos"))).alias("date"),
-    )
-    bare = m.where("section = 0 and item is not null").select("path", "block", "section", F.col("item").alias("name"), F.lit(None).cast("string").alias("issuer"), F.lit(None).cast("string").alias("date"))
-    return under.unionByName(bare).withColumn("entity_id", T.entity_id("certification", F.col("name")))
+    """One row per list item of a profile's certifications part, in order of pos."""
+    m = _first_block(lines, "certifications").withColumn("name", T.list_item(F.col("line"))).where("name is not null")
+    return m.select("path", "block", "pos", "name", T.entity_id("certification", F.col("name")).alias("entity_id"), F.lit("certification").alias("entity_type"), F.concat(F.lit("Certification: "), "name").alias("text"))
+
+
+def canonical_entities(lines: DataFrame) -> DataFrame:
+    """(path, part, pos, entity_id, entity_type, text, metadata, problem) of every entity of the structured files, by (part, pos) in the order of the file.
+
+    ``lines``: numbered_lines of canonical files. ``problem`` names a required field that is missing. Profiles always have their row; other
+    entities need text.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    c = lambda *names: {n: F.col(n) for n in names}
+    no = F.lit(None).cast("string")
+    profile = lines.where(name == "profile.md")
+    shape = lambda df, part, pos, problem, meta: df.select("path", F.lit(part).alias("part"), F.col(pos).cast("long").alias("pos"), "entity_id", "entity_type", "text", meta.alias("metadata"), problem.alias("problem"))
+    parts = [
+        shape(experience_entities(lines.where(name == "experience.md")), 0, "block", F.col("problem"), _metadata(**c("company", "title", "location", "start_date", "end_date"))),
+        shape(project_entities(lines.where(name == "projects.md")), 0, "block", F.col("problem"), _metadata(**c("name", "project_type", "repository", "date", "technologies"))),
+        shape(profile_sections(profile).withColumn("at", F.lit(0)), 0, "at", no, _metadata(**c(*CONTACTS, "summary", "skills"))),
+        shape(education_entries(profile).withColumn("at", F.col("section")), 1, "at", F.col("problem"), _metadata(**c("institution", "degree", "field", "location", "graduation_date", "achievements"))),
+        shape(certification_entries(profile), 2, "pos", no, _metadata(name=F.col("name"))),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("text <> '' or entity_type = 'profile'")

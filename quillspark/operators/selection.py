@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import ACTION, FILLER, fold_case, strip
+from quillspark.operators.markdown import CANONICAL
 
 # Weights of match strengths, and of categories in the two rankings.
 PLAN_WEIGHTS = {"strong": 100, "partial": 70}
 COMPOSE_WEIGHTS = {"strong": 8, "partial": 4}
 PLAN_CATEGORY = {"achievement": 5, "experience": 4, "project": 4, "responsibility": 3, "certification": 2, "education": 2, "skill": 1}
 COMPOSE_CATEGORY = {"achievement": 4, "experience": 3, "project": 3, "responsibility": 2, "skill": -2, "other": -3}
-CANONICAL = ("profile.md", "experience.md", "projects.md")
 # The groups that skills are shown in.
 SKILL_GROUPS = {
     "Languages": ("python", "sql", "c++", "c", "c#", "java", "javascript", "typescript", "bash", "powershell", "html", "css"),
@@ -89,10 +89,20 @@ def compose_best(scored: DataFrame, entry: str, n: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w).cast("int")).where(F.col("place") <= n)
 
 
-def best_skills(skills: DataFrame, job_text: DataFrame, n: int = 16) -> DataFrame:
-    """The n best of (owner, pos, skill): those a job text of the owner names as a whole word first, then by folded spelling.
+def skill_inventory(own: DataFrame, projects: DataFrame, cards: DataFrame) -> DataFrame:
+    """(owner, pos, skill) of three sources in order: the owner's own skills of at most 40 characters, technologies of its projects, skills of its cards.
 
-    The first spelling of each counts; blank ones, and ones over 42 characters, with a colon or a line break don't.
+    Each source: owner, pos, skill; the first spelling in this order is the one that best_skills shows.
+    """
+    part = lambda df, n: df.select("owner", (F.lit(n) * F.lit(1 << 40) + F.col("pos").cast("long")).alias("pos"), "skill")
+    return part(own.where(F.length(strip(F.col("skill"))).between(1, 40)), 0).unionByName(part(projects, 1)).unionByName(part(cards, 2))
+
+
+def best_skills(skills: DataFrame, job_text: DataFrame, n: int = 16, chosen: DataFrame | None = None) -> DataFrame:
+    """The n best of (owner, pos, skill): those a job text of the owner names as a whole word first (6), ``chosen`` ones (owner, skill) next (2), then by folded spelling.
+
+    The first spelling of each counts; blank ones, and ones over 42 characters, with a colon or a line break don't. ``job_text``: one row an
+    owner. An owner's skills may be any number: they are scored row by row and cut to n before the shuffle.
     """
     s = skills.withColumn("skill", strip(F.col("skill"))).where("skill <> '' and length(skill) <= 42 and instr(skill, ':') = 0 and instr(skill, '\\n') = 0").withColumn("folded", fold_case(F.col("skill")))
     once = s.groupBy("owner", "folded").agg(F.min_by("skill", "pos").alias("skill"))
@@ -101,7 +111,11 @@ def best_skills(skills: DataFrame, job_text: DataFrame, n: int = 16) -> DataFram
     parts = F.split(F.col("job"), F.concat(F.lit(r"\Q"), F.col("folded"), F.lit(r"\E")), -1)
     free = F.exists(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: (i < F.size(parts)) & ~F.element_at(parts, i).rlike(r"\w$") & ~F.try_element_at(parts, i + 1).rlike(r"^\w"))
     named = F.coalesce(free & (F.size(parts) > 1), F.lit(False))
-    scored = j.withColumn("score", F.when(named, 6).otherwise(0))
+    score = F.when(named, 6).otherwise(0)
+    if chosen is not None:
+        j = j.join(chosen.select("owner", fold_case(F.col("skill")).alias("folded"), F.lit(2).alias("had")).distinct(), ["owner", "folded"], "left")
+        score = score + F.coalesce("had", F.lit(0))
+    scored = j.withColumn("score", score)
     w = Window.partitionBy("owner").orderBy(F.desc("score"), "folded")
     return scored.withColumn("place", F.row_number().over(w).cast("int")).where(F.col("place") <= n).select("owner", "place", "skill", "score")
 
@@ -113,8 +127,8 @@ def skill_group(skill: Column) -> Column:
     return out
 
 
-def trim_order(bullets: DataFrame, steps: int = 32) -> DataFrame:
-    """(owner, section, entry_pos, bullet) with ``step``: the first bullets that a layout which is too long drops, in order.
+def trim_order(bullets: DataFrame, steps: int | None = 32) -> DataFrame:
+    """(owner, section, entry_pos, bullet) with ``step``: the bullets that a layout which is too long drops, in order; the first ``steps``, as many as fitting tries.
 
     Projects before experience, the last entry first, its last bullet first; the first bullet of an entry is never dropped.
     """
@@ -122,4 +136,5 @@ def trim_order(bullets: DataFrame, steps: int = 32) -> DataFrame:
     first = b.groupBy("owner", "section", "entry_pos").agg(F.min("bullet").alias("first"))
     w = Window.partitionBy("owner").orderBy(F.when(F.col("section") == "projects", 0).otherwise(1), F.desc("entry_pos"), F.desc("bullet"))
     rest = b.join(first, ["owner", "section", "entry_pos"]).where("bullet > first").drop("first")
-    return rest.withColumn("step", F.row_number().over(w).cast("int")).where(F.col("step") <= steps)
+    ordered = rest.withColumn("step", F.row_number().over(w).cast("int"))
+    return ordered if steps is None else ordered.where(F.col("step") <= steps)

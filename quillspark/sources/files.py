@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,15 +12,25 @@ from pyspark.sql import functions as F
 from quillspark import schemas
 from quillspark.functions.text import clean
 from quillspark.operators import markdown as md
+from quillspark.runtime import Scratch
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
+# What is looked for in the names of files, whatever its case; only matching files are opened.
+GLOBS = {"text": "*.{[mM][dD],[tT][xX][tT]}", "pdf": "*.[pP][dD][fF]", "all": "*.{[mM][dD],[tT][xX][tT],[pP][dD][fF]}"}
+
+
+def discover(spark: SparkSession, root: str, what: str = "all") -> DataFrame:
     """(path, kind, content) of the .pdf, .md and .txt files under a folder, whatever the case of the ending."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", GLOBS[what]).load(root)
     kind = F.when(F.lower("path").endswith(".pdf"), "pdf").when(F.lower("path").endswith(".txt"), "txt").when(F.lower("path").endswith(".md"), F.when(md.is_canonical(F.col("path")), "canonical").otherwise("markdown"))
     return files.select("path", kind.alias("kind"), "content").where("kind is not null")
 
 
+def job_text(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text): each file whole as one UTF-8 text; a missing one is an error."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
 def _named(df: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return df.withColumns({"source_file": name, "stem": F.regexp_replace(name, r"\.[^.]*$", "")})
@@ -34,11 +45,16 @@ def text_documents(files: DataFrame) -> DataFrame:
 
 
 def pdf_documents(files: DataFrame, pages: Callable[[bytes], list[str]]) -> DataFrame:
-    """Every non-blank page of every PDF as one document; ``pages`` turns a file into the texts of its pages."""
+    """Every non-blank page of every PDF as one document; ``pages`` turns a file into the texts of its pages, files that it fails on are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, n, t) for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n, t in enumerate(pages(c), 1) if t and t.strip()]
+            rows = []
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    rows += [(path, n, t) for n, t in enumerate(pages(content), 1) if t and t.strip()]
+                except Exception as error:  # whatever a reader raises for a broken file
+                    logging.getLogger(__name__).warning("%s is left out: %s", path, error)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.string()), strict=True)], ["path", "page", "text"])
 
@@ -48,23 +64,26 @@ def pdf_documents(files: DataFrame, pages: Callable[[bytes], list[str]]) -> Data
 
 
 def canonical_documents(files: DataFrame) -> DataFrame:
-    """Every entity of the structured files as one document; entities without text are kept for a profile only."""
+    """Every entity of the structured files as one document with its metadata; a missing required field stops the read with its name and file."""
     lines = md.numbered_lines(files.where("kind = 'canonical'").select("path", F.expr("cast(content as string)").alias("text")))
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    parts = [
-        md.experience_entities(lines.where(name == "experience.md")).select("path", "entity_id", "entity_type", "text"),
-        md.project_entities(lines.where(name == "projects.md")).select("path", "entity_id", "entity_type", "text"),
-        md.profile_sections(lines.where(name == "profile.md")).select("path", "entity_id", "entity_type", F.coalesce("summary", F.lit("")).alias("text")),
-    ]
-    d = _named(parts[0].unionByName(parts[1]).unionByName(parts[2])).where("text <> '' or entity_type = 'profile'")
-    return d.select(F.col("entity_id").alias("document_id"), "source_file", F.lit("markdown").alias("source_type"), "text", F.lit(None).cast("int").alias("page"), "entity_id", "entity_type")
+    d = _named(md.canonical_entities(Scratch(files.sparkSession).write(lines, "lines")))
+    broken = F.raise_error(F.concat_ws(" ", F.col("path"), F.lit("has no"), F.col("problem"), F.lit("in"), F.col("entity_id")))
+    text = F.when(F.col("problem").isNotNull(), broken).otherwise(F.col("text"))
+    return d.select(F.col("entity_id").alias("document_id"), "source_file", F.lit("markdown").alias("source_type"), text.alias("text"), F.lit(None).cast("int").alias("page"), "entity_id", "entity_type", "metadata")
 
 
 def parse_corpus(spark: SparkSession, root: str, pages: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """All documents of a folder: canonical entities, texts, and PDF pages where a reader for them is given."""
-    files = discover(spark, root)
-    out = canonical_documents(files).unionByName(text_documents(files))
-    return out.unionByName(pdf_documents(files, pages)) if pages else out
+    """All documents of a folder: canonical entities, texts, and PDF pages where a reader for them is given.
+
+    The folder's text files are read once for the structured and once for the other ones, PDFs only by their branch; a broken structured
+    file stops the read, other broken files are left out. Rows are in order of file and place within it.
+    """
+    none = F.lit(None).cast(schemas.METADATA).alias("metadata")
+    texts = discover(spark, root, "text")
+    out = canonical_documents(texts).unionByName(text_documents(texts).select("*", none))
+    if pages:
+        out = out.unionByName(pdf_documents(discover(spark, root, "pdf"), pages).select("*", none))
+    return out.orderBy("source_file", F.coalesce("page", F.lit(0)), "document_id")
 
 
 def read_records(spark: SparkSession, path: str, kind: str, missing_ok: bool = False) -> DataFrame:

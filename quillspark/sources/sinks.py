@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import subprocess
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _fs(spark: SparkSession, path: str):
@@ -45,3 +49,22 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+
+
+def write_document(document: DataFrame, path: str) -> None:
+    """One document (a row of structs and arrays) as one JSON text, null fields kept; more rows than one are an error."""
+    rows = document.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": "true"}).alias("j")).take(2)
+    if len(rows) != 1:
+        raise ValueError("a document is one row")
+    write_text(document.sparkSession, rows[0].j + "\n", path)
+
+
+def compile_pdf(tex: str, compiler: str = "pdflatex") -> str | None:
+    """Compiles a LaTeX file beside itself; None where the compiler isn't installed, RuntimeError with the end of its output where it fails."""
+    program = shutil.which(compiler)
+    if program is None:
+        return None
+    done = subprocess.run([program, "-interaction=nonstopmode", "-halt-on-error", os.path.basename(tex)], cwd=os.path.dirname(tex) or ".", capture_output=True, text=True, check=False)
+    if done.returncode:
+        raise RuntimeError(done.stdout[-5000:])
+    return os.path.splitext(tex)[0] + ".pdf"

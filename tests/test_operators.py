@@ -108,13 +108,18 @@ def test_experience_blocks(spark):
 def test_projects_and_profile(spark):
     p = M.project_entities(lines(spark, "projects.md", "## Projects\n## Tool\nName: T\nYear: 2021\n### Technologies\n- Go\n- go\n- Go\n- none\n")).first()
     assert (p.entity_id, p.date, p.technologies, p.problem) == ("proj_tool", "2021", ["Go", "go"], None)
-    text = "# Me\n## Contact\nName: A B\nEmail: none\nFax: 1\n## Summary\nline one\n\nline two\n## Skills\n- X\n- X\n- Y\n## Education\n### Uni\nDegree: BSc\nAchievements:\n- prize\n### Other\n## Certifications\n- C1\n### C2\nIssuer: I\n"
+    text = "# Me\n## Contact\nName: A B\nEmail: none\nFax: 1\n## Professional Summary\nline one\n\nline two\n## Skills\n- X\n- X\n- Y\n## Education\n### Uni\nDegree: BSc\n- no prize\nAchievements:\n- prize\n### Other\n## Certifications\n- C1\n### Group\n- C2\n## Certifications\n- late\n"
     f = M.profile_sections(lines(spark, "profile.md", text)).first()
+    assert f.text == "Professional Summary:\nline one line two\n\nSkills:\n- X\n- Y"
     assert (f.name, f.email, f.summary, f.skills) == ("A B", None, "line one line two", ["X", "Y"])
     e = M.education_entries(lines(spark, "profile.md", text)).orderBy("section").collect()
     assert [(r.institution, r.degree, r.achievements, r.problem) for r in e] == [("Uni", "BSc", ["prize"], None), ("Other", None, [], "degree")]
-    c = M.certification_entries(lines(spark, "profile.md", text)).orderBy("section").collect()
-    assert [(r.name, r.issuer) for r in c] == [("C1", None), ("C2", "I")]
+    assert e[0].text == "Institution: Uni\nDegree: BSc\n\nAchievements:\n- prize"
+    c = M.certification_entries(lines(spark, "profile.md", text)).orderBy("pos").collect()
+    assert [(r.name, r.entity_id, r.text) for r in c] == [("C1", "cert_c1", "Certification: C1"), ("C2", "cert_c2", "Certification: C2")]
+    all_of = M.canonical_entities(lines(spark, "profile.md", text)).orderBy("part", "pos").collect()
+    assert [(r.entity_type, r.problem) for r in all_of] == [("profile", None), ("education", None), ("education", "degree"), ("certification", None), ("certification", None)]
+    assert all_of[0].metadata.skills == ["X", "Y"] and all_of[1].metadata.achievements == ["prize"]
     assert M.profile_sections(lines(spark, "profile.md", "")).first().skills == []
 
 
@@ -235,7 +240,8 @@ def test_fit_trims_in_order(spark):
 
 def test_corpus_round_trip(spark, tmp_path):
     (tmp_path / "sub").mkdir()
-    (tmp_path / "sub" / "experience.md").write_text(EXPERIENCE)
+    (tmp_path / "sub" / "experience.md").write_text(EXPERIENCE.replace("Title: Only", "Title: Only\nCompany: Late"))
+    (tmp_path / "broken.pdf").write_bytes(b"\xff\xff")
     (tmp_path / "note.TXT").write_bytes(b"ok \xff\r\n\r\n\r\nmore ")
     (tmp_path / "empty.md").write_text(" \n")
     (tmp_path / "x.PDF").write_bytes(b"p1|p2| ")
@@ -243,7 +249,11 @@ def test_corpus_round_trip(spark, tmp_path):
     docs = files.parse_corpus(spark, str(tmp_path), lambda b: b.decode().split("|"))
     rows = {r.document_id: r for r in docs.collect()}
     assert set(rows) == {"exp_one_place", "exp_two", "note", "x_page_1", "x_page_2"}
-    assert rows["note"].text == "ok\n\nmore" and rows["x_page_2"].page == 2
+    assert rows["note"].text == "ok\n\nmore" and rows["x_page_2"].page == 2 and rows["exp_two"].metadata.company == "Late"
+    (tmp_path / "sub" / "experience.md").write_text(EXPERIENCE)
+    with pytest.raises(Exception, match="has no company"):
+        files.parse_corpus(spark, str(tmp_path)).collect()
+    assert files.job_text(spark, str(tmp_path / "skip.csv")).first().text == "a,b"
 
 
 def test_records_and_state(spark, tmp_path):

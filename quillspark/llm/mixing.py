@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from quillspark.runtime import Scratch
 
-#: Tokens in a block, blocks in a shard (more where there would be over MOST_SHARDS), and sources at most.
+#: Tokens in a block, blocks in a shard, and sources at most.
 BLOCK_TOKENS = 512
 SHARD_BLOCKS = 1024
-MOST_SHARDS = 4096
+#: Where more slots are dealt to two halves at once, their counts are split in proportion: a draw would differ by less than one in 10,000.
+DRAWN_EXACTLY = 500_000_000
 MOST_SOURCES = 10_000
 #: Documents of a source are laid out in hash ranges of about so many.
 LAID_TOGETHER = 200_000
@@ -69,6 +70,36 @@ def quotas(tokens: dict[str, int], targets: list[tuple[str, float, int]], total:
     return out
 
 
+def _left_part(counts: np.ndarray, slots: int, key: str, exactly: int) -> np.ndarray:
+    """How many of each source's slots fall to the first ``slots`` of all: a multivariate hypergeometric draw that depends on the key alone."""
+    rng = np.random.default_rng(xxhash.xxh64_intdigest(key))
+    total = int(counts.sum())
+    if total <= exactly:
+        return rng.multivariate_hypergeometric(counts, slots, method="marginals")
+    share = [int(c) * slots // total for c in counts]  # exact integers, then the rest by largest remainder
+    rest = sorted(range(len(counts)), key=lambda i: (-(int(counts[i]) * slots % total), i))[: slots - sum(share)]
+    return np.array([s + (i in set(rest)) for i, s in enumerate(share)], np.int64)
+
+
+def shard_counts(shard: int, slots: list[int], seed: int, size: int, exactly: int = DRAWN_EXACTLY) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in a shard of ``size`` blocks, slots of each in all shards before): multinomial counts conditioned on the sources' totals.
+
+    The shards are halved again and again, and each half draws its counts from its whole, so that any task finds its own shard's
+    counts by itself in as many draws as the number of shards has binary digits.
+    """
+    total = sum(slots)
+    lo, hi = 0, -(-total // size)
+    counts, before = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        left = _left_part(counts, (mid - lo) * size, f"{seed}/{lo}/{hi}", exactly)
+        if shard < mid:
+            hi, counts = mid, left
+        else:
+            lo, before, counts = mid, before + left, counts - left
+    return counts, before
+
+
 def _laid_out(counts: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """(source, key, n_tokens, start): the documents of each source in pseudorandom order, one after another."""
     hashed = counts.withColumn("h", F.xxhash64("key", F.lit(seed)))
@@ -87,8 +118,8 @@ def mix(counts: DataFrame, targets: DataFrame, total: float | str | None = "once
 
     ``counts``: key, source string, n_tokens; ``targets``: source, target_share, max_repeats. Each source's documents
     are laid end to end in pseudorandom order and cut into blocks of ``block`` tokens (its last may be shorter). Quotas
-    turn shares into numbers of slots; multinomial source counts, conditioned on the quotas, are drawn for each
-    shard; a source's k-th slot holds block permuted(k mod blocks) of epoch k div blocks, so no block is used again
+    turn shares into numbers of slots; every task draws its shards' multinomial source counts, conditioned on the quotas
+    (shard_counts); a source's k-th slot holds block permuted(k mod blocks) of epoch k div blocks, so no block is used again
     before all are, and none more than max_repeats times; slots and blocks are joined by index. The same seed gives
     the same mixture. ``total``: tokens of the mixture; "once": those of all sources with a target; None: see quotas.
 
@@ -110,39 +141,34 @@ def mix(counts: DataFrame, targets: DataFrame, total: float | str | None = "once
     blocks = {s: -(-have[s] // block) for s in goal}
     slots = {s: min(most[s] * blocks[s], round(goal[s] / (have[s] / blocks[s]))) for s in goal}
     order = sorted(s for s in slots if slots[s] > 0)
-    size = max(SHARD_BLOCKS, -(-sum(slots.values()) // MOST_SHARDS))
-    left = np.array([slots[s] for s in order], np.int64)
-    rng, plan, shard = np.random.default_rng(seed), [], 0
-    done = np.zeros(len(order), np.int64)
-    while left.sum() > 0:
-        drawn = rng.multivariate_hypergeometric(left, min(size, int(left.sum())), method="marginals")
-        at = 0
-        for i, c in enumerate(drawn.tolist()):
-            if c:
-                plan.append((shard, order[i], int(done[i]), c, at, int(drawn.sum()), blocks[order[i]]))
-                at += c
-        done, left, shard = done + drawn, left - drawn, shard + 1
-    ddl = "shard bigint, source string, k0 bigint, c bigint, at bigint, size bigint, blocks bigint"
-    drawn_df = spark.createDataFrame(plan or [(0, "", 0, 0, 0, 1, 1)], ddl).where("c > 0")
+    shared = spark.sparkContext.broadcast([(s, slots[s], blocks[s]) for s in order])  # at most MOST_SOURCES
+    shard_size = SHARD_BLOCKS
+    shards = -(-sum(slots[s] for s in order) // shard_size)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sources = shared.value
         for b in batches:
-            for shard, source, k0, c, at, size, n in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                for s in range(0, c, 1 << 18):
-                    k = k0 + np.arange(s, min(c, s + (1 << 18)))
+            for shard in b.column(0).to_pylist():
+                counts, before = shard_counts(shard, [n for _, n, _ in sources], seed, shard_size)
+                size, at = int(counts.sum()), 0
+                for (source, _, n), c, k0 in zip(sources, counts.tolist(), before.tolist(), strict=True):
+                    if not c:
+                        continue
+                    k = k0 + np.arange(c)
                     epoch, index = k // n, k % n
-                    place = np.empty(len(k), np.int64)
+                    place = np.empty(c, np.int64)
                     for e in np.unique(epoch):
                         m = epoch == e
                         place[m] = permuted(index[m], n, xxhash.xxh64_intdigest(f"{seed}/{source}/{e}"))
-                    slot = permuted(at + k - k0, size, xxhash.xxh64_intdigest(f"{seed}/{shard}"))
+                    slot = permuted(at + np.arange(c), size, xxhash.xxh64_intdigest(f"{seed}/{shard}"))
+                    at += c
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(k), shard)), pa.array(slot), pa.array([source] * len(k), pa.string()), pa.array(epoch), pa.array(place)],
+                        [pa.array(np.full(c, shard)), pa.array(slot), pa.array([source] * c, pa.string()), pa.array(epoch), pa.array(place)],
                         ["shard", "slot", "source", "epoch", "block"],
                     )
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filled = drawn_df.repartition(parts, "shard").mapInArrow(fill, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
+    filled = spark.range(0, shards, 1, max(1, min(shards, 4 * parts))).mapInArrow(fill, "shard bigint, slot bigint, source string, epoch bigint, block bigint")
     laid = _laid_out(used, seed, scratch)
     end = F.col("start") + F.col("n_tokens")
     pieces = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + n_tokens - 1) div {block})"))).select(

@@ -13,6 +13,16 @@ from quillspark.runtime import Scratch
 RANKED_TOGETHER = 200_000
 #: The sum of all capacities, which bounds the histogram and the plan on the driver.
 MOST_CAPACITY = 4_000_000
+#: Kinds of containers at most; more are an error.
+MOST_KINDS = 10_000
+
+
+def kinds_of(containers: DataFrame, kind: str, capacity: str) -> list[tuple[str, int]]:
+    """The kinds of containers and their capacities, each row once; ValueError beyond MOST_KINDS. Rows with a null have no kind."""
+    rows = containers.where(F.col(kind).isNotNull() & F.col(capacity).isNotNull()).select(F.col(kind).alias("k"), F.col(capacity).cast("long").alias("c")).distinct().limit(MOST_KINDS + 1).collect()
+    if len(rows) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    return sorted((r.k, r.c) for r in rows)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

@@ -11,7 +11,7 @@ from quillspark.llm.canonical import map_elements, map_to_list
 from quillspark.llm.garbled import restore_texts
 from quillspark.llm.mixing import mix, shares
 from quillspark.llm.neardup import classes_with_links, pairs_of, similar_classes
-from quillspark.llm.packing import pack
+from quillspark.llm.packing import kinds_of, pack
 from quillspark.llm.personal import find_personal, redact
 from quillspark.llm.splitting import split_oversized
 from quillspark.llm.tokens import token_counts
@@ -85,7 +85,7 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
-    kinds = [(r.container_kind, r.capacity_tokens) for r in table(spark, d, "containers").distinct().limit(1000).collect()]
+    kinds = kinds_of(table(spark, d, "containers"), "container_kind", "capacity_tokens")
     return pack(token_counts(table(spark, d, "documents"), ["doc_id"], "text"), "doc_id", "n_tokens", kinds)
 
 

@@ -130,6 +130,26 @@ def test_mixture_edges(spark):
         mixture(spark, [(1, "a", 5)], [("a", 1.0, 1), ("a", 0.5, 1)])
 
 
+def test_shards_find_their_own_counts():
+    slots = [333, 50, 4, 0, 170]
+    parts = [mixing.shard_counts(k, slots, 3, 10) for k in range(56)]
+    assert sum(c for c, _ in parts).tolist() == slots and {int(c.sum()) for c, _ in parts[:-1]} == {10}
+    done = np.zeros(5, int)
+    for c, before in parts:
+        assert before.tolist() == done.tolist() and c.min() >= 0
+        done = done + c
+    parts = [mixing.shard_counts(k, slots, 3, 10, 100)[0] for k in range(56)]  # as with very many shards
+    assert sum(parts).tolist() == slots and all(p.min() >= 0 for p in parts)
+
+
+def test_kinds_of_containers(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i}", i + 1) for i in range(1500)] * 2 + [(None, 3), ("x", None)], "kind string, cap int")
+    assert len(packing.kinds_of(df, "kind", "cap")) == 1500
+    monkeypatch.setattr(packing, "MOST_KINDS", 10)
+    with pytest.raises(ValueError):
+        packing.kinds_of(df, "kind", "cap")
+
+
 def test_quotas():
     assert mixing.quotas({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 2)], None) == {"a": 20.0, "b": 20.0}
     assert mixing.quotas({"a": 100, "b": 10}, [("a", 0.5, 1), ("b", 0.5, 2)], 110) == {"b": 20.0, "a": 90.0}

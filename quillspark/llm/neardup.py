@@ -1,10 +1,13 @@
 """Near-duplicate texts by pivot distance tables over word fingerprints.
 
-A text is the set of its words. Its fingerprint has 64 bits, each the parity of the words that fall on it, so the Hamming
-distance of two fingerprints never exceeds the number of words that only one of the texts has. The distances of a
-fingerprint to PIVOTS fixed reference fingerprints are its row of the pivot table; by the triangle inequality no
-coordinate of two rows differs by more than that number either. A similarity of t allows (a + b) (1 - t) / (1 + t) such
-words in texts of a and b words: a pair whose rows differ by more in any coordinate is discarded unseen.
+A text is the set of its words. Its fingerprint has 65,536 bits, each the parity of the words that fall on it, so every word
+that only one of two texts has changes one bit at most. The bits form blocks (COARSE of them, or FINE for texts of more than
+SHORT words), and a text's row of the pivot table has for every block the Hamming distance to a fixed reference fingerprint,
+less that of no words. The references are all those that come of one by complementing any of its blocks: 2 ** blocks of them. The distance
+to each is a sum of the row's entries with signs, so the largest difference that two rows have in any of these coordinates is the
+sum of the differences of their entries. It never exceeds the number of words that only one text has. A similarity of t allows
+(a + b) (1 - t) / (1 + t) such words in texts of a and b words: a pair whose largest coordinate difference is more is discarded unseen.
+The table is made once and stored with the texts' words; distances are kept within a byte, which makes no difference larger.
 
 Rows meet in the table without comparing all with all: two texts as similar as that share several of their rarest
 words, so each text is filed under its rarest words (enough of them that no pair is lost), and files that grow large are
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from quillspark.runtime import Scratch
 
-PIVOTS = 64
+#: Blocks of the fingerprint, and of that of texts with more than SHORT words.
+COARSE, FINE, SHORT = 16, 64, 64
 #: Word counts are kept by this many hash buckets, whatever the vocabulary; they only decide which words are rare.
 BUCKETS = 1 << 18
 #: Texts of more words are filed under single rare words instead of chains of two and three.
@@ -43,29 +47,27 @@ BROADCAST_IDS = 500_000
 COPIES = 512
 
 _WORD = re.compile("[a-z0-9]+")
-_PIVOT_BITS = np.random.default_rng(20).integers(0, 1 << 64, PIVOTS, dtype=np.uint64)
+_SIGNS = np.random.default_rng(20).integers(0, 2, 1 << 16).astype(np.int64) * 2 - 1  # what setting a bit does to the distance
 
 
-def pivot_rows(prints: np.ndarray) -> list[np.ndarray]:
-    """The pivot table: Hamming distances of fingerprints to the reference fingerprints, eight bytes to a number."""
-    out = []
-    for a in range(0, PIVOTS, 8):
-        packed = np.zeros(len(prints), np.uint64)
-        for k in range(8):
-            packed |= np.bitwise_count(prints ^ _PIVOT_BITS[a + k]).astype(np.uint64) << np.uint64(8 * k)
-        out.append(packed)
-    return out
-
+def pivot_rows(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The pivot table: FINE distances of each text to the reference, from its words' codes and whose they are."""
+    at = np.sort((row.astype(np.int64) << 16) | (flat & np.uint64(0xFFFF)).astype(np.int64))
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
+    odd = at[first[np.diff(np.r_[first, len(at)]) % 2 == 1]]  # bits that an odd number of words falls on
+    block = (odd >> 16) * FINE + ((odd & 0xFFFF) * FINE >> 16)
+    sums = np.bincount(block, _SIGNS[odd & 0xFFFF], rows * FINE).reshape(rows, FINE)
+    return np.clip(np.rint(sums), -127, 127).astype(np.int8)
 
-_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
+def coarse_rows(fine: np.ndarray) -> np.ndarray:
+    """The pivot table in COARSE blocks."""
+    return np.clip(fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int64), -127, 127).astype(np.int8)
 
-def _near(x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether no byte of x and y (64 at most) differs by more than ``most`` (63 at most).
 
-    128 + x - y + most keeps its top bit in each byte where x - y >= -most, and never leaves the byte.
-    """
-    return ((((x | _TOPS) - y) + most) & (((y | _TOPS) - x) + most) & _TOPS) == _TOPS
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The largest difference of two rows in any coordinate: the sum of the differences of their blocks."""
+    return np.abs(x.astype(np.int16) - y).sum(1, dtype=np.int64)
 
 
 class _Codes(dict):
@@ -100,11 +102,11 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-_FILES = pa.schema([("file", pa.int64()), ("rid", pa.int64()), ("print", pa.int64()), ("meta", pa.int64()), ("tail", pa.binary())])
-_FILES_DDL = "file bigint, rid bigint, print bigint, meta bigint, tail binary"
+_FILES = pa.schema([("file", pa.int64()), ("rid", pa.int64()), ("p0", pa.int64()), ("p1", pa.int64()), ("meta", pa.int64()), ("tail", pa.binary()), ("fine", pa.binary())])
+_FILES_DDL = "file bigint, rid bigint, p0 bigint, p1 bigint, meta bigint, tail binary, fine binary"
 
 
-def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float, codes: _Codes, salt: np.ndarray) -> list[pa.RecordBatch]:
+def _file_rows(rids: np.ndarray, words: list[str], p0: np.ndarray, p1: np.ndarray, fine: pa.Array, counts: np.ndarray, t: float, codes: _Codes, salt: np.ndarray) -> list[pa.RecordBatch]:
     """Every text's rows in the files of its rarest words.
 
     A chain row has meta = words of the text | (words of the tail that may come second) << 32, and as tail the rare
@@ -119,8 +121,6 @@ def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float,
     order = np.lexsort((flat, count, row))
     flat, count = flat[order], count[order]
     start = np.cumsum(n) - n
-    prints = np.zeros(len(n), np.uint64)
-    np.bitwise_xor.at(prints, row, np.uint64(1) << (flat & np.uint64(63)))
     need = np.ceil(t * n - 1e-9).astype(np.int64)
     e = n - need
     chained = (need >= 3) & (n <= LONG)
@@ -135,7 +135,7 @@ def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float,
         np.cumsum(tail_len * 4, out=offsets[1:])
         data = word32[_ragged(tail_start, tail_len)].tobytes()
         tail = pa.Array.from_buffers(pa.binary(), len(r), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
-        cols = [pa.array(file.view(np.int64)), pa.array(rids[r]), pa.array(prints[r].view(np.int64)), pa.array(meta), tail]
+        cols = [pa.array(file.view(np.int64)), pa.array(rids[r]), pa.array(p0[r]), pa.array(p1[r]), pa.array(meta), tail, fine.take(pa.array(r))]
         out.append(pa.RecordBatch.from_arrays(cols, schema=_FILES))
 
     rows = np.flatnonzero(chained)
@@ -176,26 +176,24 @@ def _file_rows(rids: np.ndarray, words: list[str], counts: np.ndarray, t: float,
     return out
 
 
-def _close(i: np.ndarray, j: np.ndarray, table: list[np.ndarray], prints: np.ndarray, n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that the pivot table can't discard, and of those the ones whose fingerprints are near enough."""
-    # No distance exceeds 64: a pair that may differ by as much can't be discarded (free).
-    most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.uint64)
-    free = most > 63 if int(most.max(initial=0)) > 63 else None
-    bytes_ = (np.minimum(most, np.uint64(63)) if free is not None else most) * _ONES
-    for column in table:
-        if not len(i):
-            break
-        near = _near(column[i], column[j], bytes_)
-        keep = np.flatnonzero(near if free is None else near | free)
-        i, j, bytes_, most = i[keep], j[keep], bytes_[keep], most[keep]
-        free = free if free is None else free[keep]
+def _close(i: np.ndarray, j: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the pivot table can't discard: (coarse rows, fine rows, place of each text in them or -1)."""
+    coarse, fine, at = table
     keep = np.flatnonzero(np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
+    i, j = i[keep], j[keep]
+    most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
+    keep = np.flatnonzero(_apart(coarse[i], coarse[j]) <= most)
     i, j, most = i[keep], j[keep], most[keep]
-    keep = np.bitwise_count(prints[i] ^ prints[j]) <= most
-    return i[keep], j[keep]
+    if len(fine) and len(i):
+        both = np.flatnonzero((at[i] >= 0) & (at[j] >= 0))
+        drop = both[_apart(fine[at[i[both]]], fine[at[j[both]]]) > most[both]]
+        keep = np.ones(len(i), bool)
+        keep[drop] = False
+        i, j = i[keep], j[keep]
+    return i, j
 
 
-def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.ndarray, tail: np.ndarray, cuttable: np.ndarray, table, prints, n, t) -> Iterator[tuple]:
+def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.ndarray, tail: np.ndarray, cuttable: np.ndarray, table, n, t) -> Iterator[tuple]:
     """Close pairs among the entries with the same file; entries point to rows (member) and to the rest of their tail."""
     order = np.argsort(file)
     ordered = file[order]
@@ -212,13 +210,13 @@ def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.nda
             break
         for block in np.array_split(some, 1 + int((size[some] - d).sum()) // (1 << 18)):
             here = _ragged(first[block], size[block] - d)
-            i, j = _close(member[order[here]], member[order[here + d]], table, prints, n, t)
+            i, j = _close(member[order[here]], member[order[here + d]], table, n, t)
             if len(i):
                 yield i, j
     # Large files that no further word cuts: sorted by the first coordinate, beyond a row that lies too far all do.
     for g in np.flatnonzero(wide & ~cut):
         rows = member[order[first[g] : first[g] + size[g]]]
-        coordinate = (table[0][rows] & np.uint64(255)).astype(np.int64)
+        coordinate = table[0][rows, 0].astype(np.int64)
         by = np.argsort(coordinate, kind="stable")
         rows, coordinate = rows[by], coordinate[by]
         reach = np.floor(2 * n[rows] / t * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
@@ -227,7 +225,7 @@ def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.nda
         for s in range(0, len(rows), step := max(1, (1 << 20) // max(1, int(count.max())))):
             c = count[s : s + step]
             i = np.repeat(np.arange(s, s + len(c)), c)
-            i, j = _close(rows[i], rows[_ragged(np.arange(s, s + len(c)) + 1, c)], table, prints, n, t)
+            i, j = _close(rows[i], rows[_ragged(np.arange(s, s + len(c)) + 1, c)], table, n, t)
             if len(i):
                 yield i, j
     # Other large files: one entry for each word that may be the third.
@@ -237,13 +235,12 @@ def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.nda
         k = left[src]
         src, nxt = np.repeat(src, k), _ragged(at[src], k)
         none = np.zeros(len(src), np.int64)
-        yield from _pairs_in(_mix(file[src], tail[nxt]), member[src], none, none, tail, np.zeros(len(src), bool), table, prints, n, t)
+        yield from _pairs_in(_mix(file[src], tail[nxt]), member[src], none, none, tail, np.zeros(len(src), bool), table, n, t)
 
 
 def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     """Close pairs of row ids, smaller first, of all files of the block."""
     rid = block["rid"].to_numpy()
-    prints = block["print"].to_numpy().view(np.uint64)
     meta = block["meta"].to_numpy()
     n, seconds = meta & 0xFFFFFFFF, meta >> 32
     tails = block["tail"].combine_chunks()
@@ -252,7 +249,12 @@ def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     offsets = np.frombuffer(tails.buffers()[1], np.int32)[tails.offset : tails.offset + len(tails) + 1].astype(np.int64) // 4
     tail = np.frombuffer(tails.buffers()[2] or b"", np.uint32)
     length = np.diff(offsets)
-    table = pivot_rows(prints)
+    coarse = np.stack([block["p0"].to_numpy(), block["p1"].to_numpy()], 1).view(np.int8)
+    long = n > SHORT
+    fines = block["fine"].combine_chunks()
+    fines = pa.concat_arrays(fines.chunks) if isinstance(fines, pa.ChunkedArray) else fines
+    fine = np.frombuffer(b"".join(fines.filter(pa.array(long)).to_pylist()), np.int8).reshape(-1, FINE)
+    table = (coarse, fine, np.where(long, np.cumsum(long) - 1, -1))
     file = block["file"].to_numpy().view(np.uint64)
     k = np.maximum(seconds, 0)
     chain = np.repeat(np.arange(len(rid)), k)
@@ -263,7 +265,7 @@ def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     at = np.concatenate([nxt + 1, offsets[flat]])
     left = np.concatenate([offsets[1:][chain] - nxt - 1, length[flat]])
     cuttable = np.concatenate([np.ones(len(chain), bool), seconds[flat] < 0])
-    found = [np.stack([rid[i], rid[j]], 1) for i, j in _pairs_in(entry_file, member, at, left, tail, cuttable, table, prints, n, t)]
+    found = [np.stack([rid[i], rid[j]], 1) for i, j in _pairs_in(entry_file, member, at, left, tail, cuttable, table, n, t)]
     if not found:
         return np.zeros((0, 2), np.int64)
     pairs = np.sort(np.concatenate(found), axis=1)
@@ -327,7 +329,20 @@ def similar_classes(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFram
     t = float(threshold)
     read = texts.select(F.col("kind").cast("int"), F.col("id").cast("string"), F.col("text").cast("string")).where("kind is not null and id is not null and text is not null")
     members = scratch.write(read.mapInArrow(_read_words, "kind int, id string, rid bigint, words string"), "members")
-    sets = scratch.write(members.groupBy("rid").agg(F.first("kind").alias("kind"), F.first("words").alias("words")), "sets")
+
+    def pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = _Codes()
+        for b in batches:
+            for s in range(0, b.num_rows, 4000):
+                part = b.slice(s, 4000)
+                flat, n = _flat(part.column(2).to_pylist(), codes)
+                fine = pivot_rows(flat, np.repeat(np.arange(len(n)), n), len(n))
+                pair = coarse_rows(fine).view(np.int64)
+                rows = pa.array([f.tobytes() if k > SHORT else b"" for f, k in zip(fine, n, strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), rows], ["rid", "kind", "words", "p0", "p1", "fine"])
+
+    once = members.groupBy("rid").agg(F.first("kind").alias("kind"), F.first("words").alias("words"))
+    sets = scratch.write(once.mapInArrow(pivot, "rid bigint, kind int, words string, p0 bigint, p1 bigint, fine binary"), "sets")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, total = _Codes(), np.zeros(BUCKETS, np.int64)
@@ -347,9 +362,10 @@ def similar_classes(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFram
         for b in batches:
             for s in range(0, b.num_rows, 4000):
                 part = b.slice(s, 4000)
-                yield from _file_rows(part.column(0).to_numpy(), part.column(2).to_pylist(), shared.value, t, codes, part.column(1).to_numpy().astype(np.uint64))
+                fine = part.column(5)
+                yield from _file_rows(part.column(0).to_numpy(), part.column(2).to_pylist(), part.column(3).to_numpy(), part.column(4).to_numpy(), fine, shared.value, t, codes, part.column(1).to_numpy().astype(np.uint64))
 
-    filed = sets.select("rid", "kind", "words").mapInArrow(file, _FILES_DDL)
+    filed = sets.select("rid", "kind", "words", "p0", "p1", "fine").mapInArrow(file, _FILES_DDL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     survivors = filed.repartition(parts, "file").sortWithinPartitions("file").mapInArrow(_pair_files(t), "a bigint, b bigint").distinct()
     survivors = scratch.write(survivors, "survivors")
@@ -372,7 +388,8 @@ def similar_classes(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFram
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b, similarity): the links between ids, smaller id first, copies included.
 
-    Large classes are paired in blocks of COPIES members, so that no task holds more than two blocks of a class.
+    Large classes are paired in blocks of COPIES members, within a class and between linked ones, so that no key of a join has
+    more than two blocks.
     """
     sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
     m = members.join(sizes, "class_id").withColumn("parts", F.ceil(F.col("n") / COPIES)).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
@@ -380,12 +397,16 @@ def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     keyed = blocks.select("class_id", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "part")
     left, right = keyed.where("part = p"), keyed.where("part = q").withColumnRenamed("id", "id2").drop("part")
     same = left.drop("part").join(right, ["class_id", "p", "q"]).where("p < q or id < id2").select("id", "id2", F.lit(1.0).alias("similarity"))
-    ids = members.select("class_id", "id")
-    across = (
-        links.join(ids.withColumnRenamed("class_id", "class_a"), "class_a")
-        .join(ids.select(F.col("class_id").alias("class_b"), F.col("id").alias("id2")), "class_b")
-        .select("id", "id2", "similarity")
-    )
+    parts_of = sizes.select("class_id", F.ceil(F.col("n") / COPIES).alias("parts"))
+    cut = (
+        links.join(parts_of.withColumnsRenamed({"class_id": "class_a", "parts": "pa"}), "class_a").join(parts_of.withColumnsRenamed({"class_id": "class_b", "parts": "pb"}), "class_b")
+        .select("class_a", "class_b", "similarity", "pb", F.explode(F.expr("sequence(0L, pa - 1)")).alias("qa")).select("class_a", "class_b", "similarity", "qa", F.explode(F.expr("sequence(0L, pb - 1)")).alias("qb"))
+    )
+    key = ["class_a", "class_b", "qa", "qb"]
+    ids = m.select("class_id", "part", "id")
+    left = cut.join(ids.withColumnsRenamed({"class_id": "class_a", "part": "qa"}), ["class_a", "qa"])
+    right = cut.drop("similarity").join(ids.withColumnsRenamed({"class_id": "class_b", "part": "qb", "id": "id2"}), ["class_b", "qb"])
+    across = left.join(right, key).select("id", "id2", "similarity")
     both = same.unionByName(across).where("id <> id2")
     return both.groupBy(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 

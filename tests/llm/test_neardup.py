@@ -50,15 +50,45 @@ def test_every_path(spark, monkeypatch):
     assert out["copy0"].copies == 9 and "blank" not in out and "null" not in out
 
 
+def table_of(sets):
+    import numpy as np
+
+    n = np.array([len(x) for x in sets])
+    fine = N.pivot_rows(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
+    long = n > N.SHORT
+    return (N.coarse_rows(fine), fine[long], np.where(long, np.cumsum(long) - 1, -1)), n
+
+
 def test_pivot_rows_never_discard_a_close_pair():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
-    b = a ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 500).astype(np.uint64))
-    d = np.bitwise_count(a ^ b).astype(np.uint64)
-    for x, y in zip(N.pivot_rows(a), N.pivot_rows(b)):
-        assert N._near(x, y, d * N._ONES).all()
+    sets = []
+    for n in [3, 4, 7, 12, 30, 63, 64, 65, 66, 100, 300, 2000, 60_000] * 8:
+        base = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        out = rng.random(n) < rng.random() / 7
+        sets += [base, np.concatenate([base[~out], rng.integers(0, 1 << 63, int(out.sum())).astype(np.uint64)])]
+    table, n = table_of(sets)
+    near = [k for k in range(0, len(sets), 2) if (c := len(np.intersect1d(sets[k], sets[k + 1]))) >= 0.75 * (n[k] + n[k + 1] - c)]
+    i, j = np.array(near), np.array(near) + 1
+    assert len(i) > 50 and len(N._close(i, j, table, n, 0.75)[0]) == len(i)
+
+
+@pytest.mark.parametrize("n", [10, 20, 40, 64, 100, 200, 300, 500])
+def test_pivot_rows_discard_unrelated_pairs(n):
+    import numpy as np
+
+    rng = np.random.default_rng(n)
+    table, sizes = table_of([rng.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(400)])
+    i, j = np.triu_indices(400, 1)
+    assert len(N._close(i, j, table, sizes, 0.75)[0]) <= 0.05 * len(i)
+
+
+def test_large_linked_classes_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "COPIES", 3)
+    words = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(0, f"a{j}", words, "x") for j in range(8)] + [(0, f"b{j}", words + " iota", "x") for j in range(7)]
+    assert run(spark, rows)[0] == brute(rows, 0.75)
 
 
 def test_empty(spark):

@@ -65,9 +65,22 @@ def coarse_rows(fine: np.ndarray) -> np.ndarray:
     return np.clip(fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int64), -127, 127).astype(np.int8)
 
 
+_TOP, _REST, _LOW = np.uint64(0x8080808080808080), np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x00FF00FF00FF00FF)
+_B1, _B7, _B8, _B48, _FULL, _QUADS = np.uint64(1), np.uint64(7), np.uint64(8), np.uint64(48), np.uint64(255), np.uint64(0x0001000100010001)
+
+
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The largest difference of two rows in any coordinate: the sum of the differences of their blocks."""
-    return np.abs(x.astype(np.int16) - y).sum(1, dtype=np.int64)
+    """The sum of the differences of eight bytes (unsigned) in each pair of numbers, all eight at once."""
+    with np.errstate(over="ignore"):
+        d = ((x | _TOP) - (y & _REST)) ^ ((x ^ ~y) & _TOP)  # x - y in every byte
+        less = (((~x & y) | (~(x ^ y) & d)) & _TOP) >> _B7  # 1 in the bytes where x < y
+        d = (d ^ (less * _FULL)) + less
+        return (((d & _LOW) + ((d >> _B8) & _LOW)) * _QUADS >> _B48).astype(np.int64)
+
+
+def _unsigned(rows: np.ndarray) -> np.ndarray:
+    """Rows of signed bytes as rows of numbers that hold eight unsigned bytes in the same order of size."""
+    return np.ascontiguousarray(rows.view(np.uint8) ^ np.uint8(128)).view(np.uint64)
 
 
 class _Codes(dict):
@@ -176,19 +189,32 @@ def _file_rows(rids: np.ndarray, words: list[str], p0: np.ndarray, p1: np.ndarra
     return out
 
 
+def _near(i: np.ndarray, j: np.ndarray, most: np.ndarray, rows: np.ndarray, ri: np.ndarray, rj: np.ndarray) -> np.ndarray:
+    """Which pairs differ by no more than ``most`` in any coordinate; eight blocks are added at a time, and pairs beyond it drop out."""
+    left = np.arange(len(i))
+    sums = np.zeros(len(i), np.int64)
+    for c in range(rows.shape[1]):
+        sums = sums + _apart(rows[ri[left], c], rows[rj[left], c])
+        keep = np.flatnonzero(sums <= most[left])
+        left, sums = left[keep], sums[keep]
+        if not len(left):
+            break
+    return left
+
+
 def _close(i: np.ndarray, j: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs that the pivot table can't discard: (coarse rows, fine rows, place of each text in them or -1)."""
     coarse, fine, at = table
-    keep = np.flatnonzero(np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
-    i, j = i[keep], j[keep]
     most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
-    keep = np.flatnonzero(_apart(coarse[i], coarse[j]) <= most)
+    keep = _near(i, j, most, coarse, i, j)
     i, j, most = i[keep], j[keep], most[keep]
-    if len(fine) and len(i):
-        both = np.flatnonzero((at[i] >= 0) & (at[j] >= 0))
-        drop = both[_apart(fine[at[i[both]]], fine[at[j[both]]]) > most[both]]
-        keep = np.ones(len(i), bool)
-        keep[drop] = False
+    keep = np.flatnonzero(np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
+    i, j, most = i[keep], j[keep], most[keep]
+    both = (at[i] >= 0) & (at[j] >= 0)
+    if both.any():
+        long = np.flatnonzero(both)
+        keep = ~both
+        keep[long[_near(i[long], j[long], most[long], fine, at[i[long]], at[j[long]])]] = True
         i, j = i[keep], j[keep]
     return i, j
 
@@ -208,7 +234,7 @@ def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.nda
         some = some[: np.searchsorted(-size[some], -d, side="left")]  # files of more than d
         if not len(some):
             break
-        for block in np.array_split(some, 1 + int((size[some] - d).sum()) // (1 << 18)):
+        for block in np.array_split(some, 1 + int((size[some] - d).sum()) // (1 << 17)):
             here = _ragged(first[block], size[block] - d)
             i, j = _close(member[order[here]], member[order[here + d]], table, n, t)
             if len(i):
@@ -216,13 +242,13 @@ def _pairs_in(file: np.ndarray, member: np.ndarray, at: np.ndarray, left: np.nda
     # Large files that no further word cuts: sorted by the first coordinate, beyond a row that lies too far all do.
     for g in np.flatnonzero(wide & ~cut):
         rows = member[order[first[g] : first[g] + size[g]]]
-        coordinate = table[0][rows, 0].astype(np.int64)
+        coordinate = (table[0][rows, 0] & _FULL).astype(np.int64)
         by = np.argsort(coordinate, kind="stable")
         rows, coordinate = rows[by], coordinate[by]
         reach = np.floor(2 * n[rows] / t * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
         stop = np.searchsorted(coordinate, coordinate + reach, side="right")
         count = stop - np.arange(len(rows)) - 1
-        for s in range(0, len(rows), step := max(1, (1 << 20) // max(1, int(count.max())))):
+        for s in range(0, len(rows), step := max(1, (1 << 18) // max(1, int(count.max())))):
             c = count[s : s + step]
             i = np.repeat(np.arange(s, s + len(c)), c)
             i, j = _close(rows[i], rows[_ragged(np.arange(s, s + len(c)) + 1, c)], table, n, t)
@@ -249,11 +275,11 @@ def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     offsets = np.frombuffer(tails.buffers()[1], np.int32)[tails.offset : tails.offset + len(tails) + 1].astype(np.int64) // 4
     tail = np.frombuffer(tails.buffers()[2] or b"", np.uint32)
     length = np.diff(offsets)
-    coarse = np.stack([block["p0"].to_numpy(), block["p1"].to_numpy()], 1).view(np.int8)
+    coarse = _unsigned(np.stack([block["p0"].to_numpy(), block["p1"].to_numpy()], 1).view(np.int8))
     long = n > SHORT
     fines = block["fine"].combine_chunks()
     fines = pa.concat_arrays(fines.chunks) if isinstance(fines, pa.ChunkedArray) else fines
-    fine = np.frombuffer(b"".join(fines.filter(pa.array(long)).to_pylist()), np.int8).reshape(-1, FINE)
+    fine = _unsigned(np.frombuffer(b"".join(fines.filter(pa.array(long)).to_pylist()), np.int8).reshape(-1, FINE))
     table = (coarse, fine, np.where(long, np.cumsum(long) - 1, -1))
     file = block["file"].to_numpy().view(np.uint64)
     k = np.maximum(seconds, 0)
@@ -391,22 +417,35 @@ def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
     Large classes are paired in blocks of COPIES members, within a class and between linked ones, so that no key of a join has
     more than two blocks.
     """
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n"))
-    m = members.join(sizes, "class_id").withColumn("parts", F.ceil(F.col("n") / COPIES)).withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
-    blocks = m.where("n > 1").withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
+    scratch = Scratch(members.sparkSession)
+    sizes = scratch.write(members.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / COPIES)), "sizes")
+    m = members.join(sizes, "class_id").withColumn("part", F.expr("pmod(xxhash64(id), parts)"))
+    blocks = m.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")))
     keyed = blocks.select("class_id", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "id", "part")
     left, right = keyed.where("part = p"), keyed.where("part = q").withColumnRenamed("id", "id2").drop("part")
     same = left.drop("part").join(right, ["class_id", "p", "q"]).where("p < q or id < id2").select("id", "id2", F.lit(1.0).alias("similarity"))
-    parts_of = sizes.select("class_id", F.ceil(F.col("n") / COPIES).alias("parts"))
-    cut = (
-        links.join(parts_of.withColumnsRenamed({"class_id": "class_a", "parts": "pa"}), "class_a").join(parts_of.withColumnsRenamed({"class_id": "class_b", "parts": "pb"}), "class_b")
-        .select("class_a", "class_b", "similarity", "pb", F.explode(F.expr("sequence(0L, pa - 1)")).alias("qa")).select("class_a", "class_b", "similarity", "qa", F.explode(F.expr("sequence(0L, pb - 1)")).alias("qb"))
-    )
-    key = ["class_a", "class_b", "qa", "qb"]
-    ids = m.select("class_id", "part", "id")
-    left = cut.join(ids.withColumnsRenamed({"class_id": "class_a", "part": "qa"}), ["class_a", "qa"])
-    right = cut.drop("similarity").join(ids.withColumnsRenamed({"class_id": "class_b", "part": "qb", "id": "id2"}), ["class_b", "qb"])
-    across = left.join(right, key).select("id", "id2", "similarity")
+    ids = members.select("class_id", "id")
+    large = sizes.where("parts > 1").select("class_id")
+    some = not large.isEmpty()
+    small = links
+    if some:
+        small = links.join(large.withColumnRenamed("class_id", "class_a"), "class_a", "left_anti").join(large.withColumnRenamed("class_id", "class_b"), "class_b", "left_anti")
+    across = (
+        small.join(ids.withColumnRenamed("class_id", "class_a"), "class_a")
+        .join(ids.select(F.col("class_id").alias("class_b"), F.col("id").alias("id2")), "class_b")
+        .select("id", "id2", "similarity")
+    )
+    if some:
+        parts_of = sizes.select("class_id", "parts")
+        cut = (
+            links.join(parts_of.withColumnsRenamed({"class_id": "class_a", "parts": "pa"}), "class_a", "left").join(parts_of.withColumnsRenamed({"class_id": "class_b", "parts": "pb"}), "class_b", "left").where("pa > 1 or pb > 1")
+            .select("class_a", "class_b", "similarity", "pb", F.explode(F.expr("sequence(0L, coalesce(pa, 1L) - 1)")).alias("qa")).select("class_a", "class_b", "similarity", "qa", F.explode(F.expr("sequence(0L, coalesce(pb, 1L) - 1)")).alias("qb"))
+        )
+        cut = scratch.write(cut, "cut")
+        placed = members.join(sizes, "class_id", "left").select("class_id", F.expr("pmod(xxhash64(id), coalesce(parts, 1L))").alias("part"), "id")
+        placed_a, placed_b = placed.withColumnsRenamed({"class_id": "class_a", "part": "qa"}), placed.withColumnsRenamed({"class_id": "class_b", "part": "qb", "id": "id2"})
+        key = ["class_a", "class_b", "qa", "qb"]
+        across = across.unionByName(cut.join(placed_a, ["class_a", "qa"]).join(cut.drop("similarity").join(placed_b, ["class_b", "qb"]), key).select("id", "id2", "similarity"))
     both = same.unionByName(across).where("id <> id2")
     return both.groupBy(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 

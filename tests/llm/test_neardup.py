@@ -56,7 +56,16 @@ def table_of(sets):
     n = np.array([len(x) for x in sets])
     fine = N.pivot_rows(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
     long = n > N.SHORT
-    return (N.coarse_rows(fine), fine[long], np.where(long, np.cumsum(long) - 1, -1)), n
+    return (N._unsigned(N.coarse_rows(fine)), N._unsigned(fine[long]), np.where(long, np.cumsum(long) - 1, -1)), n
+
+
+def test_eight_differences_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(-127, 128, (2, 1000, 8)).astype(np.int8)
+    want = np.abs(x.astype(int) - y).sum(1)
+    assert (N._apart(N._unsigned(x)[:, 0], N._unsigned(y)[:, 0]) == want).all()
 
 
 def test_pivot_rows_never_discard_a_close_pair():

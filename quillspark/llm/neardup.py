@@ -7,7 +7,8 @@ less that of no words. The references are all those that come of one by compleme
 to each is a sum of the row's entries with signs, so the largest difference that two rows have in any of these coordinates is the
 sum of the differences of their entries. It never exceeds the number of words that only one text has. A similarity of t allows
 (a + b) (1 - t) / (1 + t) such words in texts of a and b words: a pair whose largest coordinate difference is more is discarded unseen.
-The table is made once and stored with the texts' words; distances are kept within a byte, which makes no difference larger.
+The table is made once and stored with the texts' words; distances are kept within a byte, which makes no difference larger. Of what is left,
+pairs whose fingerprints, folded to 64 bits, differ in more bits than that are discarded too.
 
 Rows meet in the table without comparing all with all: two texts as similar as that share several of their rarest
 words, so each text is filed under its rarest words (enough of them that no pair is lost), and files that grow large are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.runtime import Scratch
 
 #: Blocks of the fingerprint, and of that of texts with more than SHORT words.
-COARSE, FINE, SHORT = 16, 64, 64
+COARSE, FINE, SHORT = 8, 64, 64
 #: Word counts are kept by this many hash buckets, whatever the vocabulary; they only decide which words are rare.
 BUCKETS = 1 << 18
 #: Texts of more words are filed under single rare words instead of chains of two and three.
@@ -60,6 +61,13 @@ def pivot_rows(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.clip(np.rint(sums), -127, 127).astype(np.int8)
 
 
+def prints_of(flat: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """The fingerprints folded to 64 bits."""
+    out = np.zeros(rows, np.uint64)
+    np.bitwise_xor.at(out, row, np.uint64(1) << (flat & np.uint64(63)))
+    return out
+
+
 def coarse_rows(fine: np.ndarray) -> np.ndarray:
     """The pivot table in COARSE blocks."""
     return np.clip(fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int64), -127, 127).astype(np.int8)
@@ -202,14 +210,16 @@ def _near(i: np.ndarray, j: np.ndarray, most: np.ndarray, rows: np.ndarray, ri:
     return left
 
 
-def _close(i: np.ndarray, j: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs that the pivot table can't discard: (coarse rows, fine rows, place of each text in them or -1)."""
-    coarse, fine, at = table
+def _close(i: np.ndarray, j: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], n: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that the pivot table and the folded fingerprints can't discard; table: coarse rows, fine rows, place of each text in these or -1, fingerprints."""
+    coarse, fine, at, prints = table
     most = np.floor((n[i] + n[j]) * ((1 - t) / (1 + t)) + 1e-9).astype(np.int64)
     keep = _near(i, j, most, coarse, i, j)
     i, j, most = i[keep], j[keep], most[keep]
     keep = np.flatnonzero(np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9)
     i, j, most = i[keep], j[keep], most[keep]
+    keep = np.flatnonzero(np.bitwise_count(prints[i] ^ prints[j]) <= most)
+    i, j, most = i[keep], j[keep], most[keep]
     both = (at[i] >= 0) & (at[j] >= 0)
     if both.any():
         long = np.flatnonzero(both)
@@ -275,12 +285,12 @@ def _pair_block(block: pa.Table, t: float) -> np.ndarray:
     offsets = np.frombuffer(tails.buffers()[1], np.int32)[tails.offset : tails.offset + len(tails) + 1].astype(np.int64) // 4
     tail = np.frombuffer(tails.buffers()[2] or b"", np.uint32)
     length = np.diff(offsets)
-    coarse = _unsigned(np.stack([block["p0"].to_numpy(), block["p1"].to_numpy()], 1).view(np.int8))
+    coarse = _unsigned(np.ascontiguousarray(block["p0"].to_numpy()).reshape(-1, 1).view(np.int8))
     long = n > SHORT
     fines = block["fine"].combine_chunks()
     fines = pa.concat_arrays(fines.chunks) if isinstance(fines, pa.ChunkedArray) else fines
     fine = _unsigned(np.frombuffer(b"".join(fines.filter(pa.array(long)).to_pylist()), np.int8).reshape(-1, FINE))
-    table = (coarse, fine, np.where(long, np.cumsum(long) - 1, -1))
+    table = (coarse, fine, np.where(long, np.cumsum(long) - 1, -1), block["p1"].to_numpy().view(np.uint64))
     file = block["file"].to_numpy().view(np.uint64)
     k = np.maximum(seconds, 0)
     chain = np.repeat(np.arange(len(rid)), k)
@@ -362,10 +372,10 @@ def similar_classes(texts: DataFrame, threshold: float = 0.75) -> tuple[DataFram
             for s in range(0, b.num_rows, 4000):
                 part = b.slice(s, 4000)
                 flat, n = _flat(part.column(2).to_pylist(), codes)
-                fine = pivot_rows(flat, np.repeat(np.arange(len(n)), n), len(n))
-                pair = coarse_rows(fine).view(np.int64)
+                row = np.repeat(np.arange(len(n)), n)
+                fine = pivot_rows(flat, row, len(n))
                 rows = pa.array([f.tobytes() if k > SHORT else b"" for f, k in zip(fine, n, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), rows], ["rid", "kind", "words", "p0", "p1", "fine"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(coarse_rows(fine).view(np.int64)[:, 0]), pa.array(prints_of(flat, row, len(n)).view(np.int64)), rows], ["rid", "kind", "words", "p0", "p1", "fine"])
 
     once = members.groupBy("rid").agg(F.first("kind").alias("kind"), F.first("words").alias("words"))
     sets = scratch.write(once.mapInArrow(pivot, "rid bigint, kind int, words string, p0 bigint, p1 bigint, fine binary"), "sets")

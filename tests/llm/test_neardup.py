@@ -54,9 +54,10 @@ def table_of(sets):
     import numpy as np
 
     n = np.array([len(x) for x in sets])
-    fine = N.pivot_rows(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
+    flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    fine = N.pivot_rows(flat, row, len(sets))
     long = n > N.SHORT
-    return (N._unsigned(N.coarse_rows(fine)), N._unsigned(fine[long]), np.where(long, np.cumsum(long) - 1, -1)), n
+    return (N._unsigned(N.coarse_rows(fine)), N._unsigned(fine[long]), np.where(long, np.cumsum(long) - 1, -1), N.prints_of(flat, row, len(sets))), n
 
 
 def test_eight_differences_at_once():

@@ -461,7 +461,8 @@ def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def classes_with_links(members: DataFrame, links: DataFrame) -> DataFrame:
-    """One row per id: its class, how many ids share it, and to how many other classes it is linked."""
-    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"))
+    """One row per id and class: the class by its smallest id, how many ids share it, and to how many other classes it is linked."""
+    copies = members.groupBy("class_id").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
     degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("linked_classes"))
-    return members.join(copies, "class_id").join(degree, "class_id", "left").select("kind", "id", "class_id", "copies", F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))
+    classes = copies.join(degree, "class_id", "left")
+    return members.join(classes, "class_id").select("kind", "id", "class_id", "first_id", "copies", F.coalesce("linked_classes", F.lit(0)).alias("linked_classes"))

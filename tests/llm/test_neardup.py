@@ -47,7 +47,7 @@ def test_every_path(spark, monkeypatch):
     pairs, members, links = run(spark, rows)
     assert pairs == brute(rows, 0.75)
     out = {r.id: r for r in N.classes_with_links(members, links).collect()}
-    assert out["copy0"].copies == 9 and "blank" not in out and "null" not in out
+    assert out["copy0"].copies == 9 and out["copy3"].first_id == "copy0" and "blank" not in out and "null" not in out
 
 
 def table_of(sets):

@@ -95,5 +95,7 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not getattr(sc, "_quillspark_shipped", False):
         root = Path(__file__).resolve().parent
-        sc.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='quillspark-')}/quillspark", "zip", root.parent, root.name))
+        folder = tempfile.mkdtemp(prefix="quillspark-")  # on the driver, which serves the file to the executors
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/quillspark", "zip", root.parent, root.name))
         sc._quillspark_shipped = True

@@ -12,7 +12,7 @@ from quillspark.operators import evidence as E
 from quillspark.operators import render as R
 from quillspark.operators import selection as S
 from quillspark.operators.scorers import ClaimWriter, WordChecker
-from quillspark.plans import models, search
+from quillspark.plans import models, resume, search
 from quillspark.sources import sinks
 
 CARD = "evidence_id string, claim string, category string, skills array<string>, metrics array<struct<name:string,value:string,context:string>>, entity_id string, entity_type string, source_file string, priority int"
@@ -209,3 +209,30 @@ def test_documents_are_written(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_document(df.union(df), str(tmp_path / "e.json"))
     assert sinks.compile_pdf(str(tmp_path / "x.tex"), "no-such-compiler") is None
+
+
+def test_evidence_map(spark):
+    cards = spark.createDataFrame([card("e1", "c1", "a", "project"), card("e2", "c2", "a", "project")], CARD)
+    req = spark.createDataFrame([(f"r{k}", "t", "required") for k in range(4)] + [(None, "t", "x")], "requirement_id string, text string, importance string")
+    cand = spark.createDataFrame([("r0", "e1", 1), ("r0", "e2", 2), ("r1", "e1", 1), ("r2", "gone", 1)], "requirement_id string, evidence_id string, place int")
+    out = {r.requirement_id: (r.match_strength, r.evidence_ids) for r in resume.evidence_map(req, cand, cards, replies('{"match_strength":"Strong","evidence_ids":["e2","zz","e1"],"reason":"ok"}')).collect()}
+    assert out == {"r0": ("strong", ["e2", "e1"]), "r1": ("strong", ["e1"]), "r2": ("none", []), "r3": ("none", [])}
+    assert {r.match_strength for r in resume.evidence_map(req, cand, cards, replies("no idea")).collect()} == {"none"}
+
+
+def test_profile_and_document(spark):
+    ddl = f"pos int, source_file string, entity_id string, entity_type string, metadata {schemas.METADATA}"
+    meta = lambda **k: {f.name: k.get(f.name) for f in spark.createDataFrame([], ddl).schema["metadata"].dataType.fields}
+    docs = spark.createDataFrame([(1, "e.md", "exp_a", "experience", meta(company="A", title="Dev", start_date="2020-01")), (2, "e.md", "exp_b", "experience", meta(company=" a ", title="DEV", start_date="2020-01", location="X")), (3, "p.md", "proj_t", "project", meta(name="T", technologies=["Go"]))], ddl)
+    drafts = models.profile_drafts(spark.createDataFrame([("cv.pdf", "t")], "source_file string, prompt string"), replies('{"experience":[{"company":"A","title":"dev","start_date":"2020-01"},{"company":"New","title":"Boss"}],"projects":[{"name":"t","technologies":["Zig","Go"]}]}'))
+    exp = resume.profile_entries(docs, "experience", drafts).orderBy("pos").collect()
+    assert [(r.entry_id[:5], r.company, r.location, r.source_files) for r in exp] == [("exp_b", " a ", "X", ["e.md", "cv.pdf"]), (exp[1].entry_id[:5], "New", None, ["cv.pdf"])]
+    proj = resume.profile_entries(docs, "project", drafts)
+    assert [(r.entry_id, r.technologies) for r in proj.collect()] == [("proj_t", ["Go", "Zig"])]
+    assert resume.profile_entries(docs, "certification").count() == 0
+    c = claims(3, 8)
+    cards = spark.createDataFrame([card("e1", c[0], "exp_b", "experience"), card("e2", c[1], "proj_t", "project"), card("e3", c[2], "other", "project")], CARD)
+    both = resume.profile_entries(docs, "experience").select(F.lit("o").alias("owner"), "*").unionByName(proj.select(F.lit("o").alias("owner"), "*"), allowMissingColumns=True)
+    none = spark.createDataFrame([], "bullet_id string, section string, entry_id string, text string, evidence_ids array<string>")
+    out = resume.composed(both, none, cards, spark.createDataFrame([("r", "strong", ["e1"])], "requirement_id string, match_strength string, evidence_ids array<string>"), spark.createDataFrame([("o", "needs Zig")], "owner string, text string"), spark.createDataFrame([("o", 0, "Ada")], "owner string, pos int, skill string"), spark.createDataFrame([("o", 0, c[0]), ("p", 0, "x")], "owner string, pos int, text string"), ClaimWriter(), WordChecker()).first()
+    assert [b.text for e in out.experience for b in e.bullets] == [c[0]] and [e.name for e in out.projects] == ["T"] and out.skills == ["Zig", "Ada", "Go"] and out.summary is None

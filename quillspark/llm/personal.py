@@ -103,6 +103,7 @@ _ANY_EAST = re.compile("[\u0590-\u08ff\u0900-\u0dff\u0e00-\u0eff\u3040-\u30ff\u3
 _EAST_LABEL = regex.compile("(?:氏名|名前|担当者?|連絡先|姓名|联系人|負責人|负责人|이름|성명|담당자|الاسم|שם|नाम|ชื่อ)[ \u3000]?[:：]?[ \u3000]?$")
 _EAST_ADDRESSED = regex.compile("さん|様|氏|先生|殿| ?씨|님")
 _WORD = regex.compile(r"\S+")
+_TWO_WORDS = regex.compile(rf"(?<=, (?:\d+ )?{_CAP}) {_CAP}$")
 _COMMA = regex.compile(rf", ({_CAP})(?: \p{{Lu}}\.)?")
 
 # Words and phrases that stand before an item, by kind of clue; each kind is a feature.
@@ -207,7 +208,10 @@ def candidates(text: str) -> list[Candidate]:
     if _DIGIT.search(text):
         for f, p in enumerate(_FIND["address"]):
             if _STREETS[f].search(text):
-                out.update((3, m.start(), m.end(), f) for m in p.finditer(text))
+                for m in p.finditer(text):
+                    out.add((3, m.start(), m.end(), f))
+                    if two := _TWO_WORDS.search(m.group()):  # the second may belong to the next sentence
+                        out.add((3, m.start(), m.start() + two.start(), f))
         for near in _DIGITS.finditer(text):
             a, b = max(0, near.start() - 8), min(len(text), near.end() + 16)
             n = sum(map(str.isdigit, text[a:b]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators.scorers import embed
 from quillspark.sources.sinks import write_atomic
 
 
@@ -16,7 +17,7 @@ def corpus_hash(docs: DataFrame) -> tuple[int, str]:
     return r.n, r.h
 
 
-def build(docs: DataFrame, path: str, model: str, encode=embed) -> None:
+def build(docs: DataFrame, path: str, model: str, encode: Callable[[Column], Column]) -> None:
     """Writes (doc_id, vector) and one row of what it was made from; vectors are of length one, so products are cosines."""
     n, h = corpus_hash(docs)
     write_atomic(docs.select("doc_id", encode(F.col("text")).alias("vector")), f"{path}/vectors", "parquet")

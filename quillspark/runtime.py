@@ -60,9 +60,6 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        self._delete(f"{self.root}/{name}")
-
     def clear(self) -> None:
         try:
             self._delete(self.root)

@@ -280,7 +280,7 @@ def test_index_is_used_only_for_its_rows(spark, tmp_path):
     docs = spark.createDataFrame([("a", "one two"), ("b", None)], "doc_id string, text string")
     p = str(tmp_path / "i")
     assert index.load(spark, docs, p, "m") is None
-    index.build(docs, p, "m")
+    index.build(docs, p, "m", embed)
     assert index.load(spark, docs, p, "m").count() == 2 and index.load(spark, docs, p, "n") is None
     assert index.load(spark, docs.where("doc_id = 'a'"), p, "m") is None
 

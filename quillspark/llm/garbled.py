@@ -7,19 +7,27 @@ import functools
 import math
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Documents of each language, and characters of each, from which its dictionary is trained; and its size in bytes.
-TRAIN_DOCS = 2000
-TRAIN_CHARS = 2000
+from quillspark.runtime import Scratch
+
+#: Bytes of a language's dictionary, and of the stretches of text that it is put together from; and how thoroughly zstandard looks for what repeats it.
 DICTIONARY_BYTES = 64_000
-#: Languages that get a dictionary: those of the most documents.
-MOST_LANGUAGES = 40
+STRETCH = 1000
+LEVEL = 7
+#: Stretches are chosen by the pieces of so many bytes in them; these are counted in 2^COUNTER_BITS counters by their hash.
+PIECE, COUNTER_BITS = 8, 22
+#: Bytes of different segments that stretches are chosen from at once; so many such choices, of KEPT bytes each, are put together and chosen from again.
+CHOICE_BYTES, FAN, KEPT = 2_000_000, 8, 256_000
+#: Languages of fewer texts are no measure of rare letters.
+FEW_TEXTS = 50
 #: Fixed values: (encoding of the bytes, encoding they were read in), and bytes that naming the chain costs.
 CHAINS = (
     ("utf-8", "cp1252", 2), ("utf-8", "cp1250", 3), ("utf-8", "cp1251", 3), ("utf-8", "cp437", 3), ("utf-8", "cp850", 3), ("utf-8", "mac_roman", 3),
@@ -31,9 +39,10 @@ CHAINS = (
 )
 #: Bytes that a segment must save to count.
 LEAST_SAVED = 2
-#: A letter costs STRANGE bytes for each halving of its frequency, in its surroundings, below RARE of the documents, down to NEVER; so many surroundings are kept.
-STRANGE, RARE, NEVER = 1.0, 0.01, 0.0001
-MARKS = 200_000
+#: A letter costs STRANGE bytes for each halving of its frequency, in its surroundings, below RARE of the documents, down to NEVER; a frequency of NEVER * AS_NEVER counts as none (0.0014 bytes).
+STRANGE, RARE, NEVER, AS_NEVER = 1.0, 0.01, 0.0001, 0.001
+#: Characters of different segments, and different marks, that a task counts before it passes them on.
+HELD_CHARS, HELD_MARKS = 8_000_000, 200_000
 _LOST = re.compile("�")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _RUN = re.compile("[^\x00-\x7f]+")
@@ -187,8 +196,8 @@ class Model:
         self.never = STRANGE * math.log2(RARE / NEVER) if usual else 0.0
         self.tools = []
         for lang, data in sorted(dictionaries.items()):
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_AUTO if data[:4] == b"\x37\xa4\x30\xec" else zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=5)
+            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
             tool = zstandard.ZstdCompressor(dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
             self.tools.append((lang, tool))
         self.sizes: dict[str, int] = {}
@@ -313,11 +322,22 @@ class Model:
         return (out, used, not lost) if used or lost else None
 
 
+@functools.lru_cache(100_000)
+def _undoes(run: str) -> bool:
+    return any((x := _redecode(run, "utf-8", w)) is not None and x != run for w in ("cp1252", "cp1251", "cp1250", "cp437", "cp850"))
+
+
 def _clean(text: str) -> bool:
     """Whether nothing speaks against a text as an example of clean text."""
-    if _LOST.search(text) or _CONTROL.search(text):
+    return not (_LOST.search(text) or _CONTROL.search(text) or any(map(_undoes, set(_RUN.findall(text)))))
+
+
+def _example(text: str, lang: str, usual: dict[str, float] | None) -> bool:
+    """Whether a text is an example of its language: clean, Russian and Japanese with their script, and no letter very rare where it stands (as far as that is known)."""
+    if not _clean(text) or (lang in ("ru", "ja") and not (_CYRILLIC if lang == "ru" else _KANA).search(text)):
         return False
-    return not any((x := _redecode(run, "utf-8", w)) is not None and x != run for run in set(_RUN.findall(text)) for w in ("cp1252", "cp1251", "cp1250", "cp437", "cp850"))
+    never = STRANGE * math.log2(RARE / NEVER)
+    return usual is None or all(usual.get(mark, never) < never / 2 for mark in set(marks(text)) if not _KANA.search(mark))
 
 
 def unusual(count: dict[str, int], texts: int) -> dict[str, float]:
@@ -325,52 +345,191 @@ def unusual(count: dict[str, int], texts: int) -> dict[str, float]:
     return {mark: STRANGE * max(0.0, math.log2(RARE / (max(n - 1, 0) / texts + NEVER))) for mark, n in count.items()}
 
 
+def _pieces(data: bytes, lang: str) -> np.ndarray:
+    """The counter of the PIECE bytes from each byte on; -1 where they reach over the end of a line."""
+    n = len(data) - PIECE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    x = np.empty(n, np.uint64)
+    for o in range(min(PIECE, n)):
+        x[o::PIECE] = np.frombuffer(data, "<u8", len(x[o::PIECE]), o)
+    x ^= np.uint64(int.from_bytes(lang.encode()[:8], "little") * 0xD6E8FEB86659FD93 % 2**64)
+    counter = (x * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(np.frombuffer(data, np.uint8) == 10)])
+    counter[ends[PIECE:] != ends[:n]] = -1
+    return counter
+
+
+def count_pieces(total: np.ndarray, segments: list[tuple[bytes, int]], lang: str) -> None:
+    """Adds to the counters how often the segments' pieces occur, each segment that many times."""
+    counter = _pieces(b"\n".join(s for s, _ in segments), lang)
+    times = np.repeat([n for _, n in segments], [len(s) + 1 for s, _ in segments])[: len(counter)]
+    np.add.at(total, counter[counter >= 0], times[counter >= 0])
+
+
+def choose(texts: list[bytes], lang: str, counters: np.ndarray, counts: np.ndarray, limit: int = DICTIONARY_BYTES) -> list[bytes]:
+    """Stretches of the texts that hold the most frequent pieces, up to so many bytes, the best first (cover selection, as zstandard trains dictionaries).
+
+    The texts, in an order that sets alike ones apart, are gone through part by part; of each part the stretch of the highest sum of counts
+    is taken, every piece once, and its pieces count no more. ``counters`` ascend.
+    """
+    data = b"\n".join(sorted(texts, key=lambda t: (zlib.crc32(t), t)))
+    seen, at = np.unique(_pieces(data, lang), return_inverse=True)
+    worth = np.zeros(len(seen), np.int64)
+    if len(counters):
+        place = np.minimum(np.searchsorted(counters, seen), len(counters) - 1)
+        worth = np.where(counters[place] == seen, counts[place], 0)
+    order = np.argsort(at, kind="stable")
+    first = np.ones(len(at), bool)  # not within a stretch of the same piece
+    first[order[1:]] = (at[order[1:]] != at[order[:-1]]) | (order[1:] - order[:-1] >= STRETCH)
+    parts = max(1, min(limit // STRETCH // 4, len(at) // (10 * STRETCH)))
+    cuts = np.linspace(0, len(at), parts + 1).astype(int)
+    out: list[bytes] = []
+    size = part = idle = 0
+    while size < limit and idle < parts and len(at):
+        here = at[cuts[part] : cuts[part + 1]]
+        sums = np.concatenate([[0], np.cumsum(worth[here] * first[cuts[part] : cuts[part + 1]])])
+        width = min(STRETCH - PIECE + 1, len(here))
+        best = int(np.argmax(sums[width:] - sums[:-width]))
+        news = np.flatnonzero(worth[here[best : best + width]])
+        if len(news):
+            start, end = best + int(news[0]), best + int(news[-1]) + 1
+            worth[here[start:end]] = 0
+            out.append(data[cuts[part] + start : cuts[part] + end + PIECE - 1])
+            size += len(out[-1]) + 1
+        idle = 0 if len(news) else idle + 1
+        part = (part + 1) % parts
+    return out
+
+
+def dictionary(stretches: list[bytes]) -> bytes:
+    """The best last, where they are cheapest to refer to."""
+    return b"\n".join(reversed(stretches))[-DICTIONARY_BYTES:]
+
+
 def train(samples: dict[str, list[str]], usual: dict[str, float] | None = None) -> Model:
-    """A model from texts by language, and what marks cost (by default as in the samples). Texts that look garbled, or have letters where they are very rare, are left out."""
-    dictionaries = {}
+    """A model from all texts by language, and what marks cost (by default as in the texts). Texts that look garbled, or have letters where they are very rare, are left out."""
     if usual is None:
         everything = [t for texts in samples.values() for t in texts]
         usual = unusual(collections.Counter(mark for t in everything for mark in set(marks(t))), len(everything))
+    total, segments = np.zeros(2**COUNTER_BITS, np.int64), {}
     for lang, texts in samples.items():
-        texts = [t for t in texts if _clean(t)]
-        if lang in ("ru", "ja"):  # their script must be there
-            script = _CYRILLIC if lang == "ru" else _KANA
-            texts = [t for t in texts if script.search(t)]
-        if len(texts) >= 50:
-            never = STRANGE * math.log2(RARE / NEVER)
-            texts = [t for t in texts if all(usual.get(mark, never) < never / 2 for mark in set(marks(t)) if not _KANA.search(mark))]
-        parts = [s.encode() for t in texts for s in _CUT.split(t) if s and not s.isascii()]
-        parts += [s.encode() for t in texts[::4] for s in _CUT.split(t) if s.isascii()][: len(parts) // 4]
-        if not parts:
-            continue
-        try:
-            dictionaries[lang] = zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
-        except zstandard.ZstdError:  # too few examples: the examples themselves are the dictionary
-            dictionaries[lang] = b"\n".join(dict.fromkeys(parts))[-DICTIONARY_BYTES:]
-    return Model(dictionaries, usual)
+        known = usual if len(texts) >= FEW_TEXTS else None
+        found = collections.Counter(s for t in texts if _example(t, lang, known) for s in _CUT.split(t) if not s.isascii())
+        segments[lang] = [(s.encode(), n) for s, n in found.items()]
+        count_pieces(total, segments[lang], lang)
+    counters = np.flatnonzero(total)
+    chosen = {lang: choose([s for s, _ in found], lang, counters, total[counters]) for lang, found in segments.items()}
+    return Model({lang: dictionary(stretches) for lang, stretches in chosen.items() if stretches}, usual)
 
 
 _LOADED: dict[str, Model] = {}
 
 
-def _usual(texts: DataFrame) -> dict[str, float]:
-    """What marks cost, counted over whole texts; of those in two texts or more, the MARKS most frequent (others count as never seen)."""
+def _usual(texts: DataFrame, total: int) -> dict[str, float]:
+    """What marks cost, counted over all whole texts, so many in all; of those in two texts or more, all whose cost differs from that of a mark never seen."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: collections.Counter[str] = collections.Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
-                found[""] += 1
                 found.update(set(marks(t)))
-            if len(found) > MARKS:
+            if len(found) > HELD_MARKS:
                 yield pa.RecordBatch.from_pydict({"mark": list(found), "n": list(found.values())})
                 found.clear()
         if found:
             yield pa.RecordBatch.from_pydict({"mark": list(found), "n": list(found.values())})
 
-    sums = texts.mapInArrow(count, "mark string, n bigint").groupBy("mark").agg(F.sum("n").alias("n")).where("n > 1 or mark = ''")
-    found = {r.mark: r.n for r in sums.orderBy(F.col("mark") != "", F.col("n").desc(), "mark").limit(MARKS).collect()}
-    return unusual(found, total) if (total := found.pop("", 0)) else {}
+    sums = texts.mapInArrow(count, "mark string, n bigint").groupBy("mark").agg(F.sum("n").alias("n")).where(F.col("n") - 1 > total * NEVER * AS_NEVER)
+    found = sums.where("n > 1").toArrow()
+    return unusual(dict(zip(found["mark"].to_pylist(), found["n"].to_pylist(), strict=True)), total) if total else {}
+
+
+def _segments(known: DataFrame, many: set[str], usual: dict[str, float]) -> DataFrame:
+    """(lang, segment, n): every different segment with characters beyond ASCII in the texts that are examples of their language, and how often it occurs."""
+    shared = known.sparkSession.sparkContext.broadcast((many, usual))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many, usual = shared.value
+        found: collections.Counter[tuple[str, str]] = collections.Counter()
+        held = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            counted = [(*key, n) for key, n in found.items()]
+            for i in range(0, len(counted), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*counted[i : i + 10_000], strict=True)], ["lang", "segment", "n"])
+            found.clear()
+
+        for b in batches:
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if _example(text, lang, usual if lang in many else None):
+                    for s in _CUT.split(text):
+                        if not s.isascii():
+                            held += 0 if (lang, s) in found else len(s)
+                            found[lang, s] += 1
+                if held > HELD_CHARS:
+                    yield from rows()
+                    held = 0
+        yield from rows()
+
+    return known.mapInArrow(cut, "lang string, segment string, n bigint").groupBy("lang", "segment").agg(F.sum("n").alias("n"))
+
+
+def _counts(segments: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The counters of all pieces of all segments that are not zero, and what they count."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2**COUNTER_BITS, np.int64)
+        for b in batches:
+            by: dict[str, list[tuple[bytes, int]]] = collections.defaultdict(list)
+            for lang, s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by[lang].append((s.encode(), n))
+            for lang, found in by.items():
+                count_pieces(total, found, lang)
+        counters = np.flatnonzero(total)
+        for i in range(0, len(counters), 100_000):
+            some = counters[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["counter", "n"])
+
+    sums = segments.select("lang", "segment", "n").mapInArrow(count, "counter int, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counters, counts = sums["counter"].to_numpy().astype(np.int64), sums["n"].to_numpy()
+    order = np.argsort(counters)
+    return counters[order], counts[order]
+
+
+def _dictionaries(known: DataFrame, sizes: dict[str, int], usual: dict[str, float]) -> dict[str, bytes]:
+    """The dictionary of every language, from all its texts: pieces are counted over all segments, then stretches are chosen
+    from groups of segments (by their hash, so that the choice doesn't depend on how the table is stored), and from what was chosen, until one group is left."""
+    spark = known.sparkSession
+    scratch = Scratch(spark)
+    segments = scratch.write(_segments(known, {lang for lang, n in sizes.items() if n >= FEW_TEXTS}, usual), "segments")
+    shared = spark.sparkContext.broadcast(_counts(segments))
+    levels = F.ceil(F.log(float(FAN), F.greatest(F.lit(1.0), F.sum(F.octet_length("segment")) / CHOICE_BYTES)))
+    deep = {r.lang: int(r.levels) for r in segments.groupBy("lang").agg(levels.alias("levels")).collect()}
+    if not deep:
+        return {}
+
+    def best(limit: int) -> Callable[[pa.Table], pa.Table]:
+        def of(group: pa.Table) -> pa.Table:
+            stretches = choose(group["stretch"].to_pylist(), group["lang"][0].as_py(), *shared.value, limit)
+            same = [group[c].slice(0, 1).combine_chunks().take(pa.array([0] * len(stretches), pa.int32())) for c in ("lang", "part")]
+            return pa.table([*same, pa.array(stretches, pa.binary()), pa.array(range(len(stretches)), pa.int32())], ["lang", "part", "stretch", "place"])
+
+        return of
+
+    parts = F.lit(1)
+    for lang, n in sorted((lang, n) for lang, n in deep.items() if n):  # those of much text
+        parts = F.when(F.col("lang") == lang, FAN**n).otherwise(parts)
+    chosen = segments.select("lang", F.pmod(F.xxhash64("segment"), parts).alias("part"), F.col("segment").cast("binary").alias("stretch"))
+    for level in range(last := max(deep.values()), -1, -1):
+        part = F.col("part") if level == last else F.floor(F.col("part") / FAN)
+        groups = chosen.select("lang", part.cast("bigint").alias("part"), "stretch").groupBy("lang", "part")
+        chosen = groups.applyInArrow(best(KEPT if level else DICTIONARY_BYTES), "lang string, part bigint, stretch binary, place int")
+    found: dict[str, dict[int, bytes]] = collections.defaultdict(dict)
+    for r in chosen.collect():
+        found[r.lang][r.place] = bytes(r.stretch)
+    scratch.clear()
+    return {lang: dictionary([stretches[k] for k in sorted(stretches)]) for lang, stretches in found.items()}
 
 
 def restore_texts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -382,24 +541,19 @@ def restore_texts(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     shortens, the text stays as it is. ``complete``: no replacement or stray control character is left.
 
     A segment's description includes what its letters cost for being unusual where they stand, as counted over all texts.
-    The languages are those that the column names. Their dictionaries are fitted on at most about TRAIN_DOCS documents each,
-    ten times as many in all (by hash of the key), and TRAIN_CHARS characters of each; all texts are examined whole. Null, blank and ASCII texts, and null keys, have no rows; languages may be null
-    or wrong; equal rows count once; no texts, no rows; without examples of any language nothing but lost characters
-    is reported; other columns are not read.
+    The languages are those that the column names, all of them. Their dictionaries are made from all segments with characters
+    beyond ASCII in all their whole texts, but those that look garbled or have letters where they are very rare, by the counts of their pieces. Null, blank and ASCII texts, and null keys,
+    have no rows; languages may be null or wrong; equal rows count once; no texts, no rows; without examples of any language
+    nothing but lost characters is reported; other columns are not read.
     """
     spark = df.sparkSession
     code = F.regexp_extract(F.lower(lang), "^([a-z]{2,3})(-|_|$)", 1)
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), code.alias("lang")).where("key is not null and text is not null")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(code, F.lit("")).alias("lang")).where("key is not null and text is not null")
     foreign = rows.where(r"text rlike '[^\\x00-\\x7f]'")
-    known = foreign.where("lang not in ('', 'und', 'mul', 'zxx')").select("lang", F.substring("text", 1, TRAIN_CHARS).alias("text"), F.xxhash64("key").alias("h"))
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    part = F.lit(-1.0)
-    for language, n in sizes.items():
-        part = F.when(F.col("lang") == language, min(1.0, TRAIN_DOCS / n, 10 * TRAIN_DOCS / n / len(sizes)) + 1e-9).otherwise(part)
-    samples: dict[str, list[str]] = {}
-    for r in known.where(F.col("h") / 18446744073709551616.0 + 0.5 < part).select("lang", "text", "h").orderBy("h", "text").collect():
-        samples.setdefault(r.lang, []).append(r.text)
-    model = train(samples, _usual(foreign.select("text")))
+    sizes = {r.lang: r["count"] for r in foreign.groupBy("lang").count().collect()}
+    usual = _usual(foreign.select("text"), sum(sizes.values()))
+    known = foreign.where("lang not in ('', 'und', 'mul', 'zxx')").select("lang", "text")
+    model = Model(_dictionaries(known, sizes, usual), usual)
     shared = spark.sparkContext.broadcast((model.dictionaries, model.usual))
     ident = uuid.uuid4().hex
 

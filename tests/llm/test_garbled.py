@@ -101,3 +101,34 @@ def test_letters_count_in_whole_texts(spark):
     rows += [(900 + k, end.encode().decode("cp1252", "ignore"), "de") for k, end in enumerate(["Österreich wächst.", "Ärzte gesucht.", "École d’été."])]
     out = {r.doc_id: r.restored for r in G.restore_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang").collect()}
     assert out == {900: "Österreich wächst.", 901: "Ärzte gesucht.", 902: "École d’été."}
+
+
+def test_dictionaries_are_made_from_all_texts(spark, monkeypatch):
+    """Sentences that stand beyond a text's first thousands of characters, in every text of a large language and in every language, are all counted."""
+    made, init = [], G.Model.__init__
+    monkeypatch.setattr(G.Model, "__init__", lambda self, dictionaries, usual: made.append(dictionaries) or init(self, dictionaries, usual))
+    late = [f"Später folgte die große Prüfung {a}{b} für Kläranlagen." for a in "QWXYZ" for b in "QWXYZ"]
+    filler = "Plain filler without accents. " * 100
+    rows = [(k, f"{filler}{late[k % 25]}", "de") for k in range(100)]
+    codes = [a + b for a in "qwxyz" for b in "abcdefghij"]
+    rows += [(1000 + 10 * i + k, f"Die schöne Übersicht {code}{code}{code} über alle Länder.", code) for i, code in enumerate(codes) for k in range(3)]
+    G.restore_texts(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "doc_id", "text", "lang")
+    pieces = {s.encode()[i : i + G.PIECE] for s in late for i in range(len(s.encode()) - G.PIECE + 1)}
+    assert [p for p in pieces if p not in made[0]["de"]] == []
+    assert set(made[0]) == {"de", *codes}
+
+
+def test_pieces_are_counted_exactly():
+    """The distributed counts' building block against plain counting, and a choice that takes the most frequent stretch first."""
+    segments = [("Außen größer als innen".encode(), 3), ("größer".encode(), 2), (b"\xc3\xbc", 9), ("Maß, größer als".encode(), 1)]
+    total = G.np.zeros(2**G.COUNTER_BITS, G.np.int64)
+    G.count_pieces(total, segments, "de")
+    plain: dict[bytes, int] = {}
+    for s, n in segments:
+        for i in range(len(s) - G.PIECE + 1):
+            plain[s[i : i + G.PIECE]] = plain.get(s[i : i + G.PIECE], 0) + n
+    assert {p: int(total[G._pieces(p, "de")[0]]) for p in plain} == plain and total.sum() == sum(plain.values())
+    counters = G.np.flatnonzero(total)
+    chosen = G.choose([s for s, _ in segments], "de", counters, total[counters])
+    assert all(any(p in c for c in chosen) for p in plain)
+    assert G.choose([], "de", counters, total[counters]) == [] == G.choose([b"x"], "de", counters[:0], total[:0])
